@@ -236,6 +236,19 @@ WHERE day = DATE '{DAY}' AND store = 'AFRICA' OR store = 'AMERICA' OR store = 'A
     "kpi_day_over_day_missing": _day_over_day(
         f"SELECT DATE '{LATE_DAY}' AS day", "store IN ('AMERICA', 'EUROPE')", keys=""
     ),
+    "kpi_cards": f"""{_BASE},
+sides AS (SELECT {_kpis(f"day = DATE '{DAY}'")}, {_kpis(f"day = DATE '{DAY}' - 1", 'prev_')}
+          FROM daily WHERE store IN ('ASIA', 'EUROPE')),
+cards AS (
+  SELECT 'total_revenue' AS figure, printf('$%.2f', total_revenue) AS value,
+         printf('$%.2f', total_revenue - prev_total_revenue) AS delta FROM sides
+  UNION ALL SELECT 'avg_spend', printf('$%.2f', avg_spend),
+         printf('$%.2f', avg_spend - prev_avg_spend) FROM sides
+  UNION ALL SELECT 'total_customers', CAST(total_customers AS VARCHAR),
+         CAST(total_customers - prev_total_customers AS VARCHAR) FROM sides
+  UNION ALL SELECT 'total_coffees', CAST(total_coffees AS VARCHAR),
+         CAST(total_coffees - prev_total_coffees AS VARCHAR) FROM sides)
+SELECT DATE '{DAY}' AS day, 'ASIA or EUROPE' AS stores, figure, value, delta FROM cards""",
     "store_revenue_alltime": f"""{_BASE}
 SELECT store, CAST(sum(revenue) AS DOUBLE) AS total_revenue FROM daily GROUP BY store""",
     "store_daily_revenue": f"""{_BASE}

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 
 from tillbook.operators import summaries
 
+Table = DataFrame | Callable[[], DataFrame]
+
 
 def _as_built(name: str, build: Callable[[], DataFrame]) -> DataFrame:
     return build()
@@ -18,6 +20,8 @@ class RetailModel:
 
     ``transactions``  transaction_id, ts, store, time_of_day
     ``items``         transaction_id, item_name, item_flavour, item_size, price
+                      Either may be a function that opens the table; it is only
+                      called by a report that reads the table itself.
     ``store_groups``  group name -> stores, in the order the group lists them
     ``keep``          decides where a summary lives: it gets the name and a
                       function that builds it. By default a summary is a lazy
@@ -27,21 +31,24 @@ class RetailModel:
 
     def __init__(
         self,
-        transactions: DataFrame,
-        items: DataFrame,
+        transactions: Table,
+        items: Table,
         store_groups: Mapping[str, Sequence[str]] | None = None,
         keep: Callable[[str, Callable[[], DataFrame]], DataFrame] = _as_built,
         given: Mapping[str, DataFrame] | None = None,
     ) -> None:
-        self.transactions = transactions
-        self.items = items
+        self._facts = {"transactions": transactions, "items": items}
         self.store_groups = dict(store_groups or {})
         self._keep = keep
         self._tables = dict(given or {})
 
     @property
-    def spark(self):
-        return self.transactions.sparkSession
+    def transactions(self) -> DataFrame:
+        return self._fact("transactions")
+
+    @property
+    def items(self) -> DataFrame:
+        return self._fact("items")
 
     @property
     def daily_store(self) -> DataFrame:
@@ -63,6 +70,12 @@ class RetailModel:
             lambda: summaries.item_hours(self.transactions, self.items),
         )
 
+    def _fact(self, name: str) -> DataFrame:
+        table = self._facts[name]
+        if not isinstance(table, DataFrame):
+            table = self._facts[name] = table()
+        return table
+
     def _summary(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._tables:
             self._tables[name] = self._keep(name, build)

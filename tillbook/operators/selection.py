@@ -48,10 +48,13 @@ def on_day(rows: DataFrame, day: dt.date | str | None) -> DataFrame:
     """Rows of one calendar day, of a table that has ``day`` or else ``ts``.
 
     The condition on ``ts`` is a half-open range on the raw column, which the
-    parquet reader can test against its min/max statistics.
+    parquet reader can test against its min/max statistics. A table laid out by
+    ``month`` is pruned to that folder first.
     """
     if day is None:
         return rows
+    if "month" in rows.columns:
+        rows = rows.where(F.col("month") == date_lit(as_date(day).replace(day=1)))
     if "day" in rows.columns:
         return rows.where(F.col("day") == date_lit(day))
     start = dt.datetime.combine(as_date(day), dt.time())

@@ -22,7 +22,7 @@ def basic_date(
 
 
 def previous_day(model: RetailModel, day: Day) -> DataFrame:
-    return model.spark.range(1).select(day_before(date_lit(day)).alias("day"))
+    return model.daily_store.sparkSession.range(1).select(day_before(date_lit(day)).alias("day"))
 
 
 def store_breakdown(

@@ -34,12 +34,13 @@ def store_menu_availability(
     lines of one store's menu, which are as many as the distinct kinds of item it
     sells.
     """
+    menu = store_menu(model, store)
     if not isinstance(unavailable, DataFrame):
-        unavailable = model.spark.createDataFrame(
+        unavailable = menu.sparkSession.createDataFrame(
             list(unavailable), "store string, menu_item string"
         )
     flags = unavailable.select("store", "menu_item").distinct()
-    menu = store_menu(model, store).join(
+    menu = menu.join(
         flags.withColumn("unavailable", F.lit(True)), ["store", "menu_item"], "left"
     )
     lines = Window.partitionBy("store")

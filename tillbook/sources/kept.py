@@ -12,7 +12,10 @@ import tempfile
 from collections.abc import Callable, Sequence
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+# Summaries with many rows per day.
+BY_MONTH = ("item_hours",)
 
 _kept: dict[tuple, tuple[str, object]] = {}
 _own_folder: tempfile.TemporaryDirectory | None = None
@@ -42,9 +45,24 @@ def _state_of(spark: SparkSession, path: str) -> tuple[str, int, int]:
     return (path, status.getLen(), status.getModificationTime())
 
 
-def write_summary(table: DataFrame, path: str) -> None:
-    """Write by day: small days share a task, a day with very many rows is split."""
-    table.hint("rebalance", "day").write.partitionBy("day").mode("errorifexists").parquet(path)
+def write_summary(table: DataFrame, path: str, by_month: bool) -> None:
+    """Write a summary, sorted by day so that parquet statistics can skip rows.
+
+    A table of one row per store and day is written as the last aggregation leaves
+    it: adaptive execution has merged its partitions to a few files. A larger one
+    is clustered by day, where a day with very many rows is split over tasks, and
+    laid out in one folder per month.
+    """
+    if not by_month:
+        table.sortWithinPartitions("day").write.parquet(path)
+        return
+    (
+        table.hint("rebalance", "day")
+        .withColumn("month", F.trunc("day", "month"))
+        .sortWithinPartitions("month", "day")
+        .write.partitionBy("month")
+        .parquet(path)
+    )
 
 
 def keep_for_application(
@@ -65,9 +83,16 @@ def keep_for_application(
         if key not in _kept:
             table = build()
             path = f"{folder}/tillbook/{application}/{name}-{uuid4().hex}"
-            write_summary(table, path)
-            _kept[key] = (path, table.schema)
+            by_month = name in BY_MONTH
+            write_summary(table, path, by_month)
+            schema = table.schema.add("month", "date") if by_month else table.schema
+            _kept[key] = (path, schema)
         path, schema = _kept[key]
         return spark.read.schema(schema).parquet(path)
 
     return keep
+
+
+def forget() -> None:
+    """Build every summary anew at its next use."""
+    _kept.clear()

@@ -90,5 +90,8 @@ def load(spark: SparkSession, sf_dir: str, keep_summaries: bool = True) -> Retai
     inputs = [f"{sf_dir}/{table}.parquet" for table in INPUTS]
     where = {"keep": keep_for_application(spark, inputs)} if keep_summaries else {}
     return RetailModel(
-        transactions(spark, sf_dir), items(spark, sf_dir), STORE_GROUPS, **where
+        lambda: transactions(spark, sf_dir),
+        lambda: items(spark, sf_dir),
+        STORE_GROUPS,
+        **where,
     )
