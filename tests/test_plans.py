@@ -157,3 +157,9 @@ def test_without_shared_folder_summaries_stay_in_the_plan(spark, monkeypatch):
     frame = kpi.kpi_snapshot(testtables.load(spark, FOLDER))
     assert any(file.endswith("lineitem.parquet") for file in frame.inputFiles())
     assert frame.count() == 30
+
+
+def test_removed_summary_is_built_again(spark, monkeypatch):
+    first = testtables.load(spark, FOLDER).daily_store.inputFiles()
+    monkeypatch.setattr(kept, "_is_complete", lambda session, path: False)
+    assert testtables.load(spark, FOLDER).daily_store.inputFiles() != first

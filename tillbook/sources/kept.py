@@ -37,14 +37,24 @@ def shared_folder(spark: SparkSession) -> str | None:
     return _own_folder.name
 
 
+def _located(spark: SparkSession, path: str):
+    """The Hadoop file system of a path and the path in it."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark._jsc.hadoopConfiguration()), location
+
+
 def _state_of(spark: SparkSession, path: str) -> tuple[str, int, int]:
     """Location, size and time of change of an input, to notice new data."""
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = location.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, location = _located(spark, path)
     status = files.getFileStatus(location)
     return (path, status.getLen(), status.getModificationTime())
 
 
+def _is_complete(spark: SparkSession, path: str) -> bool:
+    files, location = _located(spark, f"{path}/_SUCCESS")
+    return files.exists(location)
+
+
 def write_summary(table: DataFrame, path: str, by_month: bool) -> None:
     """Write a summary, sorted by day so that parquet statistics can skip rows.
 
@@ -70,7 +80,7 @@ def keep_for_application(
 ) -> Callable[[str, Callable[[], DataFrame]], DataFrame]:
     """A ``keep`` for :class:`~tillbook.model.RetailModel` over the given inputs.
 
-    A changed input gives a new table. Without a shared folder the summary stays
+    A changed input gives a new table, and so does a table that was removed. Without a shared folder the summary stays
     a lazy part of each report's plan.
     """
 
@@ -80,7 +90,7 @@ def keep_for_application(
             return build()
         application = spark.sparkContext.applicationId
         key = (application, name, *(_state_of(spark, path) for path in inputs))
-        if key not in _kept:
+        if key not in _kept or not _is_complete(spark, _kept[key][0]):
             table = build()
             path = f"{folder}/tillbook/{application}/{name}-{uuid4().hex}"
             by_month = name in BY_MONTH

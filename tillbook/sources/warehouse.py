@@ -5,9 +5,12 @@ Column names on the left are those of the warehouse, on the right ours.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillbook.model import RetailModel
+from tillbook.sources.kept import keep_for_application
 
 # The five stores and the two groups of them.
 STORE_GROUPS = {
@@ -52,12 +55,22 @@ def items(table: DataFrame) -> DataFrame:
 
 
 def load(
-    spark: SparkSession, daily: DataFrame, customer_data: DataFrame, customer_items: DataFrame
+    spark: SparkSession,
+    daily: DataFrame,
+    customer_data: DataFrame,
+    customer_items: DataFrame,
+    inputs: Sequence[str] = (),
 ) -> RetailModel:
-    """The model over the three warehouse tables, read by any Spark source."""
+    """The model over the three warehouse tables, read by any Spark source.
+
+    With the paths of the last two tables as ``inputs``, their summaries are kept
+    for the application; else each report derives what it needs.
+    """
+    where = {"keep": keep_for_application(spark, inputs)} if inputs else {}
     return RetailModel(
         transactions(customer_data),
         items(customer_items),
         STORE_GROUPS,
         given={"daily_store": daily_store(daily)},
+        **where,
     )
