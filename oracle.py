@@ -264,6 +264,15 @@ SELECT store, CAST(sum(revenue) AS DOUBLE) AS total_revenue,
        round(CAST(count(day) AS DOUBLE) / (SELECT count(DISTINCT day) FROM transactions) * 100, 1)
          AS completeness_pct
 FROM daily GROUP BY store""",
+    "store_cards": f"""{_BASE},
+summary AS (
+  SELECT store, CAST(sum(revenue) AS DOUBLE) AS total, count(day) AS n_days FROM daily GROUP BY store)
+SELECT store, 'total_revenue' AS figure, printf('$%.2f', total) AS value FROM summary
+UNION ALL SELECT store, 'avg_daily_revenue', printf('$%.2f', total / n_days) FROM summary
+UNION ALL SELECT store, 'n_days', CAST(n_days AS VARCHAR) FROM summary
+UNION ALL SELECT store, 'completeness_pct',
+  printf('%.1f%%', CAST(n_days AS DOUBLE) / (SELECT count(DISTINCT day) FROM transactions) * 100)
+  FROM summary""",
     "range_revenue": f"""{_BASE}
 SELECT store, CAST(sum(revenue) AS DOUBLE) AS range_revenue, {_mean('avg_spend')} AS range_avg_spend
 FROM daily WHERE {_IN_RANGE} GROUP BY store""",

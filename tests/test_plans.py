@@ -112,6 +112,14 @@ def test_one_day_is_pushed_to_the_transaction_scan(stored):
     assert "EqualTo(store,Chesterfield)" in pushed
 
 
+def test_one_day_filters_the_items_before_their_shuffle(spark, stored):
+    runtime = "spark__sql__optimizer__runtime__bloomFilter__"
+    sizes = {f"{runtime}applicationSideScanSizeThreshold": "0", **NO_BROADCAST}
+    with settings(spark, **sizes):
+        text = plan(hourly.cups_by_timestamp_item(stored, "Chesterfield", "2022-07-05"))
+    assert "might_contain" in text
+
+
 def test_one_day_of_item_hours_reads_one_month(spark):
     model = testtables.load(spark, FOLDER)
     text = plan(hourly.cups_by_hour_item(model, "ASIA", "2024-01-15"))

@@ -140,6 +140,16 @@ def test_summary(model):
     }
 
 
+def test_summary_cards(model):
+    rows = store.store_cards(model, "Chesterfield")
+    assert dict(values(rows, "figure", "value")) == {
+        "total_revenue": "$220.00",
+        "avg_daily_revenue": "$110.00",
+        "n_days": "2",
+        "completeness_pct": "66.7%",
+    }
+
+
 def test_summary_of_unknown_store(model):
     row = only(store.store_summary(model, "Nowhere"))
     assert (row["n_days"], row["total_revenue"], row["avg_daily_revenue"]) == (0, None, None)

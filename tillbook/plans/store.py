@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tillbook.functions import text
 from tillbook.functions.dates import date_lit, inclusive_days, iso_week, iso_year
 from tillbook.functions.measures import (
     availability_rating,
@@ -45,10 +46,13 @@ def store_days_in_range(
     start: Day | None = None,
     end: Day | None = None,
 ) -> DataFrame:
-    """Days with a transaction per store. Stores without any in the range drop out,
-    unless one store is asked for."""
+    """Days with a transaction per store.
+
+    The summary has each day of a store once, so its rows are counted. Stores
+    without any in the range drop out, unless one store is asked for.
+    """
     rows = model.store_days.where(in_range(F.col("day"), start, end))
-    return per_store(rows, store, F.countDistinct("day").alias("n_days"))
+    return per_store(rows, store, F.count("day").alias("n_days"))
 
 
 def store_weeks(model: RetailModel, store: str | None = None) -> DataFrame:
@@ -82,6 +86,23 @@ def store_summary(model: RetailModel, store: str | None = None) -> DataFrame:
     )
 
 
+def store_cards(model: RetailModel, store: str | None = None) -> DataFrame:
+    """The summary as texts: one row per figure."""
+    shown = {
+        "total_revenue": text.money(F.col("total_revenue")),
+        "avg_daily_revenue": text.money(F.col("avg_daily_revenue")),
+        "n_days": F.col("n_days").cast("string"),
+        "completeness_pct": text.percent(F.col("completeness_pct"), 1),
+    }
+    cards = F.array(
+        *[
+            F.struct(F.lit(name).alias("figure"), value.alias("value"))
+            for name, value in shown.items()
+        ]
+    )
+    return store_summary(model, store).select("store", F.inline(cards))
+
+
 def range_revenue(
     model: RetailModel,
     store: str | None = None,
@@ -112,7 +133,7 @@ def range_availability(
     first, last = check_range(start, end)
     day = F.col("day")
     days = inclusive_days(date_lit(first), date_lit(last))
-    available = F.countDistinct(only(in_range(day, first, last), day))
+    available = F.count(only(in_range(day, first, last), day))
     share = percent_of(F.col("days_available"), F.col("days_inclusive"))
     return (
         per_store(model.store_days, store, available.alias("days_available"))

@@ -4,16 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# What a cluster session should carry. Partition counts are left to adaptive
-# execution: it starts from a count high enough for the fact join and merges
-# small partitions afterwards, and splits skewed ones.
-CLUSTER_SETTINGS = {
+# Partition counts are left to adaptive execution: it merges small partitions and
+# splits skewed ones. README.md lists the sizes for a large cluster.
+SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -26,7 +22,6 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
+        .config(map=SETTINGS)
         .getOrCreate()
     )
