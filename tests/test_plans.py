@@ -123,8 +123,9 @@ def test_one_day_filters_the_items_before_their_shuffle(spark, stored):
 def test_one_day_of_item_hours_reads_one_month(spark):
     model = testtables.load(spark, FOLDER)
     text = plan(hourly.cups_by_hour_item(model, "ASIA", "2024-01-15"))
-    assert re.search(r"PartitionFilters: \[.*month#\d+ = 2024-01-01", text)
-    assert "EqualTo(day,2024-01-15)" in text and "EqualTo(store,ASIA)" in text
+    assert re.search(r"PartitionFilters: \[.*month#\d+ >= 2024-01-01.*month#\d+ <= 2024-01-01", text)
+    assert "GreaterThanOrEqual(day,2024-01-15), LessThanOrEqual(day,2024-01-15)" in text
+    assert "EqualTo(store,ASIA)" in text
 
 
 @pytest.mark.parametrize(

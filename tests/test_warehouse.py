@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from shop import DAILY, ITEMS, TRANSACTIONS, daily_frame, items_frame, shop, transactions_frame
+from tillbook import RetailModel
+from tillbook.operators import summaries
 from tillbook.plans import hourly, kpi, menu, store
-from tillbook.sources import warehouse
+from tillbook.sources import kept, warehouse
 
 
 @pytest.fixture(scope="module")
@@ -55,3 +57,34 @@ def test_reports_equal_those_of_the_shop(spark, model, report):
     found, expected = report(model), report(shop(spark))
     assert found.columns == expected.columns
     assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
+
+
+OTHER_MONTHS = [(i, f"2022-{month}-15 10:00", "Uppingham", 1) for i, month in ((50, "06"), (51, "08"))]
+
+
+def summaries_of(model):
+    return {
+        name: sorted(map(str, getattr(model, name).select(*columns).collect()))
+        for name, columns in {
+            "daily_store": ["store", "day", "revenue", "avg_spend", "customers", "coffees"],
+            "store_days": ["store", "day", "n_transactions"],
+            "item_hours": [*summaries.ITEM_HOUR_KEYS, "cups"],
+        }.items()
+    }
+
+
+def test_refresh_replaces_its_months_only(spark, tmp_path):
+    folder = str(tmp_path / "summaries")
+    sold = ITEMS + [(50, "Mocha", None, "Large"), (51, "Mocha", None, "Large")]
+    before = shop(spark, TRANSACTIONS[:4] + OTHER_MONTHS[:1], sold, daily=None)
+    after = shop(spark, TRANSACTIONS + OTHER_MONTHS, sold, daily=None)
+    kept.save(before, folder)
+
+    def read():
+        return RetailModel(after.transactions, after.items, given=kept.saved(spark, folder))
+
+    assert summaries_of(read()) == summaries_of(before)
+    june = set(file for file in read().item_hours.inputFiles() if "month=2022-06" in file)
+    kept.refresh(after, folder, "2022-07-06", "2022-08-01")
+    assert summaries_of(read()) == summaries_of(after)
+    assert june <= set(read().item_hours.inputFiles())

@@ -44,28 +44,6 @@ def of_store(rows: DataFrame, store: str | None) -> DataFrame:
     return rows if store is None else rows.where(F.col("store") == store)
 
 
-def on_day(rows: DataFrame, day: dt.date | str | None) -> DataFrame:
-    """Rows of one calendar day, of a table that has ``day`` or else ``ts``.
-
-    The condition on ``ts`` is a half-open range on the raw column, which the
-    parquet reader can test against its min/max statistics. A table laid out by
-    ``month`` is pruned to that folder first.
-    """
-    if day is None:
-        return rows
-    if "month" in rows.columns:
-        rows = rows.where(F.col("month") == date_lit(as_date(day).replace(day=1)))
-    if "day" in rows.columns:
-        return rows.where(F.col("day") == date_lit(day))
-    start = dt.datetime.combine(as_date(day), dt.time())
-    ts = F.col("ts")
-    first, after = (
-        F.lit(str(moment)).cast("timestamp_ntz")
-        for moment in (start, start + dt.timedelta(days=1))
-    )
-    return rows.where((ts >= first) & (ts < after))
-
-
 def check_range(start: dt.date | str, end: dt.date | str) -> tuple[dt.date, dt.date]:
     first, last = as_date(start), as_date(end)
     if first > last:
@@ -73,16 +51,48 @@ def check_range(start: dt.date | str, end: dt.date | str) -> tuple[dt.date, dt.d
     return first, last
 
 
-def in_range(day: Column, start: dt.date | str | None, end: dt.date | str | None) -> Column:
-    """Both ends included; an end left out is open."""
+def within(
+    rows: DataFrame, start: dt.date | str | None = None, end: dt.date | str | None = None
+) -> DataFrame:
+    """Rows from ``start`` to ``end``, both included; an end left out is open.
+
+    On a table without ``day`` the condition is a half-open range on the raw ``ts``,
+    which the parquet reader can test against its min/max statistics. A table laid
+    out by ``month`` is pruned to those folders first.
+    """
     if start is not None and end is not None:
-        start, end = check_range(start, end)
-    condition = F.lit(True)
+        check_range(start, end)
+    columns = set(rows.columns)
     if start is not None:
-        condition = condition & (day >= date_lit(start))
+        first = as_date(start)
+        if "month" in columns:
+            rows = rows.where(F.col("month") >= F.lit(first.replace(day=1)))
+        rows = rows.where(
+            F.col("day") >= F.lit(first) if "day" in columns else F.col("ts") >= _midnight(first)
+        )
     if end is not None:
-        condition = condition & (day <= date_lit(end))
-    return condition
+        last = as_date(end)
+        if "month" in columns:
+            rows = rows.where(F.col("month") <= F.lit(last.replace(day=1)))
+        rows = rows.where(
+            F.col("day") <= F.lit(last)
+            if "day" in columns
+            else F.col("ts") < _midnight(last + dt.timedelta(days=1))
+        )
+    return rows
+
+
+def on_day(rows: DataFrame, day: dt.date | str | None) -> DataFrame:
+    return rows if day is None else within(rows, day, day)
+
+
+def _midnight(day: dt.date) -> Column:
+    return F.lit(str(dt.datetime.combine(day, dt.time()))).cast("timestamp_ntz")
+
+
+def in_range(day: Column, start: dt.date | str, end: dt.date | str) -> Column:
+    """Both ends included."""
+    return day.between(date_lit(start), date_lit(end))
 
 
 def has_flavour(

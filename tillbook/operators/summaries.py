@@ -12,6 +12,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+# Columns of the summaries as stored. Each is laid out by the month of its days.
+SCHEMAS = {
+    "daily_store": (
+        "store string, revenue decimal(28,2), avg_spend decimal(22,6), customers bigint,"
+        " coffees bigint, day date, month date"
+    ),
+    "store_days": "store string, n_transactions bigint, day date, month date",
+    "item_hours": (
+        "store string, the_hour int, time_of_day int, item_name string, item_flavour string,"
+        " item_size string, cups bigint, day date, month date"
+    ),
+}
 ITEM_HOUR_KEYS = (
     "store",
     "day",

@@ -12,7 +12,7 @@ from tillbook.functions.dates import as_date, date_lit, day_before
 from tillbook.functions.measures import missing_status, or_zero
 from tillbook.model import RetailModel
 from tillbook.operators.kpis import KPI_COLUMNS, MEASURES, kpi_block, only
-from tillbook.operators.selection import ALL, in_stores, on_day, resolve_stores
+from tillbook.operators.selection import ALL, in_stores, on_day, resolve_stores, within
 
 Day = dt.date | str
 
@@ -99,8 +99,7 @@ def kpi_day_over_day(
     """
     rows = _selected(model, stores)
     if day is not None:
-        wanted = date_lit(day)
-        rows = rows.where(F.col("day").between(day_before(wanted), wanted))
+        rows = within(rows, as_date(day) - dt.timedelta(days=1), day)
     roles = F.array(
         F.struct(F.col("day").alias("on_day"), F.lit(True).alias("selected")),
         F.struct(F.date_add("day", 1).alias("on_day"), F.lit(False).alias("selected")),
@@ -109,7 +108,7 @@ def kpi_day_over_day(
     grouped = (
         rows.groupBy(F.col("on_day").alias("day"))
         if day is None
-        else rows.where(F.col("on_day") == wanted)
+        else rows.where(F.col("on_day") == date_lit(day))
     )
     selected = F.col("selected")
     figures = grouped.agg(

@@ -18,7 +18,7 @@ from tillbook.functions.measures import (
 )
 from tillbook.model import RetailModel
 from tillbook.operators.kpis import kpi_block, means, only, per_store
-from tillbook.operators.selection import check_range, in_range, of_store
+from tillbook.operators.selection import check_range, in_range, of_store, within
 
 Day = dt.date | str
 
@@ -51,7 +51,7 @@ def store_days_in_range(
     The summary has each day of a store once, so its rows are counted. Stores
     without any in the range drop out, unless one store is asked for.
     """
-    rows = model.store_days.where(in_range(F.col("day"), start, end))
+    rows = within(model.store_days, start, end)
     return per_store(rows, store, F.count("day").alias("n_days"))
 
 
@@ -110,9 +110,8 @@ def range_revenue(
     end: Day | None = None,
 ) -> DataFrame:
     """Revenue and mean daily average spend in a range of days."""
-    rows = model.daily_store.where(in_range(F.col("day"), start, end))
     return per_store(
-        rows,
+        within(model.daily_store, start, end),
         store,
         F.sum("revenue").cast("double").alias("range_revenue"),
         exact_mean(F.col("avg_spend")).alias("range_avg_spend"),

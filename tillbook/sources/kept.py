@@ -1,23 +1,26 @@
-"""Summary tables written once per application and read by every report.
+"""Summary tables: written once and read by every report.
 
 A summary takes a pass over the facts; the reports then read a table that is
 smaller by orders of magnitude. The table is written to the folder the cluster
 shares (``spark.checkpoint.dir``), so losing an executor costs nothing but the
-re-read of a file.
+re-read of a file. It lives as long as the application; :func:`save` writes to a
+folder that outlives it and :func:`refresh` brings that folder up to date.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 from collections.abc import Callable, Sequence
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Summaries with many rows per day.
-BY_MONTH = ("item_hours",)
+from tillbook.model import RetailModel
+from tillbook.operators.selection import check_range, within
+from tillbook.operators.summaries import SCHEMAS
 
-_kept: dict[tuple, tuple[str, object]] = {}
+_kept: dict[tuple, str] = {}
 _own_folder: tempfile.TemporaryDirectory | None = None
 
 
@@ -55,26 +58,52 @@ def _is_complete(spark: SparkSession, path: str) -> bool:
     return files.exists(location)
 
 
-def write_summary(table: DataFrame, path: str, by_month: bool) -> None:
-    """Write a summary, sorted by day so that parquet statistics can skip rows.
+def write_summary(table: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write a summary in one folder per month.
 
-    A table of one row per store and day is written as the last aggregation leaves
-    it: adaptive execution has merged its partitions to a few files. A larger one
-    is clustered by day, where a day with very many rows is split over tasks, and
-    laid out in one folder per month.
+    Rows are clustered by day and sorted, so that parquet statistics can skip
+    within a month; small days share a task and a day with very many rows is split
+    over several.
     """
-    if not by_month:
-        table.sortWithinPartitions("day").write.parquet(path)
-        return
     (
         table.hint("rebalance", "day")
         .withColumn("month", F.trunc("day", "month"))
         .sortWithinPartitions("month", "day")
         .write.partitionBy("month")
+        .mode(mode)
+        .option("partitionOverwriteMode", "dynamic")
         .parquet(path)
     )
 
 
+def read_summary(spark: SparkSession, name: str, path: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(path)
+
+
+def save(model: RetailModel, folder: str) -> None:
+    """Write all summaries to a folder of one's own, to be used by later sessions."""
+    for name in SCHEMAS:
+        write_summary(getattr(model, name), f"{folder}/{name}")
+
+
+def saved(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Saved summaries, as ``given`` for a :class:`~tillbook.model.RetailModel`."""
+    return {name: read_summary(spark, name, f"{folder}/{name}") for name in SCHEMAS}
+
+
+def refresh(model: RetailModel, folder: str, start: dt.date | str, end: dt.date | str) -> None:
+    """Derive the months from ``start`` to ``end`` again and replace only those.
+
+    New days cost a pass over their own transactions and not over the history.
+    """
+    first, last = check_range(start, end)
+    following = (last.replace(day=1) + dt.timedelta(days=31)).replace(day=1)
+    months = first.replace(day=1), following - dt.timedelta(days=1)
+    part = RetailModel(within(model.transactions, *months), model.items)
+    for name in SCHEMAS:
+        write_summary(getattr(part, name), f"{folder}/{name}", "overwrite")
+
+
 def keep_for_application(
     spark: SparkSession, inputs: Sequence[str]
 ) -> Callable[[str, Callable[[], DataFrame]], DataFrame]:
@@ -90,15 +119,11 @@ def keep_for_application(
             return build()
         application = spark.sparkContext.applicationId
         key = (application, name, *(_state_of(spark, path) for path in inputs))
-        if key not in _kept or not _is_complete(spark, _kept[key][0]):
-            table = build()
+        if key not in _kept or not _is_complete(spark, _kept[key]):
             path = f"{folder}/tillbook/{application}/{name}-{uuid4().hex}"
-            by_month = name in BY_MONTH
-            write_summary(table, path, by_month)
-            schema = table.schema.add("month", "date") if by_month else table.schema
-            _kept[key] = (path, schema)
-        path, schema = _kept[key]
-        return spark.read.schema(schema).parquet(path)
+            write_summary(build(), path)
+            _kept[key] = path
+        return read_summary(spark, name, _kept[key])
 
     return keep
 
