@@ -12,14 +12,17 @@ from tillbook.operators.selection import of_store
 
 
 def store_menu(model: RetailModel, store: str | None = None) -> DataFrame:
-    """One line per item and flavour a store has sold; empty lines are dropped."""
-    label = text.menu_label(F.col("item_name"), F.col("item_flavour"))
+    """One line per item and flavour a store has sold; empty lines are dropped.
+
+    The line is only put together for distinct kinds of item.
+    """
+    name, flavour = F.col("item_name"), F.col("item_flavour")
     return (
         of_store(model.item_hours, store)
-        .select("store", "item_name", "item_flavour")
+        .where(F.trim(F.concat_ws(" ", name, flavour)) != "")
+        .select("store", name, flavour)
         .distinct()
-        .select("store", label.alias("menu_item"))
-        .where(F.col("menu_item") != "")
+        .select("store", text.menu_label(name, flavour).alias("menu_item"))
     )
 
 

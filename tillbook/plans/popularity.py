@@ -44,10 +44,8 @@ def item_popularity_long(
     model: RetailModel, exclude: Sequence[str] = LEFT_OUT, without_top: int = 0
 ) -> DataFrame:
     """Cups per item and band with the band's name."""
-    rows = _without_top(
-        _named(sales_by_time_of_day(model), exclude), "cups_sold", without_top
-    )
-    return rows.select(
+    rows = _named(sales_by_time_of_day(model), exclude)
+    return _without_top(rows, "cups_sold", without_top).select(
         "item_name", "time_of_day", band_name(F.col("time_of_day")).alias("band"), "cups_sold"
     )
 
@@ -56,15 +54,19 @@ def item_popularity(
     model: RetailModel, exclude: Sequence[str] = LEFT_OUT, without_top: int = 0
 ) -> DataFrame:
     """One row per item with its cups in each band and in total."""
-    rows = _without_top(_named(model.item_hours, exclude), "cups", without_top)
     cups = F.col("cups")
-    return rows.groupBy("item_name").agg(
-        *[
-            F.sum(F.when(F.col("time_of_day") == number, cups).otherwise(0)).alias(name)
-            for number, name in BAND_NAMES.items()
-        ],
-        F.sum(cups).alias("total"),
+    rows = (
+        _named(model.item_hours, exclude)
+        .groupBy("item_name")
+        .agg(
+            *[
+                F.sum(F.when(F.col("time_of_day") == number, cups).otherwise(0)).alias(name)
+                for number, name in BAND_NAMES.items()
+            ],
+            F.sum(cups).alias("total"),
+        )
     )
+    return _without_top(rows, "total", without_top)
 
 
 def best_worst_by_time_of_day(model: RetailModel) -> DataFrame:
