@@ -198,6 +198,9 @@ def test_store_vs_store(model):
         "Chesterfield": 220.0,
         "Uppingham": 170.0,
     }
+    rows = store.store_vs_store(model, "Uppingham", "Longridge")
+    assert values(rows, "store", "total_coffees") == [("Longridge", 0), ("Uppingham", 53)]
+    assert store.store_vs_store(model).count() == 3
 
 
 def test_breakdown_keys(model):

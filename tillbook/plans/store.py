@@ -215,9 +215,8 @@ def range_vs_alltime(
 def store_vs_store(
     model: RetailModel, first: str | None = None, second: str | None = None
 ) -> DataFrame:
-    """The four all-time figures of two stores side by side, or of all stores."""
-    named = [store for store in (first, second) if store is not None]
-    rows = model.daily_store
-    if named:
-        rows = rows.where(F.col("store").isin(named))
-    return rows.groupBy("store").agg(*kpi_block())
+    """The four all-time figures of two stores, one row each, or of all stores."""
+    if first is None or second is None:
+        return per_store(model.daily_store, first or second, *kpi_block())
+    rows = [per_store(model.daily_store, store, *kpi_block()) for store in (first, second)]
+    return rows[0].unionByName(rows[1])
