@@ -1,6 +1,7 @@
 """Report rules on the hand-made shop."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -497,6 +498,28 @@ def test_menu_label_is_title_case(spark, label):
     assert found == [label.title().strip()]
 
 
+def test_menu_label_of_any_text(spark):
+    letters = "abzABZéÖñ019 -'.&!日"
+    make = random.Random(7)
+    labels = ["".join(make.choices(letters, k=make.randint(1, 25))) for _ in range(500)]
+    found = evaluate(
+        spark, text.title_case(F.col("n")), *[(label,) for label in labels], schema="n string"
+    )
+    assert found == [label.title() for label in labels]
+
+
+@pytest.mark.parametrize(
+    "levels", [measures.AVAILABILITY_RATINGS, [(n, n) for n in measures.IMPACT_LEVELS]]
+)
+def test_nearest_is_the_smallest_distance(spark, levels):
+    make = random.Random(11)
+    values = [round(make.uniform(-20, 120), make.randint(0, 3)) for _ in range(2000)]
+    found = evaluate(
+        spark, measures.nearest(F.col("v"), levels), *[(v,) for v in values], schema="v double"
+    )
+    assert found == [min(levels, key=lambda level: abs(level[0] - v))[1] for v in values]
+
+
 def test_hour_labels(spark):
     found = evaluate(
         spark, text.hour_label(F.col("h")), (0,), (9,), (11,), (12,), (13,), schema="h int"

@@ -42,8 +42,11 @@ def item_label(name: Column, size: Column, flavour: Column) -> Column:
 
 
 def title_case(text: Column) -> Column:
-    """Upper-case every letter that does not follow a letter, lower-case the rest."""
-    pieces = F.split(F.lower(text), r"(?<=[^\p{L}])")
+    """Upper-case every letter that does not follow one, lower-case the rest.
+
+    Only letters that have two cases count as such.
+    """
+    pieces = F.split(F.lower(text), r"(?<=[^\p{Lu}\p{Ll}\p{Lt}])")
     return F.array_join(
         F.transform(
             pieces, lambda piece: F.concat(F.upper(piece.substr(1, 1)), F.substr(piece, F.lit(2)))

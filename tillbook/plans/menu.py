@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tillbook.functions import text
@@ -26,6 +27,13 @@ def store_menu(model: RetailModel, store: str | None = None) -> DataFrame:
     )
 
 
+def _pairs(unavailable: Iterable[tuple[str, str]]) -> pa.Table:
+    """The pairs as an Arrow table, of which Spark knows the size when it joins."""
+    names = ("store", "menu_item")
+    rows = [dict(zip(names, pair)) for pair in unavailable]
+    return pa.Table.from_pylist(rows, pa.schema([(name, pa.string()) for name in names]))
+
+
 def store_menu_availability(
     model: RetailModel,
     unavailable: DataFrame | Iterable[tuple[str, str]] = (),
@@ -39,9 +47,7 @@ def store_menu_availability(
     """
     menu = store_menu(model, store)
     if not isinstance(unavailable, DataFrame):
-        unavailable = menu.sparkSession.createDataFrame(
-            list(unavailable), "store string, menu_item string"
-        )
+        unavailable = menu.sparkSession.createDataFrame(_pairs(unavailable))
     flags = unavailable.select("store", "menu_item").distinct()
     menu = menu.join(
         flags.withColumn("unavailable", F.lit(True)), ["store", "menu_item"], "left"

@@ -91,7 +91,9 @@ def saved(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: read_summary(spark, name, f"{folder}/{name}") for name in SCHEMAS}
 
 
-def refresh(model: RetailModel, folder: str, start: dt.date | str, end: dt.date | str) -> None:
+def refresh(
+    model: RetailModel, folder: str, start: dt.date | str, end: dt.date | str
+) -> None:
     """Derive the months from ``start`` to ``end`` again and replace only those.
 
     New days cost a pass over their own transactions and not over the history.
@@ -111,6 +113,10 @@ def keep_for_application(
 
     A changed input gives a new table, and so does a table that was removed. Without a shared folder the summary stays
     a lazy part of each report's plan.
+
+    A change is noticed by the size and time of the given paths themselves. Where
+    those do not show it, as for files deeper down or in an object store, call
+    :func:`forget`.
     """
 
     def keep(name: str, build: Callable[[], DataFrame]) -> DataFrame:
