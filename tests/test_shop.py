@@ -374,6 +374,16 @@ def test_advanced_defaults_to_first_flavour_and_regular(model):
 # ---- popularity and menus
 
 
+def test_lists_are_in_order(spark):
+    days = [("Uppingham", f"2022-{day}", "1.00", "1.00", 1, 1) for day in ("07-20", "07-03", "06-30", "07-12")]
+    made = shop(spark, daily=days)
+    found = [row["day"].strftime("%m-%d") for row in store.store_daily_revenue(made).collect()]
+    assert found == ["06-30", "07-03", "07-12", "07-20"]
+    assert [row["iso_week"] for row in store.store_weeks(made).collect()] == [26, 28, 29]
+    names = [row["item_name"] for row in popularity.sales_by_time_of_day(made).collect()]
+    assert names == ["Flavoured Latte"] * 3 + ["Latte"] * 2 + ["Mocha"] * 2 + [None]
+
+
 def test_sales_by_band(model):
     rows = popularity.sales_by_time_of_day(model)
     assert values(rows, "item_name", "time_of_day", "cups_sold") == [

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tillbook.functions import dates
+from tillbook.operators.kpis import MEASURES
 from tillbook.operators.selection import of_store
 
 WEEK = ("store", "iso_year", "iso_week")
@@ -28,30 +29,36 @@ def of_week(rows: DataFrame, iso_week: int | None, iso_year: int | None) -> Data
 
 def week_days(
     daily_store: DataFrame,
+    *aggregates: Column,
     store: str | None = None,
     iso_week: int | None = None,
     iso_year: int | None = None,
 ) -> DataFrame:
     """All seven days of every week in which a store has data.
 
-    Days without data keep NULL measures. The expected days come from the weeks
-    that occur, seven rows each, and are matched to the facts by a left join.
+    ``fact`` holds the measures of a day and is NULL on a day without data. The
+    facts of a week, seven at most, are gathered in one aggregation and laid over
+    the seven expected days. ``aggregates`` of the week ride along.
     """
-    facts = of_store(daily_store, store)
-    weeks = facts.select(
-        "store", dates.week_commencing(F.col("day")).alias("week_commencing")
-    ).distinct()
-    expected = weeks.select(
-        "store",
-        "week_commencing",
-        F.explode(F.sequence(F.lit(0), F.lit(6))).alias("offset"),
-    ).select(
-        "store",
-        "week_commencing",
-        F.date_add("week_commencing", F.col("offset")).alias("day"),
-        (F.col("offset") + 1).alias("iso_weekday"),
-    )
-    expected = of_week(with_week(expected), iso_week, iso_year)
-    return expected.join(facts.withColumn("has_data", F.lit(True)), ["store", "day"], "left").withColumn(
-        "has_data", F.coalesce("has_data", F.lit(False))
+    day = F.col("day")
+    facts = of_week(with_week(of_store(daily_store, store)), iso_week, iso_year)
+    weeks = facts.groupBy(
+        *WEEK, dates.week_commencing(day).alias("week_commencing")
+    ).agg(
+        F.collect_list(F.struct(dates.iso_weekday(day).alias("iso_weekday"), *MEASURES)).alias(
+            "facts"
+        ),
+        *aggregates,
     )
+
+    def expected(number: Column) -> Column:
+        same_day = F.filter("facts", lambda fact: fact["iso_weekday"] == number)
+        return F.struct(
+            number.alias("iso_weekday"),
+            F.date_add("week_commencing", number - 1).alias("day"),
+            F.get(same_day, F.lit(0)).alias("fact"),
+        )
+
+    numbers = F.sequence(F.lit(1), F.lit(7))
+    gathered = ("week_commencing", "facts")
+    return weeks.select("*", F.inline(F.transform(numbers, expected))).drop(*gathered)

@@ -38,7 +38,7 @@ def store_breakdown(
         "alltimedates": lambda: stores.store_daily_revenue(model, store).select("revenue", "day"),
         "justdays": lambda: stores.total_days(model),
         "thesedays": lambda: stores.store_days_in_range(model, store, start, end).select("n_days"),
-        "weekofyear": lambda: stores.store_weeks(model, store).select("iso_week").distinct(),
+        "weekofyear": lambda: stores.store_weeks(model, store).select("iso_week").distinct().orderBy("iso_week"),
         "datesavgrevenue": lambda: stores.range_revenue(model, store, start, end).select(
             "range_revenue"
         ),

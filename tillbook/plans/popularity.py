@@ -13,12 +13,16 @@ from tillbook.model import RetailModel
 LEFT_OUT = ("Flavoured Iced Latte", "Speciality Tea")
 
 
+def _cups_per_band(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("item_name", "time_of_day").agg(F.sum("cups").alias("cups_sold"))
+
+
 def sales_by_time_of_day(model: RetailModel, band: int | None = None) -> DataFrame:
-    """Cups per item and band, one grouping for all bands."""
+    """Cups per item and band in order of the names, one grouping for all bands."""
     rows = model.item_hours
     if band is not None:
         rows = rows.where(F.col("time_of_day") == band)
-    return rows.groupBy("item_name", "time_of_day").agg(F.sum("cups").alias("cups_sold"))
+    return _cups_per_band(rows).orderBy(F.asc_nulls_last("item_name"), "time_of_day")
 
 
 def _named(rows: DataFrame, exclude: Sequence[str]) -> DataFrame:
@@ -44,7 +48,7 @@ def item_popularity_long(
     model: RetailModel, exclude: Sequence[str] = LEFT_OUT, without_top: int = 0
 ) -> DataFrame:
     """Cups per item and band with the band's name."""
-    rows = _named(sales_by_time_of_day(model), exclude)
+    rows = _cups_per_band(_named(model.item_hours, exclude))
     return _without_top(rows, "cups_sold", without_top).select(
         "item_name", "time_of_day", band_name(F.col("time_of_day")).alias("band"), "cups_sold"
     )
@@ -77,7 +81,7 @@ def best_worst_by_time_of_day(model: RetailModel) -> DataFrame:
     """
     ranked = F.struct("cups_sold", "item_name")
     found = (
-        _named(sales_by_time_of_day(model), ())
+        _cups_per_band(_named(model.item_hours, ()))
         .rollup("time_of_day")
         .agg(
             F.grouping("time_of_day").alias("all_bands"),

@@ -30,8 +30,11 @@ def store_revenue_alltime(model: RetailModel, store: str | None = None) -> DataF
 
 
 def store_daily_revenue(model: RetailModel, store: str | None = None) -> DataFrame:
-    return of_store(model.daily_store, store).select(
-        "store", "day", F.col("revenue").cast("double").alias("revenue")
+    """Revenue of every day, in order of the days."""
+    return (
+        of_store(model.daily_store, store)
+        .select("store", "day", F.col("revenue").cast("double").alias("revenue"))
+        .orderBy("store", "day")
     )
 
 
@@ -56,11 +59,13 @@ def store_days_in_range(
 
 
 def store_weeks(model: RetailModel, store: str | None = None) -> DataFrame:
+    """Weeks with data, in order."""
     day = F.col("day")
     return (
         of_store(model.daily_store, store)
         .select("store", iso_year(day).alias("iso_year"), iso_week(day).alias("iso_week"))
         .distinct()
+        .orderBy("store", "iso_year", "iso_week")
     )
 
 

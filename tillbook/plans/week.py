@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tillbook.functions import dates
-from tillbook.functions.measures import impact_level, percent_of
+from tillbook.functions.measures import exact_mean, impact_level, percent_of
 from tillbook.model import RetailModel
 from tillbook.operators.calendar import WEEK, of_week, week_days, with_week
 from tillbook.operators.kpis import means
@@ -19,16 +19,19 @@ def week_grid(
     iso_year: int | None = None,
 ) -> DataFrame:
     """Seven rows per store and week; days without data keep NULL figures."""
-    return week_days(model.daily_store, store, iso_week, iso_year).select(
+    days = week_days(
+        model.daily_store, store=store, iso_week=iso_week, iso_year=iso_year
+    )
+    return days.select(
         *WEEK,
         "iso_weekday",
         dates.weekday_name(F.col("iso_weekday")).alias("weekday_name"),
         "day",
-        F.col("revenue").cast("double").alias("revenue"),
-        F.col("avg_spend").cast("double").alias("avg_spend"),
-        "customers",
-        "coffees",
-        "has_data",
+        F.col("fact.revenue").cast("double").alias("revenue"),
+        F.col("fact.avg_spend").cast("double").alias("avg_spend"),
+        "fact.customers",
+        "fact.coffees",
+        F.col("fact").isNotNull().alias("has_data"),
     )
 
 
@@ -99,18 +102,17 @@ def weekday_vs_week_average(
     iso_week: int | None = None,
     iso_year: int | None = None,
 ) -> DataFrame:
-    """Revenue of each day against the week's mean, in amount, percent and level.
-
-    The window holds the seven rows of one week of one store.
-    """
-    days = week_days(model.daily_store, store, iso_week, iso_year)
-    week = Window.partitionBy(*WEEK)
-    mean = F.try_divide(
-        F.sum("revenue").over(week).cast("double"), F.count("revenue").over(week)
+    """Revenue of each day against the week's mean, in amount, percent and level."""
+    days = week_days(
+        model.daily_store,
+        exact_mean(F.col("revenue")).alias("mean"),
+        store=store,
+        iso_week=iso_week,
+        iso_year=iso_year,
     )
     return (
         days.select(
-            *WEEK, "iso_weekday", F.col("revenue").cast("double").alias("revenue"), mean.alias("mean")
+            *WEEK, "iso_weekday", F.col("fact.revenue").cast("double").alias("revenue"), "mean"
         )
         .withColumn("delta", F.col("revenue") - F.col("mean"))
         .withColumn("diff_pct", percent_of(F.col("delta"), F.col("mean")))
