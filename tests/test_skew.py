@@ -59,11 +59,26 @@ def test_hot_keys_give_the_same_rows(spark, folder, name):
     assert actual == expected
 
 
-def test_fact_join_is_split_at_the_hot_transaction(spark, folder):
+def test_joins_are_split_at_the_hot_keys(spark, folder):
     with settings(spark, **SKEWED):
         frame = testtables.load(spark, folder, keep_summaries=False).item_hours
         frame.collect()
         text = plan(frame)
     assert "isFinalPlan=true" in text
-    joins = [line for line in text.split("== Initial Plan ==")[0].splitlines() if "SortMergeJoin" in line]
-    assert any("transaction_id" in join and "skew=true" in join for join in joins), "\n".join(joins)
+    final = text.split("== Initial Plan ==")[0]
+    joins = [line for line in final.splitlines() if "SortMergeJoin" in line]
+    for key in ("transaction_id", "l_partkey", "user_id"):
+        assert any(f"[{key}#" in join and "skew=true" in join for join in joins), (key, joins)
+
+
+def test_hot_transaction_is_folded_before_the_daily_join(spark, folder):
+    """The join of the daily table gets one row per transaction and task at most."""
+    items = testtables.items(spark, folder)
+    hot = items.where("transaction_id = 4242")
+    assert hot.count() > items.count() / 3
+    with settings(spark, **SKEWED):
+        frame = testtables.load(spark, folder, keep_summaries=False).daily_store
+        text = plan(frame)
+    folded = text.index("partial_sum(price")
+    shuffled = text.rindex("Exchange hashpartitioning(transaction_id", 0, folded)
+    assert "SortMergeJoin [transaction_id" in text[:shuffled]
