@@ -437,6 +437,26 @@ def test_long_menu_is_cropped_and_wraps(spark):
     assert rows[-1]["menu_item"] == "X" + "x" * 29
 
 
+def test_menu_numbers_equal_a_plain_sort(spark):
+    make = random.Random(3)
+    names = sorted({"".join(make.choices("abé 1", k=make.randint(1, 6))).strip() for _ in range(400)} - {""})
+    visits = [(1, "2022-07-04 09:15", "Uppingham", 1), (2, "2022-07-04 09:15", "Longridge", 1)]
+    sold = [(1, name, None, "Large") for name in names] + [(2, name, None, "Large") for name in names[::7]]
+    rows = menu.store_menu_availability(shop(spark, visits, sold)).collect()
+    for store_name, expected in (("Uppingham", names), ("Longridge", names[::7])):
+        lines = [row for row in rows if row["store"] == store_name]
+        labels = sorted((name.title() for name in expected), key=lambda label: label.encode())
+        found = sorted(lines, key=lambda row: row["position"])
+        assert [row["position"] for row in found] == list(range(1, len(labels) + 1))
+        assert [row["menu_item"] for row in found] == labels
+
+
+def test_menu_of_an_unnamed_store_is_kept(spark):
+    made = shop(spark, [(1, "2022-07-04 09:15", None, 1)], [(1, "Latte", None, "Large")])
+    (row,) = menu.store_menu_availability(made).collect()
+    assert (row["store"], row["position"], row["display_text"]) == (None, 1, "Latte")
+
+
 # ---- derived daily table
 
 
