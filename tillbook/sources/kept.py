@@ -96,7 +96,8 @@ def refresh(
 ) -> None:
     """Derive the months from ``start`` to ``end`` again and replace only those.
 
-    New days cost a pass over their own transactions and not over the history.
+    New days cost a pass over their own transactions and not over the history. A
+    month that has lost all its transactions keeps its folder; save anew for that.
     """
     first, last = check_range(start, end)
     following = (last.replace(day=1) + dt.timedelta(days=31)).replace(day=1)
