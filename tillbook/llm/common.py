@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+import tillbook
+
 #: Rows handled at once inside a task; bounds what a task holds besides Spark's batch.
 SLICE_ROWS = 512
 
@@ -29,6 +35,27 @@ def words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "replace").translate(_WORD_BYTES).split()
 
 
+@functools.cache
+def _shipped(application: str) -> None:
+    """Make this package importable in the tasks of the running application."""
+    package = Path(tillbook.__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="tillbook-")) / "tillbook_code.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    SparkContext.getOrCreate().addPyFile(str(archive))
+
+
+def ship_package(spark: SparkSession) -> None:
+    _shipped(spark.sparkContext.applicationId)
+
+
+def map_batches(frame: DataFrame, run: Callable, schema: StructType) -> DataFrame:
+    """``mapInArrow`` with a function that may use this package."""
+    ship_package(frame.sparkSession)
+    return frame.mapInArrow(run, schema)
+
+
 def map_slices(
     frame: DataFrame, ddl: str, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]]
 ) -> DataFrame:
@@ -46,7 +73,7 @@ def map_slices(
                 arrays = [pa.array(columns[f.name], f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return frame.mapInArrow(run, schema)
+    return map_batches(frame, run, schema)
 
 
 def add_columns(
@@ -68,7 +95,7 @@ def add_columns(
                 arrays = [part.column(i).cast(arrow.field(k).type) for k, i in enumerate(first)]
                 yield pa.RecordBatch.from_arrays(arrays + new, schema=arrow)
 
-    return frame.mapInArrow(run, schema)
+    return map_batches(frame, run, schema)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -87,12 +114,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the application ends."""
-    path = f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
+    """A new path below the application's own folder in the shared folder, deleted when the application ends."""
+    folder = f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        system.mkdirs(place)
+        system.deleteOnExit(place)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def written(frame: DataFrame, name: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tillbook.llm.common import map_slices, words, written
+from tillbook.llm.common import map_batches, map_slices, words, written
 from tillbook.llm.components import components
 
 #: Words of an n-gram, and similarity of a link.
@@ -292,7 +292,7 @@ def _verified(documents: DataFrame, classes: DataFrame, clusters: DataFrame, thr
             close()
         yield batch_of(out)
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return map_batches(dealt.repartition(*keys).sortWithinPartitions(*keys), run, schema)
 
 
 def near_duplicates(

@@ -103,8 +103,46 @@ SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy,
 FROM copies
 """
 
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> {shift}) & 31) + 1, 1)"
+_WARC = f"""
+WITH bodies AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+), digested AS (
+  SELECT page_id, octet_length(body) AS size, sha1(body) AS hex FROM bodies
+), named AS (
+  SELECT page_id, size, array_to_string(list_transform(range(0, 8), lambda i:
+    list_transform([CAST('0x' || substr(hex, 5 * i + 1, 5) AS BIGINT)],
+      lambda v: {" || ".join(_DIGIT.format(shift=s) for s in (15, 10, 5, 0))})[1]), '') AS digest
+  FROM digested
+), placed AS (
+  SELECT *, max(page_id) OVER (PARTITION BY digest, size) AS keeper FROM named
+)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM placed
+"""
+
+_TOP_SCORES = """
+WITH usable AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 SQL: dict[str, str] = {
     "op1_line_dedup": _LINE_DEDUP,
     "op2_decontamination": _DECONTAMINATION,
+    "op5_top_scores": _TOP_SCORES,
     "op6_mixing": _MIXING,
+    "op9_warc": _WARC,
 }

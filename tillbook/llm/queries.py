@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillbook.llm import decontaminate, jaccard, language, linededup, mixing
+from tillbook.llm import (
+    decontaminate,
+    jaccard,
+    language,
+    linededup,
+    mixing,
+    mtree,
+    secrets,
+    tokencounts,
+    toxicity,
+    warc,
+)
 from tillbook.llm.oracle import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,10 +45,37 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", apart.alias("held_out"), "lang_pred", "score")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencounts.count_tokens(documents, tokencounts.ranks(spark), tokencounts.scrub_edits).drop("text")
+
+
+def op5_top_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_scores(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    apart = language.held_out(F.col("doc_id"), 5, 0)
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.learn(documents, labels.where(~apart))
+    found = toxicity.score(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", apart.alias("held_out"), "score", "predicted")
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.scan(documents, secrets.learn(documents)).drop("text")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +90,12 @@ QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_language_id": op3_language_id,
+    "op4_token_counts": op4_token_counts,
+    "op5_top_scores": op5_top_scores,
     "op6_mixing": op6_mixing,
+    "op7_toxicity": op7_toxicity,
+    "op8_secrets": op8_secrets,
+    "op9_warc": op9_warc,
     "op10_jaccard_join": op10_jaccard_join,
     "pipeline": pipeline,
 }
