@@ -26,7 +26,7 @@ _ASSIGN_SIZE = 6
 _STRING = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 _STRING_SIZE = 16
 #: Log-likelihood ratio from which a string is random rather than an identifier.
-LEAST_RATIO = 12.0
+LEAST_RATIO = 8.0
 #: Documents that the models are trained on, about, chosen by a hash of doc_id.
 SAMPLE = 20_000
 #: Added to each count of a transition.

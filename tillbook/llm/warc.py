@@ -97,7 +97,11 @@ def record_bytes(row: dict, date: str) -> bytes:
 
 
 class WarcDataSource(DataSource):
-    """Format ``warc``. Options: path; payload=false leaves payloads null; partition_bytes; file_bytes."""
+    """Format ``warc``.
+
+    Options: path; payload=false leaves payloads null; header.NAME=VALUE reads only records with
+    this header, of any name; partition_bytes; file_bytes.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -123,15 +127,17 @@ class WarcReader(DataSourceReader):
         self.folder = options["path"]
         self.payload = options.get("payload", "true").lower() != "false"
         self.partition_bytes = int(options.get("partition_bytes", PARTITION_BYTES))
-        self.tests: list[tuple[str, str, tuple]] = []
+        self.tests: list[tuple[str, str, tuple]] = [
+            (name.lower().removeprefix("header."), "in", (value,))
+            for name, value in options.items()
+            if name.lower().startswith("header.")
+        ]
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Predicates on header columns and on keys of the map are tested on the headers; others are left to Spark."""
+        """Predicates on the columns that are headers are tested on them; others are left to Spark."""
         for test in filters:
             column = getattr(test, "attribute", ())
             header = _HEADER_OF.get(column[0]) if len(column) == 1 else None
-            if len(column) == 2 and column[0] == "headers":
-                header = column[1]
             kinds = {EqualTo: "in", EqualNullSafe: "in", In: "in", StringStartsWith: "starts", IsNotNull: "there"}
             kind = kinds.get(type(test))
             values = test.value if isinstance(test, In) else (getattr(test, "value", None),)
@@ -414,10 +420,11 @@ def write(rows: DataFrame, path: str) -> None:
     rows.write.format("warc").mode("append").save(path)
 
 
-def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """The records of the WARC files at ``path``, lazily."""
+def read(spark: SparkSession, path: str, payload: bool = True, headers: dict[str, str] | None = None) -> DataFrame:
+    """The records of the WARC files at ``path`` that have these headers, lazily."""
     use(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    chosen = {f"header.{name}": value for name, value in (headers or {}).items()}
+    return spark.read.format("warc").options(payload=str(payload).lower(), **chosen).load(path)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
