@@ -10,6 +10,8 @@ import __spark_entry__ as registry
 from compare import TEST_DATA
 from shop import shop
 from tillbook import RetailModel
+from tillbook.operators import summaries
+from tillbook.operators.selection import of_store, on_day
 from tillbook.plans import hourly, kpi, popularity, week
 from tillbook.sources import kept, testtables
 
@@ -19,8 +21,6 @@ ON_FACTS = {
     "transactions_per_store",
     "items_per_kind",
     "sold_items_per_store",
-    "cups_by_timestamp_item",
-    "cups_by_timestamp_item_one_day",
 }
 
 
@@ -82,44 +82,79 @@ def test_reports_read_summaries_only(spark, name):
     assert all(f"{kept.shared_folder(spark)}/tillbook/" in file for file in files)
 
 
-def test_daily_store_shuffles_each_fact_once(spark, stored):
-    facts = RetailModel(stored.transactions, stored.items)
-    with settings(spark, **NO_BROADCAST):
-        text = plan(facts.daily_store)
+def exchanges(text):
     keys = re.findall(r"Exchange hashpartitioning\(([^)]*)", text)
-    names = [re.findall(r"([a-z_]+)#", key) for key in keys]
-    assert sorted(names) == [["store", "day"], ["transaction_id"], ["transaction_id"]]
-    # items are folded per transaction before they are shuffled
-    folded = text.index("partial_sum(price")
-    assert text.rindex("Exchange hashpartitioning(transaction_id", 0, folded)
+    return sorted([re.findall(r"([a-z_]+)#", key) for key in keys])
+
+
+def test_facts_are_shuffled_once_for_all_summaries(spark, stored, tmp_path):
+    with settings(spark, **NO_BROADCAST):
+        assert exchanges(plan(RetailModel(stored.transactions, stored.items).sold)) == [["transaction_id"]] * 2
+    model = testtables.load(spark, FOLDER)
+    kept.forget()
+    for frame in (summaries.daily_store(model.sold), summaries.item_hours(model.sold)):
+        assert all("/sold-" in file for file in frame.inputFiles())
+    # a transaction's items are folded before they are shuffled
+    text = plan(summaries.daily_store(model.sold))
+    assert exchanges(text) == [["store", "day"], ["store", "day", "transaction_id"]]
+    assert text.index("Exchange hashpartitioning(store#", text.index("keys=[store#")) < text.index("partial_sum(price")
+
 
+def test_one_day_of_timestamps_reads_one_month(spark):
+    model = testtables.load(spark, FOLDER)
+    text = plan(hourly.cups_by_timestamp_item(model, "ASIA", "2024-01-15"))
+    assert re.search(r"PartitionFilters: \[.*month#\d+ >= 2024-01-01.*month#\d+ <= 2024-01-01", text)
+    assert "GreaterThanOrEqual(day,2024-01-15), LessThanOrEqual(day,2024-01-15)" in text
+    assert "EqualTo(store,ASIA)" in text
+    assert len(exchanges(text)) == 1
 
-def test_fact_columns_are_pruned(stored):
-    text = plan(RetailModel(stored.transactions, stored.items).daily_store)
-    (schema,) = (s for s in re.findall(r"ReadSchema: struct<(.*?)>", text) if "price" in s)
-    assert [column.split(":")[0] for column in schema.split(",")][:3] == [
-        "transaction_id",
-        "item_name",
-        "price",
-    ]
+
+def test_one_week_reads_its_months(spark):
+    text = plan(week.week_grid(testtables.load(spark, FOLDER), "ASIA", 5, 2024))
+    assert re.search(r"PartitionFilters: \[.*month#\d+ >= 2024-01-01.*month#\d+ <= 2024-02-01", text)
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "store_items",
+        "item_flavours",
+        "sales_by_time_of_day",
+        "item_popularity_without_top",
+        "best_worst_by_time_of_day",
+        "store_menu",
+        "store_menu_availability",
+    ],
+)
+def test_reports_without_days_read_the_table_without_days(spark, name):
+    files = registry.queries()[name](spark, FOLDER).inputFiles()
+    assert files and all("/item_kinds-" in file for file in files)
+
+
+def test_a_menu_needs_few_shuffles(spark):
+    text = plan(registry.queries()["store_menu_availability"](spark, FOLDER))
+    assert len(re.findall(r"(?<!Broadcast)Exchange (?:hash|range)", text)) <= 4
+
+
+def test_weeks_of_a_store_need_two_shuffles(spark):
+    text = plan(registry.queries()["store_breakdown_weekofyear"](spark, FOLDER))
+    assert len(re.findall(r"(?<!Broadcast)Exchange (?:hash|range)", text)) == 2
+
+
+def test_fact_columns_are_pruned(spark):
+    text = plan(testtables.load(spark, FOLDER, keep_summaries=False).sold)
+    (schema,) = (s for s in re.findall(r"ReadSchema: struct<(.*?)>", text) if "l_orderkey" in s)
+    assert [column.split(":")[0] for column in schema.split(",")] == ["l_orderkey", "l_partkey", "l_extendedprice"]
 
 
 def test_one_day_is_pushed_to_the_transaction_scan(stored):
-    text = plan(hourly.cups_by_timestamp_item(stored, "Chesterfield", "2022-07-05"))
+    text = plan(on_day(of_store(stored.transactions, "Chesterfield"), "2022-07-05"))
     pushed = next(line for line in text.splitlines() if "ReadSchema" in line and "ts:" in line)
     assert "GreaterThanOrEqual(ts,2022-07-05T00:00)" in pushed
     assert "LessThan(ts,2022-07-06T00:00)" in pushed
     assert "EqualTo(store,Chesterfield)" in pushed
 
 
-def test_one_day_filters_the_items_before_their_shuffle(spark, stored):
-    runtime = "spark__sql__optimizer__runtime__bloomFilter__"
-    sizes = {f"{runtime}applicationSideScanSizeThreshold": "0", **NO_BROADCAST}
-    with settings(spark, **sizes):
-        text = plan(hourly.cups_by_timestamp_item(stored, "Chesterfield", "2022-07-05"))
-    assert "might_contain" in text
-
-
 def test_one_day_of_item_hours_reads_one_month(spark):
     model = testtables.load(spark, FOLDER)
     text = plan(hourly.cups_by_hour_item(model, "ASIA", "2024-01-15"))

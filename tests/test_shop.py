@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from shop import ITEMS, TRANSACTIONS, items_frame, shop
+from shop import DAILY, ITEMS, TRANSACTIONS, items_frame, shop
 from tillbook.functions import dates, measures, text
 from tillbook.operators.selection import resolve_stores
 from tillbook.plans import hourly, kpi, lookup, menu, popularity, store, week
@@ -115,6 +115,9 @@ def test_cards(model):
     assert cards["total_revenue"]["delta"] == "$-80.00"
     assert cards["total_coffees"]["delta"] == "-25"
     assert cards["avg_spend"]["stores"] == "Uppingham"
+    assert cards["avg_spend"]["status"] == "selected-missing"
+    neither = kpi.kpi_cards(model, "2022-09-01", ["Uppingham"]).collect()
+    assert {(row["status"], row["value"], row["delta"]) for row in neither} == {("both-missing", None, None)}
     both = kpi.kpi_cards(model, JULY[5], ["Uppingham", "Longridge"]).first()
     assert both["stores"] == "Uppingham or Longridge"
     assert kpi.kpi_cards(model, JULY[5]).first()["stores"] == "All"
@@ -427,16 +430,27 @@ def test_menu(model):
     assert last["available"] is False
 
 
-def test_long_menu_is_cropped_and_wraps(spark):
+def test_long_menu_wraps_and_is_cropped_on_request(spark):
     names = ["x" * 30, *"abcdef"]
     sold = [(1, name, None, "Regular") for name in names]
-    rows = menu.store_menu_availability(shop(spark, TRANSACTIONS, sold), [("Chesterfield", "X" + "x" * 29)])
-    rows = rows.orderBy("position").collect()
+    missing = [("Chesterfield", "X" + "x" * 29)]
+    made = shop(spark, TRANSACTIONS, sold)
+    rows = menu.store_menu_availability(made, missing).orderBy("position").collect()
     assert [row["column_no"] for row in rows] == [1] * 6 + [2]
-    assert rows[-1]["display_text"] == "!X" + "x" * 27
+    assert rows[-1]["display_text"] == "!X" + "x" * 29
+    cut = menu.store_menu_availability(made, missing, crop_to=text.CROPPED_LENGTH).orderBy("position").collect()
+    assert cut[-1]["display_text"] == "!X" + "x" * 27
     assert rows[-1]["menu_item"] == "X" + "x" * 29
 
 
+def test_menu_whose_lines_start_alike(spark):
+    sold = [(1, f"Flavoured {n:05d}", None, "Regular") for n in range(3000)]
+    rows = menu.store_menu_availability(shop(spark, TRANSACTIONS, sold)).collect()
+    assert sorted((row["position"], row["menu_item"]) for row in rows) == [
+        (n + 1, f"Flavoured {n:05d}") for n in range(3000)
+    ]
+
+
 def test_menu_numbers_equal_a_plain_sort(spark):
     make = random.Random(3)
     names = sorted({"".join(make.choices("abé 1", k=make.randint(1, 6))).strip() for _ in range(400)} - {""})
@@ -598,3 +612,82 @@ def test_items_without_price(spark):
 
     bare = items_frame(spark, ITEMS).drop("price")
     assert warehouse.items(bare).where("price is null").count() == len(ITEMS)
+
+
+# ---- all stores against one store, and rows that must not get lost
+
+PER_STORE = [
+    lambda m, s: store.store_revenue_alltime(m, s),
+    lambda m, s: store.store_daily_revenue(m, s),
+    lambda m, s: store.store_days_in_range(m, s, JULY[4], JULY[4]),
+    lambda m, s: store.store_weeks(m, s),
+    lambda m, s: store.store_summary(m, s),
+    lambda m, s: store.store_cards(m, s),
+    lambda m, s: store.range_revenue(m, s, JULY[4], JULY[4]),
+    lambda m, s: store.store_alltime_averages(m, s),
+    lambda m, s: store.range_availability(m, JULY[4], JULY[4], s),
+    lambda m, s: store.range_kpis(m, JULY[4], JULY[4], s),
+    lambda m, s: store.range_vs_alltime(m, JULY[4], JULY[4], s),
+    lambda m, s: week.week_grid(m, s),
+    lambda m, s: week.week_commencing(m, s),
+    lambda m, s: week.week_availability(m, s),
+    lambda m, s: week.week_day_lines(m, s),
+    lambda m, s: week.week_average(m, s),
+    lambda m, s: week.weekday_vs_week_average(m, s),
+    lambda m, s: hourly.cups_by_timestamp_item(m, s),
+    lambda m, s: hourly.cups_by_hour_item(m, s),
+    lambda m, s: hourly.hourly_insights(m, s),
+    lambda m, s: hourly.store_items(m, s),
+    lambda m, s: hourly.item_flavours(m, s),
+    lambda m, s: menu.store_menu(m, s),
+    lambda m, s: menu.store_menu_availability(m, [("Uppingham", "Latte")], s),
+]
+
+
+@pytest.mark.parametrize("report", PER_STORE)
+@pytest.mark.parametrize("name", ["Chesterfield", "Uppingham", "London Soho"])
+def test_all_stores_filtered_equal_one_store(model, report, name):
+    whole = report(model, None).where(F.col("store") == name)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, report(model, name).collect()))
+
+
+@pytest.mark.parametrize("day", [None, JULY[5]])
+@pytest.mark.parametrize("name", ["Chesterfield", "Uppingham", "London Soho"])
+def test_compared_items_of_all_stores_filtered_equal_one_store(model, name, day):
+    choices = hourly.ItemChoice("Flavoured Latte"), hourly.ItemChoice("Mocha", sizes=["Large", "Regular"])
+    for compare, picked in (
+        (hourly.compare_two_items, ("Flavoured Latte", "Mocha")),
+        (hourly.compare_two_items_advanced, choices),
+    ):
+        whole = compare(model, *picked, day=day).where(F.col("store") == name).drop("store")
+        one = compare(model, *picked, store=name, day=day)
+        assert sorted(map(str, whole.select(one.columns).collect())) == sorted(map(str, one.collect()))
+
+
+def test_first_flavour_is_that_of_the_store(model):
+    choice = hourly.ItemChoice("Flavoured Latte")
+    rows = hourly.compare_two_items_advanced(model, choice, hourly.ItemChoice("Mocha", sizes=["Large"]))
+    assert [row["item"] for row in rows.where("store = 'London Soho' AND the_hour = 15").collect()].count(
+        "Flavoured LatteRegularVanilla"
+    ) == 1
+
+
+def test_stores_without_a_day_in_the_range_stay(model):
+    days = {row["store"]: row["n_days"] for row in store.store_days_in_range(model, None, JULY[4], JULY[4]).collect()}
+    assert days == {"Chesterfield": 1, "Uppingham": 1, "London Soho": 0}
+    revenue = {row["store"]: tuple(row)[1:] for row in store.range_revenue(model, None, JULY[4], JULY[4]).collect()}
+    assert revenue["London Soho"] == (0.0, 0.0)
+
+
+def test_two_rows_for_a_day_are_added_up(spark):
+    made = shop(spark, daily=[*DAILY, ("Chesterfield", "2022-07-05", "30.00", "4.00", 10, 4)])
+    grid = week.week_grid(made, "Chesterfield").where("iso_weekday = 2").first()
+    assert (grid["revenue"], grid["avg_spend"], grid["customers"], grid["coffees"]) == (150.0, 5.0, 30, 40)
+    assert week.week_grid(made).count() == 21
+
+
+def test_popularity_leaves_nothing_out_unless_told(spark):
+    sold = [(1, name, None, "Large") for name in (*popularity.LEFT_OUT, "Mocha")]
+    made = shop(spark, TRANSACTIONS, sold)
+    assert popularity.item_popularity(made).count() == popularity.item_popularity_long(made).count() == 3
+    assert popularity.item_popularity(made, exclude=popularity.LEFT_OUT).count() == 1

@@ -17,6 +17,8 @@ AVAILABILITY_RATINGS = (
     (100, "Exceptional"),
 )
 IMPACT_LEVELS = (-4.0, -2.0, 0.0, 1.5, 3.0, 4.5)
+BOTH_MISSING, PREVIOUS_MISSING = "both-missing", "previous-missing"
+SELECTED_MISSING, NONE_MISSING = "selected-missing", "none"
 
 
 def or_zero(value: Column) -> Column:
@@ -74,8 +76,8 @@ def missing_status(selected_rows: Column, previous_rows: Column) -> Column:
     no_selected = or_zero(selected_rows) == 0
     no_previous = or_zero(previous_rows) == 0
     return (
-        F.when(no_selected & no_previous, "both-missing")
-        .when(no_previous, "previous-missing")
-        .when(no_selected, "selected-missing")
-        .otherwise("none")
+        F.when(no_selected & no_previous, BOTH_MISSING)
+        .when(no_previous, PREVIOUS_MISSING)
+        .when(no_selected, SELECTED_MISSING)
+        .otherwise(NONE_MISSING)
     )

@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-# The four bands of the trading day, the length a line of a long
-# menu is cut to, and the number of lines from which a menu counts as long.
+# The four bands of the trading day, the length that fits a drawn
+# menu line, and the number of lines in a column of a menu.
 BAND_NAMES = {1: "breakfast", 2: "early_lunch", 3: "late_lunch", 4: "afternoon"}
 CROPPED_LENGTH = 28
 LINES_PER_COLUMN = 6
@@ -64,10 +64,9 @@ def flagged(label: Column, unavailable: Column) -> Column:
     return F.when(unavailable, F.concat(F.lit("!"), label)).otherwise(label)
 
 
-def cropped(label: Column, lines_in_menu: Column) -> Column:
-    return F.when(
-        lines_in_menu > LINES_PER_COLUMN, label.substr(1, CROPPED_LENGTH)
-    ).otherwise(label)
+def cropped(label: Column, length: int | None) -> Column:
+    """The whole label, or its first letters for whoever draws it."""
+    return label if length is None else label.substr(1, length)
 
 
 def money(amount: Column) -> Column:

@@ -11,7 +11,7 @@ from tillbook.operators import summaries
 Table = DataFrame | Callable[[], DataFrame]
 
 
-def _as_built(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def _as_built(name: str, build: Callable[[], DataFrame], facts: Callable[[], list]) -> DataFrame:
     return build()
 
 
@@ -23,9 +23,10 @@ class RetailModel:
                       Either may be a function that opens the table; it is only
                       called by a report that reads the table itself.
     ``store_groups``  group name -> stores, in the order the group lists them
-    ``keep``          decides where a summary lives: it gets the name and a
-                      function that builds it. By default a summary is a lazy
-                      part of the plan of each report.
+    ``keep``          decides where a summary lives: it gets the name, a function
+                      that builds it and one that returns the tables it is built
+                      from. By default a summary is a lazy part of the plan of
+                      each report, which then joins the facts itself.
     ``given``         summaries that exist already as tables
     """
 
@@ -34,13 +35,14 @@ class RetailModel:
         transactions: Table,
         items: Table,
         store_groups: Mapping[str, Sequence[str]] | None = None,
-        keep: Callable[[str, Callable[[], DataFrame]], DataFrame] = _as_built,
+        keep: Callable[[str, Callable[[], DataFrame], Callable[[], list]], DataFrame] = _as_built,
         given: Mapping[str, DataFrame] | None = None,
     ) -> None:
         self._facts = {"transactions": transactions, "items": items}
         self.store_groups = dict(store_groups or {})
         self._keep = keep
-        self._tables = dict(given or {})
+        self.given = dict(given or {})
+        self._tables = dict(self.given)
 
     @property
     def transactions(self) -> DataFrame:
@@ -50,12 +52,13 @@ class RetailModel:
     def items(self) -> DataFrame:
         return self._fact("items")
 
+    @property
+    def sold(self) -> DataFrame:
+        return self._summary("sold", lambda: summaries.sold(self.transactions, self.items))
+
     @property
     def daily_store(self) -> DataFrame:
-        return self._summary(
-            "daily_store",
-            lambda: summaries.daily_store(self.transactions, self.items),
-        )
+        return self._summary("daily_store", lambda: summaries.daily_store(self.sold))
 
     @property
     def store_days(self) -> DataFrame:
@@ -65,10 +68,11 @@ class RetailModel:
 
     @property
     def item_hours(self) -> DataFrame:
-        return self._summary(
-            "item_hours",
-            lambda: summaries.item_hours(self.transactions, self.items),
-        )
+        return self._summary("item_hours", lambda: summaries.item_hours(self.sold))
+
+    @property
+    def item_kinds(self) -> DataFrame:
+        return self._summary("item_kinds", lambda: summaries.item_kinds(self.item_hours))
 
     def _fact(self, name: str) -> DataFrame:
         table = self._facts[name]
@@ -78,5 +82,9 @@ class RetailModel:
 
     def _summary(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._tables:
-            self._tables[name] = self._keep(name, build)
+            self._tables[name] = self._keep(name, build, self._sources)
         return self._tables[name]
+
+    def _sources(self) -> list[DataFrame]:
+        """All tables that a summary may be built from."""
+        return [self.transactions, self.items, *(self.given[name] for name in sorted(self.given))]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillbook.functions import dates
-from tillbook.operators.kpis import MEASURES
-from tillbook.operators.selection import of_store
+from tillbook.functions.measures import exact_mean
+from tillbook.operators.kpis import MEASURES, only
+from tillbook.operators.selection import of_store, within
 
 WEEK = ("store", "iso_year", "iso_week")
 
@@ -19,7 +22,19 @@ def with_week(rows: DataFrame) -> DataFrame:
     )
 
 
-def of_week(rows: DataFrame, iso_week: int | None, iso_year: int | None) -> DataFrame:
+def of_week(
+    rows: DataFrame, store: str | None, iso_week: int | None, iso_year: int | None
+) -> DataFrame:
+    """Rows of a store and week with their ISO year and week.
+
+    Where both are known the week is a range of days, which prunes months; a week of
+    every year can't be pruned, nor a year, which begins and ends within weeks.
+    """
+    rows = of_store(rows, store)
+    if iso_week is not None and iso_year is not None:
+        monday = dt.date.fromisocalendar(iso_year, iso_week, 1)
+        rows = within(rows, monday, monday + dt.timedelta(days=6))
+    rows = with_week(rows)
     if iso_week is not None:
         rows = rows.where(F.col("iso_week") == iso_week)
     if iso_year is not None:
@@ -36,29 +51,37 @@ def week_days(
 ) -> DataFrame:
     """All seven days of every week in which a store has data.
 
-    ``fact`` holds the measures of a day and is NULL on a day without data. The
-    facts of a week, seven at most, are gathered in one aggregation and laid over
-    the seven expected days. ``aggregates`` of the week ride along.
+    ``fact`` holds the measures of a day and is NULL on a day without data. Should a
+    store have several rows for a day, they are added up and their average spends
+    averaged, as in the other reports. ``aggregates`` of the week ride along.
     """
     day = F.col("day")
-    facts = of_week(with_week(of_store(daily_store, store)), iso_week, iso_year)
-    weeks = facts.groupBy(
-        *WEEK, dates.week_commencing(day).alias("week_commencing")
-    ).agg(
-        F.collect_list(F.struct(dates.iso_weekday(day).alias("iso_weekday"), *MEASURES)).alias(
-            "facts"
-        ),
-        *aggregates,
-    )
+    facts = of_week(daily_store, store, iso_week, iso_year)
 
-    def expected(number: Column) -> Column:
-        same_day = F.filter("facts", lambda fact: fact["iso_weekday"] == number)
-        return F.struct(
-            number.alias("iso_weekday"),
-            F.date_add("week_commencing", number - 1).alias("day"),
-            F.get(same_day, F.lit(0)).alias("fact"),
+    def fact(number: int) -> Column:
+        same_day = dates.iso_weekday(day) == number
+        revenue, spend, customers, coffees = (only(same_day, F.col(name)) for name in MEASURES)
+        measures = F.struct(
+            F.sum(revenue).cast("double").alias("revenue"),
+            exact_mean(spend).alias("avg_spend"),
+            F.sum(customers).alias("customers"),
+            F.sum(coffees).alias("coffees"),
         )
+        return F.when(F.count_if(same_day) > 0, measures)
 
-    numbers = F.sequence(F.lit(1), F.lit(7))
-    gathered = ("week_commencing", "facts")
-    return weeks.select("*", F.inline(F.transform(numbers, expected))).drop(*gathered)
+    days = F.array(
+        *(
+            F.struct(
+                F.lit(number).alias("iso_weekday"),
+                F.date_add(F.first("monday"), number - 1).alias("day"),
+                fact(number).alias("fact"),
+            )
+            for number in range(1, 8)
+        )
+    )
+    weeks = (
+        facts.withColumn("monday", dates.week_commencing(day))
+        .groupBy(*WEEK)
+        .agg(days.alias("days"), *aggregates)
+    )
+    return weeks.select("*", F.inline("days")).drop("days")

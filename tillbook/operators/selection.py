@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tillbook.functions.dates import as_date, date_lit
 
 ALL = "All"
-# Group names from strongest to weakest when several are picked together.
+# The group names from strongest to weakest when several are picked
+# together, and the sizes with the one that counts when none is picked first.
 GROUP_ORDER = (ALL, "Only London", "Only Outside London")
 SIZES = ("Regular", "Large")
 
@@ -58,11 +59,17 @@ def within(
 
     On a table without ``day`` the condition is a half-open range on the raw ``ts``,
     which the parquet reader can test against its min/max statistics. A table laid
-    out by ``month`` is pruned to those folders first.
+    out by ``month`` is pruned to those folders first, and one that carries the text
+    of its ISO times as ``ts_text`` is tested on that as well, which can be pushed down.
     """
     if start is not None and end is not None:
         check_range(start, end)
     columns = set(rows.columns)
+    if "ts_text" in columns:
+        if start is not None:
+            rows = rows.where(F.col("ts_text") >= str(as_date(start)))
+        if end is not None:
+            rows = rows.where(F.col("ts_text") < str(as_date(end) + dt.timedelta(days=1)))
     if start is not None:
         first = as_date(start)
         if "month" in columns:

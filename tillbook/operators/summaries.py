@@ -1,28 +1,43 @@
 """The fact join and the summary tables the reports read.
 
-Three summaries carry every report but the per-timestamp one. Each is built by
-one pass over the facts and is smaller than them by orders of magnitude:
+The facts are joined once, into ``sold``; everything else is folded from that, or
+from what was folded before:
 
+``sold``         every item sold with the time and store of its transaction
 ``daily_store``  one row per store and day
 ``store_days``   one row per store and day with any transaction, sold items or not
 ``item_hours``   cups per store, day, hour, band, item, flavour and size
+``item_kinds``   cups per store, band, item, flavour and size; doesn't grow with days
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# Columns of the summaries as stored. Each is laid out by the month of its days.
+_KIND = "item_name string, item_flavour string, item_size string"
+# Columns of the summaries as stored. Those with days are laid out by their month.
 SCHEMAS = {
+    "sold": (
+        f"store string, ts timestamp_ntz, time_of_day int, transaction_id bigint, {_KIND},"
+        " price decimal(18,2), day date, month date"
+    ),
     "daily_store": (
         "store string, revenue decimal(28,2), avg_spend decimal(22,6), customers bigint,"
         " coffees bigint, day date, month date"
     ),
     "store_days": "store string, n_transactions bigint, day date, month date",
     "item_hours": (
-        "store string, the_hour int, time_of_day int, item_name string, item_flavour string,"
-        " item_size string, cups bigint, day date, month date"
+        f"store string, the_hour int, time_of_day int, {_KIND}, cups bigint, day date, month date"
     ),
+    "item_kinds": f"store string, time_of_day int, {_KIND}, cups bigint",
+}
+# What rows of a month are sorted by, so that parquet statistics can skip.
+ORDER = {
+    "sold": ("day", "store"),
+    "daily_store": ("store", "day"),
+    "store_days": ("store", "day"),
+    "item_hours": ("store", "item_name", "day"),
+    "item_kinds": ("store", "item_name"),
 }
 ITEM_HOUR_KEYS = (
     "store",
@@ -45,28 +60,36 @@ def sold_items(transactions: DataFrame, items: DataFrame) -> DataFrame:
     return items.join(transactions, "transaction_id", "inner")
 
 
-def daily_store(transactions: DataFrame, items: DataFrame) -> DataFrame:
+def sold(transactions: DataFrame, items: DataFrame) -> DataFrame:
+    """The join of the facts with the day of each row; each fact table is shuffled once."""
+    visits = transactions.select("transaction_id", "store", "ts", "time_of_day")
+    kinds = items.select("transaction_id", "item_name", "item_flavour", "item_size", "price")
+    return sold_items(visits, kinds).select(
+        "store",
+        "ts",
+        "time_of_day",
+        "transaction_id",
+        "item_name",
+        "item_flavour",
+        "item_size",
+        "price",
+        F.to_date("ts").alias("day"),
+    )
+
+
+def daily_store(sold: DataFrame) -> DataFrame:
     """Revenue, average spend, customers and cups per store and day.
 
-    Items are added up per transaction first. The map side of that step folds a
-    transaction with very many items into one row per task, and its result is
-    already partitioned for the join, so the items are shuffled once. Counting
-    the distinct transactions reuses that partitioning too.
+    Items are added up per transaction before they are shuffled, so a transaction
+    with very many items is one row per task, and then per store and day.
     """
-    baskets = items.groupBy("transaction_id").agg(
+    baskets = sold.groupBy("store", "day", "transaction_id").agg(
         F.sum("price").alias("revenue"), F.count("item_name").alias("coffees")
     )
-    visits = transactions.select(
-        "transaction_id", "store", F.to_date("ts").alias("day")
-    )
-    totals = (
-        visits.join(baskets, "transaction_id", "inner")
-        .groupBy("store", "day")
-        .agg(
-            F.sum("revenue").cast("decimal(28,2)").alias("revenue"),
-            F.countDistinct("transaction_id").alias("customers"),
-            F.sum("coffees").alias("coffees"),
-        )
+    totals = baskets.groupBy("store", "day").agg(
+        F.sum("revenue").cast("decimal(28,2)").alias("revenue"),
+        F.count("*").alias("customers"),
+        F.sum("coffees").alias("coffees"),
     )
     return totals.select(
         "store",
@@ -87,22 +110,20 @@ def store_days(transactions: DataFrame) -> DataFrame:
     )
 
 
-def item_hours(transactions: DataFrame, items: DataFrame) -> DataFrame:
+def item_hours(sold: DataFrame) -> DataFrame:
     """Cups per store, day, hour, band and kind of item.
 
     A cup is an item with a name; a row of nameless items stays, with 0 cups.
     """
-    visits = transactions.select(
-        "transaction_id",
-        "store",
-        "time_of_day",
-        F.to_date("ts").alias("day"),
-        F.hour("ts").alias("the_hour"),
-    )
-    kinds = items.select("transaction_id", "item_name", "item_flavour", "item_size")
     return (
-        sold_items(visits, kinds)
+        sold.withColumn("the_hour", F.hour("ts"))
         .groupBy(*ITEM_HOUR_KEYS)
         .agg(F.count("item_name").alias("cups"))
         .select(*[key for key in ITEM_HOUR_KEYS if key != "day"], "cups", "day")
     )
+
+
+def item_kinds(item_hours: DataFrame) -> DataFrame:
+    """Cups per store, band and kind of item over all days."""
+    keys = [key for key in ITEM_HOUR_KEYS if key not in ("day", "the_hour")]
+    return item_hours.groupBy(*keys).agg(F.sum("cups").alias("cups"))

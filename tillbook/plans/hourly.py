@@ -12,7 +12,6 @@ from tillbook.functions import text
 from tillbook.functions.measures import exact_mean, or_zero
 from tillbook.model import RetailModel
 from tillbook.operators.selection import SIZES, has_flavour, has_size, of_store, on_day
-from tillbook.operators.summaries import sold_items
 
 Day = dt.date | str
 
@@ -21,12 +20,8 @@ def cups_by_timestamp_item(
     model: RetailModel, store: str | None = None, day: Day | None = None
 ) -> DataFrame:
     """Cups per full timestamp and item; a nameless item gives a row with 0 cups."""
-    visits = on_day(of_store(model.transactions, store), day)
     return (
-        sold_items(
-            visits.select("transaction_id", "store", "ts"),
-            model.items.select("transaction_id", "item_name"),
-        )
+        on_day(of_store(model.sold, store), day)
         .groupBy("store", "ts", "item_name")
         .agg(F.count("item_name").alias("cups_sold"))
         .select("store", "ts", F.hour("ts").alias("the_hour"), "item_name", "cups_sold")
@@ -94,14 +89,14 @@ def hourly_insights(
 
 
 def store_items(model: RetailModel, store: str | None = None) -> DataFrame:
-    return _cells(model, store).select("store", "item_name").distinct()
+    return of_store(model.item_kinds, store).select("store", "item_name").distinct()
 
 
 def item_flavours(
     model: RetailModel, store: str | None = None, item: str | None = None
 ) -> DataFrame:
     """Flavours of the items of a store, where no flavour (NULL) is one of them."""
-    rows = _cells(model, store)
+    rows = of_store(model.item_kinds, store)
     if item is not None:
         rows = rows.where(F.col("item_name") == item)
     return rows.select("store", "item_name", "item_flavour").distinct()
@@ -112,8 +107,8 @@ class ItemChoice:
     """An item with the flavours and sizes to count.
 
     ``flavours`` may hold ``None`` for "no flavour". Left empty it means the first
-    flavour the item lists, with "no flavour" listed before all names. ``sizes``
-    left empty means Regular.
+    flavour the store lists for the item, with "no flavour" listed before all names.
+    ``sizes`` left empty means Regular.
     """
 
     item: str
@@ -121,11 +116,14 @@ class ItemChoice:
     sizes: Sequence[str] = (SIZES[0],)
 
 
-def _first_flavour(rows: DataFrame, item: str) -> Column:
+def _first_flavours(kinds: DataFrame) -> DataFrame:
+    """The flavour each store lists first for each item, both in one row."""
     flavour = F.col("item_flavour")
     plain = F.count("*") > F.count(flavour)
     first = F.when(plain, F.lit(None)).otherwise(F.min(flavour))
-    return rows.where(F.col("item_name") == item).agg(first.alias("first")).scalar()
+    return kinds.groupBy(
+        F.col("store").alias("listing_store"), F.col("item_name").alias("listed_item")
+    ).agg(first.alias("first_flavour"))
 
 
 def _picked_cups(
@@ -176,17 +174,17 @@ def compare_two_items_advanced(
         F.col(f"item_{part}") for part in ("name", "flavour", "size")
     )
     choices = (choice_1, choice_2)
-    listed = _cells(model, store)
+    chosen = name.isin(*{choice.item for choice in choices})
+    rows = _cells(model, store, day).where(chosen)
+    if not all(choice.flavours for choice in choices):
+        firsts = _first_flavours(of_store(model.item_kinds, store).where(chosen))
+        same = F.col("store").eqNullSafe(F.col("listing_store")) & (name == F.col("listed_item"))
+        rows = rows.join(firsts, same, "left")
     picks = [
         (name == choice.item)
-        & has_flavour(
-            flavour,
-            choice.flavours,
-            F.lit(None) if choice.flavours else _first_flavour(listed, choice.item),
-        )
+        & has_flavour(flavour, choice.flavours, F.col("first_flavour"))
         & has_size(size, choice.sizes)
         for choice in choices
     ]
-    rows = _cells(model, store, day).where(name.isin(*{c.item for c in choices}))
     label = text.item_label(name, size, flavour).alias("item")
     return _picked_cups(rows, picks, label, _keys(store, day))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tillbook.functions import text
 from tillbook.functions.dates import as_date, date_lit, day_before
-from tillbook.functions.measures import missing_status, or_zero
+from tillbook.functions.measures import BOTH_MISSING, missing_status, or_zero
 from tillbook.model import RetailModel
 from tillbook.operators.kpis import KPI_COLUMNS, MEASURES, kpi_block, only
 from tillbook.operators.selection import ALL, in_stores, on_day, resolve_stores, within
@@ -132,7 +132,11 @@ def kpi_day_over_day(
 def kpi_cards(
     model: RetailModel, day: Day, stores: Sequence[str] | None = None
 ) -> DataFrame:
-    """The day-over-day figures as texts: one row per figure."""
+    """The day-over-day figures as texts: one row per figure, with what is missing.
+
+    Where one day has no data its figures count as 0, as the status tells; where
+    neither day has any there are no figures.
+    """
     chosen = resolve_stores(stores, model.store_groups)
     if chosen is not None and set(chosen) == set(model.store_groups.get(ALL, ())):
         chosen = None
@@ -142,12 +146,14 @@ def kpi_cards(
         value = F.col(column)
         return text.money(value) if name in amounts else value.cast("string")
 
+    status = F.col("status")
+    there = status != BOTH_MISSING
     cards = F.array(
         *[
             F.struct(
                 F.lit(name).alias("figure"),
-                shown(name, name).alias("value"),
-                shown(name, f"delta_{name}").alias("delta"),
+                F.when(there, shown(name, name)).alias("value"),
+                F.when(there, shown(name, f"delta_{name}")).alias("delta"),
             )
             for name in KPI_COLUMNS
         ]
@@ -155,5 +161,6 @@ def kpi_cards(
     return kpi_day_over_day(model, day, stores).select(
         date_lit(as_date(day)).alias("day"),
         text.stores_text(chosen).alias("stores"),
+        "status",
         F.inline(cards),
     )

@@ -6,12 +6,15 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
-from tillbook.functions.dates import date_lit, day_before
+from tillbook.functions.dates import date_lit, day_before, iso_week
 from tillbook.model import RetailModel
 from tillbook.plans import kpi, store as stores
 
 Day = dt.date | str
 
+# The days a range covers when none is named.
+DEFAULT_RANGE = ("2022-06-07", "2022-07-05")
+
 
 def basic_date(
     model: RetailModel, which: str, as_of: Day | None = None
@@ -29,16 +32,20 @@ def store_breakdown(
     model: RetailModel,
     store: str,
     wanted: str = "alltime",
-    between: tuple[Day, Day] = ("2022-06-07", "2022-07-05"),
+    between: tuple[Day, Day] = DEFAULT_RANGE,
 ) -> DataFrame | int:
-    """The figure of a store a key stands for; 0 for an unknown key."""
+    """The figure of a store a key stands for; 0 for an unknown key.
+
+    The keys are fixed values.
+    """
     start, end = between
+    days = model.daily_store.where(F.col("store") == store)
     reports = {
         "alltime": lambda: stores.store_revenue_alltime(model, store).select("total_revenue"),
         "alltimedates": lambda: stores.store_daily_revenue(model, store).select("revenue", "day"),
         "justdays": lambda: stores.total_days(model),
         "thesedays": lambda: stores.store_days_in_range(model, store, start, end).select("n_days"),
-        "weekofyear": lambda: stores.store_weeks(model, store).select("iso_week").distinct().orderBy("iso_week"),
+        "weekofyear": lambda: days.select(iso_week(F.col("day")).alias("iso_week")).distinct().orderBy("iso_week"),
         "datesavgrevenue": lambda: stores.range_revenue(model, store, start, end).select(
             "range_revenue"
         ),

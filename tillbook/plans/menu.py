@@ -11,9 +11,6 @@ from tillbook.functions import text
 from tillbook.model import RetailModel
 from tillbook.operators.selection import of_store
 
-# Letters at the start of a line by which a menu is cut into slices.
-SLICE_LETTERS = 2
-
 
 def store_menu(model: RetailModel, store: str | None = None) -> DataFrame:
     """One line per item and flavour a store has sold; empty lines are dropped.
@@ -22,7 +19,7 @@ def store_menu(model: RetailModel, store: str | None = None) -> DataFrame:
     """
     name, flavour = F.col("item_name"), F.col("item_flavour")
     return (
-        of_store(model.item_hours, store)
+        of_store(model.item_kinds, store)
         .where(F.trim(F.concat_ws(" ", name, flavour)) != "")
         .select("store", name, flavour)
         .distinct()
@@ -37,54 +34,29 @@ def _pairs(unavailable: Iterable[tuple[str, str]]) -> pa.Table:
     return pa.Table.from_pylist(rows, pa.schema([(name, pa.string()) for name in names]))
 
 
-def _numbered(menu: DataFrame) -> DataFrame:
-    """Add the place of each line in its store's menu and the menu's length.
-
-    A menu is numbered in slices of lines that start alike: the lines of the slices
-    before come from counts, those within a slice from a window. So no task sorts
-    the whole menu of a store.
-    """
-    sliced = menu.withColumn("start", F.col("menu_item").substr(1, SLICE_LETTERS))
-    store = Window.partitionBy("store")
-    up_to = F.sum("n").over(store.orderBy("start"))
-    slices = (
-        sliced.groupBy("store", "start")
-        .agg(F.count("*").alias("n"))
-        .select(
-            F.col("store").alias("of_store"),
-            F.col("start").alias("of_start"),
-            (up_to - F.col("n")).alias("before"),
-            F.sum("n").over(store).alias("n_lines"),
-        )
-    )
-    in_slice = F.row_number().over(Window.partitionBy("store", "start").orderBy("menu_item"))
-    same_slice = F.col("store").eqNullSafe(F.col("of_store")) & (
-        F.col("start") == F.col("of_start")
-    )
-    position = (F.col("before") + F.col("in_slice")).cast("int")
-    return (
-        sliced.withColumn("in_slice", in_slice)
-        .join(slices, same_slice)
-        .select("store", "menu_item", position.alias("position"), "n_lines")
-    )
-
-
 def store_menu_availability(
     model: RetailModel,
     unavailable: DataFrame | Iterable[tuple[str, str]] = (),
     store: str | None = None,
+    crop_to: int | None = None,
 ) -> DataFrame:
     """Menu lines in label order with their column, availability and shown text.
 
-    ``unavailable`` holds pairs of store and menu line.
+    ``unavailable`` holds pairs of store and menu line. ``crop_to`` cuts the shown text for
+    whoever draws it; ``text.CROPPED_LENGTH`` fits the original's picture.
+
+    The lines of a store are numbered by one sort. They are the distinct kinds of item
+    it sells, put together from a table that doesn't grow with sales or days.
     """
-    menu = _numbered(store_menu(model, store))
+    menu = store_menu(model, store)
+    place = F.row_number().over(Window.partitionBy("store").orderBy("menu_item"))
+    menu = menu.withColumn("position", place)
     if not isinstance(unavailable, DataFrame):
         unavailable = menu.sparkSession.createDataFrame(_pairs(unavailable))
     flags = unavailable.select("store", "menu_item", F.lit(True).alias("unavailable")).distinct()
     position = F.col("position")
     missing = F.coalesce("unavailable", F.lit(False))
-    shown = text.cropped(F.col("menu_item"), F.col("n_lines"))
+    shown = text.cropped(F.col("menu_item"), crop_to)
     return menu.join(flags, ["store", "menu_item"], "left").select(
         "store",
         "position",

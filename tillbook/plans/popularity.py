@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from tillbook.functions.text import BAND_NAMES, band_name
 from tillbook.model import RetailModel
 
-# The named items the popularity chart leaves out.
+# The named items the popularity chart leaves out; pass them as
+# ``exclude`` to draw it.
 LEFT_OUT = ("Flavoured Iced Latte", "Speciality Tea")
 
 
@@ -19,7 +20,7 @@ def _cups_per_band(rows: DataFrame) -> DataFrame:
 
 def sales_by_time_of_day(model: RetailModel, band: int | None = None) -> DataFrame:
     """Cups per item and band in order of the names, one grouping for all bands."""
-    rows = model.item_hours
+    rows = model.item_kinds
     if band is not None:
         rows = rows.where(F.col("time_of_day") == band)
     return _cups_per_band(rows).orderBy(F.asc_nulls_last("item_name"), "time_of_day")
@@ -45,22 +46,22 @@ def _without_top(rows: DataFrame, cups: str, top: int) -> DataFrame:
 
 
 def item_popularity_long(
-    model: RetailModel, exclude: Sequence[str] = LEFT_OUT, without_top: int = 0
+    model: RetailModel, exclude: Sequence[str] = (), without_top: int = 0
 ) -> DataFrame:
     """Cups per item and band with the band's name."""
-    rows = _cups_per_band(_named(model.item_hours, exclude))
+    rows = _cups_per_band(_named(model.item_kinds, exclude))
     return _without_top(rows, "cups_sold", without_top).select(
         "item_name", "time_of_day", band_name(F.col("time_of_day")).alias("band"), "cups_sold"
     )
 
 
 def item_popularity(
-    model: RetailModel, exclude: Sequence[str] = LEFT_OUT, without_top: int = 0
+    model: RetailModel, exclude: Sequence[str] = (), without_top: int = 0
 ) -> DataFrame:
     """One row per item with its cups in each band and in total."""
     cups = F.col("cups")
     rows = (
-        _named(model.item_hours, exclude)
+        _named(model.item_kinds, exclude)
         .groupBy("item_name")
         .agg(
             *[
@@ -81,7 +82,7 @@ def best_worst_by_time_of_day(model: RetailModel) -> DataFrame:
     """
     ranked = F.struct("cups_sold", "item_name")
     found = (
-        _cups_per_band(_named(model.item_hours, ()))
+        _cups_per_band(_named(model.item_kinds, ()))
         .rollup("time_of_day")
         .agg(
             F.grouping("time_of_day").alias("all_bands"),

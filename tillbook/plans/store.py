@@ -12,13 +12,14 @@ from tillbook.functions.measures import (
     availability_rating,
     direction,
     exact_mean,
+    or_zero,
     per_day,
     percent_of,
     whole_number,
 )
 from tillbook.model import RetailModel
 from tillbook.operators.kpis import kpi_block, means, only, per_store
-from tillbook.operators.selection import check_range, in_range, of_store, within
+from tillbook.operators.selection import check_range, in_range, of_store
 
 Day = dt.date | str
 
@@ -49,13 +50,21 @@ def store_days_in_range(
     start: Day | None = None,
     end: Day | None = None,
 ) -> DataFrame:
-    """Days with a transaction per store.
+    """Days with a transaction per store; a store without any in the range has 0.
 
-    The summary has each day of a store once, so its rows are counted. Stores
-    without any in the range drop out, unless one store is asked for.
+    The summary has each day of a store once, so its rows are counted.
     """
-    rows = within(model.store_days, start, end)
-    return per_store(rows, store, F.count("day").alias("n_days"))
+    days = F.count(only(_ranged(start, end), F.col("day")))
+    return per_store(model.store_days, store, days.alias("n_days"))
+
+
+def _ranged(start: Day | None, end: Day | None) -> Column:
+    """Whether ``day`` lies in a range of which either end may be open."""
+    if start is not None and end is not None:
+        check_range(start, end)
+    day = F.col("day")
+    after = F.lit(True) if start is None else day >= date_lit(start)
+    return after if end is None else after & (day <= date_lit(end))
 
 
 def store_weeks(model: RetailModel, store: str | None = None) -> DataFrame:
@@ -114,12 +123,14 @@ def range_revenue(
     start: Day | None = None,
     end: Day | None = None,
 ) -> DataFrame:
-    """Revenue and mean daily average spend in a range of days."""
+    """Revenue and mean daily average spend in a range of days, 0 for a store without any."""
+    inside = _ranged(start, end)
+    revenue = F.sum(only(inside, F.col("revenue"))).cast("double")
     return per_store(
-        within(model.daily_store, start, end),
+        model.daily_store,
         store,
-        F.sum("revenue").cast("double").alias("range_revenue"),
-        exact_mean(F.col("avg_spend")).alias("range_avg_spend"),
+        or_zero(revenue).alias("range_revenue"),
+        or_zero(exact_mean(only(inside, F.col("avg_spend")))).alias("range_avg_spend"),
     )
 
 

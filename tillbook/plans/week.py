@@ -7,9 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from tillbook.functions import dates
 from tillbook.functions.measures import exact_mean, impact_level, percent_of
 from tillbook.model import RetailModel
-from tillbook.operators.calendar import WEEK, of_week, week_days, with_week
+from tillbook.operators.calendar import WEEK, of_week, week_days
 from tillbook.operators.kpis import means
-from tillbook.operators.selection import of_store
 
 
 def week_grid(
@@ -27,8 +26,8 @@ def week_grid(
         "iso_weekday",
         dates.weekday_name(F.col("iso_weekday")).alias("weekday_name"),
         "day",
-        F.col("fact.revenue").cast("double").alias("revenue"),
-        F.col("fact.avg_spend").cast("double").alias("avg_spend"),
+        "fact.revenue",
+        "fact.avg_spend",
         "fact.customers",
         "fact.coffees",
         F.col("fact").isNotNull().alias("has_data"),
@@ -41,7 +40,7 @@ def week_commencing(
     iso_week: int | None = None,
     iso_year: int | None = None,
 ) -> DataFrame:
-    rows = of_week(with_week(of_store(model.daily_store, store)), iso_week, iso_year)
+    rows = of_week(model.daily_store, store, iso_week, iso_year)
     monday = dates.week_commencing(F.col("day")).alias("week_commencing")
     return rows.select(*WEEK, monday).distinct()
 
@@ -53,7 +52,7 @@ def week_availability(
     iso_year: int | None = None,
 ) -> DataFrame:
     """Which of the seven days have data, their number and share."""
-    rows = of_week(with_week(of_store(model.daily_store, store)), iso_week, iso_year)
+    rows = of_week(model.daily_store, store, iso_week, iso_year)
     weekday = dates.iso_weekday(F.col("day"))
     flags = rows.groupBy(*WEEK).agg(
         F.array(*[F.bool_or(weekday == number) for number in range(1, 8)]).alias(
@@ -92,7 +91,7 @@ def week_average(
     iso_year: int | None = None,
 ) -> DataFrame:
     """Means of the four measures over the days of a week that have data."""
-    rows = of_week(with_week(of_store(model.daily_store, store)), iso_week, iso_year)
+    rows = of_week(model.daily_store, store, iso_week, iso_year)
     return rows.groupBy(*WEEK).agg(*means())
 
 
@@ -112,7 +111,7 @@ def weekday_vs_week_average(
     )
     return (
         days.select(
-            *WEEK, "iso_weekday", F.col("fact.revenue").cast("double").alias("revenue"), "mean"
+            *WEEK, "iso_weekday", "fact.revenue", "mean"
         )
         .withColumn("delta", F.col("revenue") - F.col("mean"))
         .withColumn("diff_pct", percent_of(F.col("delta"), F.col("mean")))

@@ -87,7 +87,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def load(spark: SparkSession, sf_dir: str, keep_summaries: bool = True) -> RetailModel:
     """The retail tables of one folder of generated tables."""
     inputs = [f"{sf_dir}/{table}.parquet" for table in INPUTS]
-    where = {"keep": keep_for_application(spark, inputs)} if keep_summaries else {}
+    where = {"keep": keep_for_application(spark, inputs, version=__name__)} if keep_summaries else {}
     return RetailModel(
         lambda: transactions(spark, sf_dir),
         lambda: items(spark, sf_dir),

@@ -11,6 +11,10 @@ AS_OF = "2024-01-31"
 DAY = "2024-01-15"
 LATE_DAY = "2024-01-31"  # the day after the last one with data
 RANGE = ("2023-12-28", "2024-01-12")  # starts before the first day with data
+EMPTY_RANGE = ("2023-12-01", "2023-12-20")  # before the first day with data
+STORE = "ASIA"
+WEEK = (3, 2024)
+CROP_TO = 7
 ITEM_1, ITEM_2 = "gear", "bolt"
 UNAVAILABLE = (
     ("ASIA", "Gear Hot"),
@@ -77,6 +81,7 @@ def _kpis(condition: str | None = None, prefix: str = "") -> str:
 
 _KPI_NAMES = ("total_revenue", "avg_spend", "total_customers", "total_coffees")
 _IN_RANGE = f"day BETWEEN DATE '{RANGE[0]}' AND DATE '{RANGE[1]}'"
+_IN_EMPTY_RANGE = f"day BETWEEN DATE '{EMPTY_RANGE[0]}' AND DATE '{EMPTY_RANGE[1]}'"
 _RANGE_DAYS = f"(DATE '{RANGE[1]}' - DATE '{RANGE[0]}' + 1)"
 
 
@@ -159,7 +164,7 @@ def _compare(branches: list[tuple[str, str]], label: str) -> str:
         f"FROM sold WHERE {condition} GROUP BY ALL"
         for condition, text in branches
     )
-    return f"""{_BASE}, both_items AS ({parts})
+    return f"""{_BASE}{_LISTED}, both_items AS ({parts})
 SELECT store, day, the_hour, {label}, CAST(sum(cups) AS BIGINT) AS cups_sold
 FROM both_items GROUP BY store, day, the_hour, {label}"""
 
@@ -178,13 +183,72 @@ _UNAVAILABLE_ROWS = ", ".join(f"('{store}', '{item}')" for store, item in UNAVAI
 
 
 def _default_flavour(item: str) -> str:
-    """The item's first flavour in name order, where none comes before all names."""
+    """The first flavour in name order that the row's own store lists for the item, where
+    none comes before all names."""
     return (
-        "item_flavour IS NOT DISTINCT FROM (SELECT item_flavour FROM sold "
-        f"WHERE item_name = '{item}' ORDER BY item_flavour ASC NULLS FIRST LIMIT 1)"
+        "item_flavour IS NOT DISTINCT FROM (SELECT l.item_flavour FROM listed l "
+        f"WHERE l.item_name = '{item}' AND l.store = sold.store)"
     )
 
 
+_LISTED = """, listed AS (
+  SELECT DISTINCT ON (store, item_name) store, item_name, item_flavour FROM sold
+  ORDER BY store, item_name, item_flavour ASC NULLS FIRST)"""
+
+
+def _days_in(condition: str) -> str:
+    """Per store that has any transaction, the days that meet a condition."""
+    return f"""{_BASE}
+SELECT store, count(DISTINCT CASE WHEN {condition} THEN day END) AS n_days
+FROM transactions GROUP BY store"""
+
+
+def _revenue_in(condition: str) -> str:
+    return f"""{_BASE}
+SELECT store, {_sum('revenue', condition)} AS range_revenue,
+       coalesce({_mean('avg_spend', condition)}, 0) AS range_avg_spend
+FROM daily GROUP BY store"""
+
+
+def _cards(day: str) -> str:
+    there = f"(SELECT count(*) FROM chosen WHERE day = DATE '{day}') > 0"
+    before = f"(SELECT count(*) FROM chosen WHERE day = DATE '{day}' - 1) > 0"
+    any_day = f"({there} OR {before})"
+    figures = {
+        "total_revenue": "printf('$%.2f', {})",
+        "avg_spend": "printf('$%.2f', {})",
+        "total_customers": "CAST({} AS VARCHAR)",
+        "total_coffees": "CAST({} AS VARCHAR)",
+    }
+    rows = " UNION ALL ".join(
+        f"SELECT '{name}' AS figure, CASE WHEN {any_day} THEN {shown.format(name)} END AS value, "
+        f"CASE WHEN {any_day} THEN {shown.format(f'{name} - prev_{name}')} END AS delta FROM sides"
+        for name, shown in figures.items()
+    )
+    return f"""{_BASE},
+chosen AS (SELECT * FROM daily WHERE store IN ('ASIA', 'EUROPE')),
+sides AS (SELECT {_kpis(f"day = DATE '{day}'")}, {_kpis(f"day = DATE '{day}' - 1", 'prev_')} FROM chosen),
+cards AS ({rows})
+SELECT DATE '{day}' AS day, 'ASIA or EUROPE' AS stores, figure, value, delta,
+       CASE WHEN {there} AND {before} THEN 'none' WHEN {there} THEN 'previous-missing'
+            WHEN {before} THEN 'selected-missing' ELSE 'both-missing' END AS status
+FROM cards"""
+
+
+def _availability(shown: str) -> str:
+    return f"""{_MENU},
+flags(store, menu_item) AS (VALUES {_UNAVAILABLE_ROWS}),
+lines AS (
+  SELECT m.store, m.menu_item, f.store IS NULL AS available,
+         row_number() OVER (PARTITION BY m.store ORDER BY m.menu_item) AS position
+  FROM menu m LEFT JOIN flags f ON f.store = m.store AND f.menu_item = m.menu_item
+  WHERE m.menu_item <> '')
+SELECT store, CAST(position AS INTEGER) AS position,
+       CASE WHEN position > 6 THEN 2 ELSE 1 END AS column_no, menu_item, available,
+       CASE WHEN available THEN '' ELSE '!' END || {shown} AS display_text
+FROM lines"""
+
+
 _RATING_ROWS = (
     "(30, 1, '-Bad'), (50, 2, '-Poor'), (65, 3, 'Acceptable'), "
     "(80, 4, 'Good'), (95, 5, 'Excellent'), (100, 6, 'Exceptional')"
@@ -236,26 +300,16 @@ WHERE day = DATE '{DAY}' AND store = 'AFRICA' OR store = 'AMERICA' OR store = 'A
     "kpi_day_over_day_missing": _day_over_day(
         f"SELECT DATE '{LATE_DAY}' AS day", "store IN ('AMERICA', 'EUROPE')", keys=""
     ),
-    "kpi_cards": f"""{_BASE},
-sides AS (SELECT {_kpis(f"day = DATE '{DAY}'")}, {_kpis(f"day = DATE '{DAY}' - 1", 'prev_')}
-          FROM daily WHERE store IN ('ASIA', 'EUROPE')),
-cards AS (
-  SELECT 'total_revenue' AS figure, printf('$%.2f', total_revenue) AS value,
-         printf('$%.2f', total_revenue - prev_total_revenue) AS delta FROM sides
-  UNION ALL SELECT 'avg_spend', printf('$%.2f', avg_spend),
-         printf('$%.2f', avg_spend - prev_avg_spend) FROM sides
-  UNION ALL SELECT 'total_customers', CAST(total_customers AS VARCHAR),
-         CAST(total_customers - prev_total_customers AS VARCHAR) FROM sides
-  UNION ALL SELECT 'total_coffees', CAST(total_coffees AS VARCHAR),
-         CAST(total_coffees - prev_total_coffees AS VARCHAR) FROM sides)
-SELECT DATE '{DAY}' AS day, 'ASIA or EUROPE' AS stores, figure, value, delta FROM cards""",
+    "kpi_cards": _cards(DAY),
+    "kpi_cards_selected_missing": _cards(LATE_DAY),
+    "kpi_cards_both_missing": _cards(EMPTY_RANGE[0]),
     "store_revenue_alltime": f"""{_BASE}
 SELECT store, CAST(sum(revenue) AS DOUBLE) AS total_revenue FROM daily GROUP BY store""",
     "store_daily_revenue": f"""{_BASE}
 SELECT store, day, CAST(revenue AS DOUBLE) AS revenue FROM daily""",
     "total_days": f"{_BASE} SELECT count(DISTINCT day) AS n_days FROM transactions",
-    "store_days_in_range": f"""{_BASE}
-SELECT store, count(DISTINCT day) AS n_days FROM transactions WHERE {_IN_RANGE} GROUP BY store""",
+    "store_days_in_range": _days_in(_IN_RANGE),
+    "store_days_in_empty_range": _days_in(_IN_EMPTY_RANGE),
     "store_weeks": f"{_BASE} SELECT DISTINCT store, iso_year, iso_week FROM weeks",
     "store_summary": f"""{_BASE}
 SELECT store, CAST(sum(revenue) AS DOUBLE) AS total_revenue,
@@ -273,11 +327,9 @@ UNION ALL SELECT store, 'n_days', CAST(n_days AS VARCHAR) FROM summary
 UNION ALL SELECT store, 'completeness_pct',
   printf('%.1f%%', CAST(n_days AS DOUBLE) / (SELECT count(DISTINCT day) FROM transactions) * 100)
   FROM summary""",
-    "range_revenue": f"""{_BASE}
-SELECT store, CAST(sum(revenue) AS DOUBLE) AS range_revenue, {_mean('avg_spend')} AS range_avg_spend
-FROM daily WHERE {_IN_RANGE} GROUP BY store""",
-    "range_avg_spend": f"""{_BASE}
-SELECT store, {_mean('avg_spend')} AS range_avg_spend FROM daily WHERE {_IN_RANGE} GROUP BY store""",
+    "range_revenue": _revenue_in(_IN_RANGE),
+    "range_revenue_empty_range": _revenue_in(_IN_EMPTY_RANGE),
+    "range_avg_spend": f"SELECT store, range_avg_spend FROM ({_revenue_in(_IN_RANGE)})",
     "store_alltime_averages": f"""{_BASE}
 SELECT store, {_mean('avg_spend')} AS avg_spend, {_mean('customers')} AS avg_customers,
        {_mean('coffees')} AS avg_coffees FROM daily GROUP BY store""",
@@ -318,10 +370,6 @@ FROM long""",
     "store_vs_store": f"{_BASE} SELECT store, {_kpis()} FROM daily GROUP BY store",
     "store_vs_store_two": f"""{_BASE}
 SELECT store, {_kpis()} FROM daily WHERE store IN ('ASIA', 'EUROPE') GROUP BY store""",
-    "store_breakdown_avgcups": f"""{_BASE}
-SELECT {_mean('coffees')} AS avg_coffees FROM daily WHERE store = 'ASIA'""",
-    "store_breakdown_weekofyear": f"""{_BASE}
-SELECT DISTINCT iso_week FROM weeks WHERE store = 'ASIA'""",
     "week_grid": f"""{_GRID}
 SELECT store, iso_year, iso_week, iso_weekday, weekday_name, day, revenue, avg_spend,
        customers, coffees, has_data FROM filled""",
@@ -421,22 +469,19 @@ JOIN above a ON a.store = m.store AND a.day = m.day""",
     "sales_by_time_of_day": f"""{_BASE}
 SELECT item_name, time_of_day, count(item_name) AS cups_sold
 FROM sold GROUP BY item_name, time_of_day""",
-    "item_popularity": _popularity(
+    "item_popularity": _popularity(),
+    "item_popularity_left_out": _popularity(
         "item_name NOT IN ('Flavoured Iced Latte', 'Speciality Tea')"
     ),
     "item_popularity_long": f"""{_BANDS}
-SELECT item_name, time_of_day, {_BAND_NAME} AS band, cups_sold FROM bands
-WHERE item_name NOT IN ('Flavoured Iced Latte', 'Speciality Tea')""",
+SELECT item_name, time_of_day, {_BAND_NAME} AS band, cups_sold FROM bands""",
     "item_popularity_without_two": _popularity(
         f"item_name NOT IN ('{ITEM_1}', '{ITEM_2}')"
     ),
     "item_popularity_without_top": _popularity(
-        "item_name NOT IN ('Flavoured Iced Latte', 'Speciality Tea')"
-        " AND item_name NOT IN (SELECT item_name FROM top_items)",
+        "item_name NOT IN (SELECT item_name FROM top_items)",
         """, top_items AS (
-  SELECT item_name FROM bands
-  WHERE item_name NOT IN ('Flavoured Iced Latte', 'Speciality Tea')
-  GROUP BY item_name ORDER BY sum(cups_sold) DESC, item_name LIMIT 3)""",
+  SELECT item_name FROM bands GROUP BY item_name ORDER BY sum(cups_sold) DESC, item_name LIMIT 3)""",
     ),
     "best_worst_by_time_of_day": f"""{_BANDS},
 tagged AS (
@@ -450,17 +495,81 @@ SELECT b.band, b.item_name AS best_item, b.cups_sold AS best_cups,
        w.item_name AS worst_item, w.cups_sold AS worst_cups
 FROM ranked b JOIN ranked w ON w.band = b.band AND w.from_worst = 1 WHERE b.from_best = 1""",
     "store_menu": f"{_MENU} SELECT store, menu_item FROM menu WHERE menu_item <> ''",
-    "store_menu_availability": f"""{_MENU},
-flags(store, menu_item) AS (VALUES {_UNAVAILABLE_ROWS}),
-lines AS (
-  SELECT m.store, m.menu_item, f.store IS NULL AS available,
-         row_number() OVER (PARTITION BY m.store ORDER BY m.menu_item) AS position,
-         count(*) OVER (PARTITION BY m.store) AS n_lines
-  FROM menu m LEFT JOIN flags f ON f.store = m.store AND f.menu_item = m.menu_item
-  WHERE m.menu_item <> '')
-SELECT store, CAST(position AS INTEGER) AS position,
-       CASE WHEN position > 6 THEN 2 ELSE 1 END AS column_no, menu_item, available,
-       CASE WHEN available THEN '' ELSE '!' END
-         || CASE WHEN n_lines > 6 THEN substr(menu_item, 1, 28) ELSE menu_item END AS display_text
-FROM lines""",
+    "store_menu_availability": _availability("menu_item"),
+    "store_menu_availability_cropped": _availability(f"substr(menu_item, 1, {CROP_TO})"),
+    "item_kinds": f"""{_BASE}
+SELECT store, time_of_day, item_name, item_flavour, item_size, count(item_name) AS cups
+FROM sold GROUP BY ALL""",
+}
+
+# ---- the same reports for one store, day, week, band or item
+
+_ONE_STORE = f"store = '{STORE}'"
+_ONE_DAY = f"{_ONE_STORE} AND day = DATE '{DAY}'"
+_ONE_WEEK = f"{_ONE_STORE} AND iso_week = {WEEK[0]} AND iso_year = {WEEK[1]}"
+
+
+def _part(name: str, condition: str, columns: str = "*") -> str:
+    return f"SELECT {columns} FROM ({SQL[name]}) WHERE {condition}"
+
+
+_PER_HOUR = "the_hour, {item}, cups_sold"
+SQL |= {
+    f"{name}_one_store": _part(name, _ONE_STORE)
+    for name in (
+        "store_days_in_range",
+        "range_revenue",
+        "range_availability",
+        "range_kpis",
+        "range_vs_alltime",
+        "store_summary",
+        "store_items",
+        "store_menu",
+        "store_menu_availability",
+    )
+}
+SQL |= {
+    f"{name}_one_week": _part(name, _ONE_WEEK)
+    for name in (
+        "week_grid",
+        "week_commencing",
+        "week_availability",
+        "week_average",
+        "weekday_vs_week_average",
+    )
+}
+SQL |= {
+    "week_grid_week_of_any_year": _part("week_grid", f"{_ONE_STORE} AND iso_week = {WEEK[0]}"),
+    "cups_by_hour_item_one_day": _part("cups_by_hour_item", _ONE_DAY),
+    "hourly_insights_one_day": _part("hourly_insights", _ONE_DAY),
+    "item_flavours_one_item": _part("item_flavours", f"{_ONE_STORE} AND item_name = '{ITEM_1}'"),
+    "sales_by_time_of_day_one_band": _part("sales_by_time_of_day", "time_of_day = 2"),
+    "compare_two_items_one_day": _part(
+        "compare_two_items", _ONE_DAY, _PER_HOUR.format(item="item_name")
+    ),
+    "compare_two_items_advanced_one_day": _part(
+        "compare_two_items_advanced", _ONE_DAY, _PER_HOUR.format(item="item")
+    ),
+    "compare_two_items_defaults_one_day": _part(
+        "compare_two_items_defaults", _ONE_DAY, _PER_HOUR.format(item="item")
+    ),
+}
+# Key of the dashboard's own function -> query, columns.
+BREAKDOWN = {
+    "alltime": ("store_revenue_alltime", "total_revenue"),
+    "alltimedates": ("store_daily_revenue", "revenue, day"),
+    "justdays": ("total_days", "n_days"),
+    "thesedays": ("store_days_in_range", "n_days"),
+    "weekofyear": ("store_weeks", "DISTINCT iso_week"),
+    "datesavgrevenue": ("range_revenue", "range_revenue"),
+    "avgcsfordates": ("range_revenue", "range_avg_spend"),
+    "avgcs": ("store_alltime_averages", "avg_spend"),
+    "avgcusts": ("store_alltime_averages", "avg_customers"),
+    "avgcups": ("store_alltime_averages", "avg_coffees"),
+}
+SQL |= {
+    f"store_breakdown_{key}": _part(
+        name, "TRUE" if key == "justdays" else _ONE_STORE, columns
+    )
+    for key, (name, columns) in BREAKDOWN.items()
 }
