@@ -275,6 +275,10 @@ def _covers(states: tuple, sources: list[DataFrame]) -> bool:
     return all(unquote(urlsplit(file).path) in known for frame in sources for file in frame.inputFiles())
 
 
-def forget() -> None:
-    """Build every summary anew at its next use."""
-    _kept.clear()
+def forget(name: str | None = None) -> None:
+    """Build every summary, or those of one name, anew at the next use.
+
+    The tables stay until the application ends, as frames may still read them.
+    """
+    for key in [key for key in _kept if name in (None, key[3])]:
+        del _kept[key]
