@@ -28,8 +28,8 @@ TOP, QUERY_STEP, SCALE = 5, 50, 256
 PAGE, LEAF, FANOUT = 4096, 96, 8
 #: Regions at most; their pivots are broadcast.
 MAX_PIVOTS = 1024
-#: A scaled component of this size counts as not finite, so that scores stay exact in 64 bits.
-LIMIT = 2.0**24
+#: A scaled component of this size counts as not finite, so that scores of 64 components stay exact in 64 bits.
+LIMIT = 2.0**28
 #: Room for rounding in distances, relative to their size.
 _SLACK = 1e-9
 
@@ -274,7 +274,7 @@ def top_scores(vectors: DataFrame, top: int = TOP, query_step: int = QUERY_STEP,
     Components become floor(``scale`` * x). Queries are the rows whose vec_id is divisible by
     ``query_step``. Equal scores go to the smaller vec_id; a query with fewer candidates has them all.
     Rows without id, null vectors and those with a null or non-finite component (or a scaled
-    one of 2**24 or more) take no part; shorter vectors are padded with zeros; a repeated row is one vector,
+    one of 2**28 or more) take no part; shorter vectors are padded with zeros; a repeated row is one vector,
     of different vectors with one id each is a candidate under it, and is never an answer to a query of its
     own id. An empty table gives no rows. Other columns are not looked at.
 
