@@ -2,7 +2,7 @@ from hypothesis import given, settings, strategies as st
 
 from helpers import by_id, documents, odd_texts
 from tillbook.llm import tokencounts
-from tillbook.llm.tokencounts import CountTree, count_tokens, counted, encoder, ranks, scrub_edits, segments
+from tillbook.llm.tokencounts import CountTree, count_tokens, count_with, counted, encoder, ranks, scrub_edits, segments
 
 with open(tokencounts.VOCABULARY, "rb") as file:
     VOCABULARY = file.read()
@@ -52,6 +52,15 @@ def test_growth_at_one_place_stays_right():
     assert tree.text == text and tree.total == count(text)
 
 
+def test_long_runs():
+    encoding = encoder(VOCABULARY)
+    for text in ("a" + " " * 20_000 + "b c", "\n" * 15_000, " \t" * 8_000 + "\nword", "x" + "\u3000" * 12_000 + "\ny"):
+        assert count_with(encoding, text) == count(text)
+    assert count_with(encoding, "a b" + " " * 1_200_000 + "c") > 2
+    long = "a.b-" * 300_000 + "@"
+    assert len(scrub_edits(long)) == 0
+
+
 def test_positions_refer_to_the_text_before_edits():
     text = "one 1234567890 two me@example.com three"
     before, after, size, _ = counted(text, scrub_edits(text), count)

@@ -30,6 +30,11 @@ _CONTEXT = 2
 #: Vocabularies are broadcast; larger files are refused.
 MAX_VOCABULARY_BYTES = 64 << 20
 
+#: Runs of this many blanks are too long for the tokenizer's own split.
+_LONG_RUN = 10_000
+_LONG_BLANKS = re.compile(
+    "[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % _LONG_RUN
+)
 _BOUNDARY = re.compile(r"(?<=[^\W\d_])(?= [^\W\d_])")
 Edit = tuple[int, int, str]
 
@@ -137,6 +142,17 @@ def encoder(vocabulary: bytes) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
 
+def count_with(encoding: tiktoken.Encoding, text: str) -> int:
+    """Tokens of a text. A very long run of blanks is one piece of the split, but for a last blank before a word."""
+    total, at = 0, 0
+    for run in _LONG_BLANKS.finditer(text) if len(text) >= _LONG_RUN else ():
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        total += len(encoding.encode_ordinary(text[at : run.start()]))
+        total += len(encoding._encode_single_piece(text[run.start() : end]))
+        at = end
+    return total + len(encoding.encode_ordinary(text[at:]))
+
+
 def counted(text: str | None, edits: Iterable[Edit] | None, count: Callable[[str], int]) -> tuple[int, int, int, int]:
     """Tokens before and after the edits, characters after, and characters encoded anew.
 
@@ -168,10 +184,7 @@ def count_tokens(documents: DataFrame, vocabulary: bytes, edits: Callable[[str],
     sent = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
     def make():
-        encoding = encoder(sent.value)
-
-        def count(text: str) -> int:
-            return len(encoding.encode_ordinary(text))
+        count = functools.partial(count_with, encoder(sent.value))
 
         def run(batch: pa.RecordBatch) -> dict[str, list]:
             texts = batch.column("text").to_pylist()
@@ -190,7 +203,7 @@ def count_tokens(documents: DataFrame, vocabulary: bytes, edits: Callable[[str],
 
 
 _NUMBERS = re.compile(r"[0-9][0-9.:-]{6,}")
-_ADDRESSES = re.compile(r"[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+")
+_ADDRESSES = re.compile(r"(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+")
 
 
 def scrub_edits(text: str) -> list[Edit]:
