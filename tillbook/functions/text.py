@@ -69,12 +69,17 @@ def cropped(label: Column, length: int | None) -> Column:
     return label if length is None else label.substr(1, length)
 
 
+def fixed_point(value: Column, digits: int = 2) -> Column:
+    """Decimals of a double, rounded from its exact binary value as the original does."""
+    return F.call_function("format_number", value.cast("double"), F.lit("0." + "0" * digits))
+
+
 def money(amount: Column) -> Column:
-    return F.concat(F.lit("$"), F.format_string("%.2f", amount.cast("double")))
+    return F.concat(F.lit("$"), fixed_point(amount))
 
 
 def percent(value: Column, digits: int = 2) -> Column:
-    return F.concat(F.format_string(f"%.{digits}f", value.cast("double")), F.lit("%"))
+    return F.concat(fixed_point(value, digits), F.lit("%"))
 
 
 def stores_text(stores: Sequence[str] | None) -> Column:

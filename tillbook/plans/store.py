@@ -228,6 +228,44 @@ def range_vs_alltime(
     )
 
 
+def range_cards(
+    model: RetailModel, start: Day, end: Day, store: str | None = None
+) -> DataFrame:
+    """Availability and daily averages of a range as texts: one row per figure.
+
+    ``delta`` is the rating of the availability or the all-time average, and ``direction``
+    how the value stands to it.
+    """
+
+    def card(figure: str, value: Column, delta: Column, way: str) -> Column:
+        texts = (F.lit(figure), value.cast("string"), delta, F.lit(None).cast("string"), F.lit(way))
+        names = ("figure", "value", "delta", "difference", "direction")
+        return F.struct(*(column.alias(name) for column, name in zip(texts, names)))
+
+    rating = F.col("rating")
+    days = F.array(
+        card("days_inclusive", F.col("days_inclusive"), F.lit("Inclusive"), "off"),
+        card("days_available", F.col("days_available"), rating, "normal"),
+        card("availability", text.percent(F.col("availability_pct")), rating, "normal"),
+    )
+    amount = F.col("measure").isin("revenue", "avg_spend")
+
+    def shown(name: str, money: bool = True) -> Column:
+        value = F.col(name)
+        decimals = text.money(value) if money else text.fixed_point(value)
+        return F.when(amount, decimals).otherwise(value.cast("bigint").cast("string")).alias(name)
+
+    averages = range_vs_alltime(model, start, end, store).select(
+        "store",
+        F.concat(F.lit("daily_"), "measure").alias("figure"),
+        shown("range_value").alias("value"),
+        shown("alltime_value", money=False).alias("delta"),
+        shown("difference"),
+        "direction",
+    )
+    return range_availability(model, start, end, store).select("store", F.inline(days)).unionByName(averages)
+
+
 def store_vs_store(
     model: RetailModel, first: str | None = None, second: str | None = None
 ) -> DataFrame:

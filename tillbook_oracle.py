@@ -502,6 +502,21 @@ SELECT store, time_of_day, item_name, item_flavour, item_size, count(item_name)
 FROM sold GROUP BY ALL""",
 }
 
+_AMOUNT = "measure IN ('revenue', 'avg_spend')"
+SQL["range_cards"] = f"""
+WITH a AS ({SQL["range_availability"]}), v AS ({SQL["range_vs_alltime"]})
+SELECT store, 'days_inclusive' AS figure, CAST(days_inclusive AS VARCHAR) AS value, 'Inclusive' AS delta,
+       CAST(NULL AS VARCHAR) AS difference, 'off' AS direction FROM a
+UNION ALL SELECT store, 'days_available', CAST(days_available AS VARCHAR), rating, NULL, 'normal' FROM a
+UNION ALL SELECT store, 'availability', printf('%.2f%%', availability_pct), rating, NULL, 'normal' FROM a
+UNION ALL
+SELECT store, 'daily_' || measure,
+       CASE WHEN {_AMOUNT} THEN printf('$%.2f', range_value) ELSE CAST(CAST(range_value AS BIGINT) AS VARCHAR) END,
+       CASE WHEN {_AMOUNT} THEN printf('%.2f', alltime_value) ELSE CAST(CAST(alltime_value AS BIGINT) AS VARCHAR) END,
+       CASE WHEN {_AMOUNT} THEN printf('$%.2f', difference) ELSE CAST(CAST(difference AS BIGINT) AS VARCHAR) END,
+       direction
+FROM v"""
+
 # ---- the same reports for one store, day, week, band or item
 
 _ONE_STORE = f"store = '{STORE}'"
@@ -522,6 +537,7 @@ SQL |= {
         "range_availability",
         "range_kpis",
         "range_vs_alltime",
+        "range_cards",
         "store_summary",
         "store_items",
         "store_menu",
