@@ -1,10 +1,15 @@
 """The coffee-shop tables in their own layout."""
 
+import os
 import shutil
+import subprocess
+import sys
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from compare import TEST_DATA
 from shop import DAILY, ITEMS, TRANSACTIONS, daily_frame, items_frame, shop, transactions_frame
 from test_plans import plan
 from tillbook import RetailModel
@@ -210,3 +215,23 @@ def test_zoned_times_become_those_of_the_zone(spark):
     table = table.withColumn("timestamp", F.expr("timestamp_ltz '2022-07-04 23:30:00Z'"))
     assert str(warehouse.transactions(table).first()["ts"]) == "2022-07-04 23:30:00"
     assert str(warehouse.transactions(table, zone="Europe/London").first()["ts"]) == "2022-07-05 00:30:00"
+
+
+def test_summaries_go_when_the_application_ends(tmp_path):
+    script = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.checkpoint.dir", {str(tmp_path)!r}).config("spark.ui.enabled", "false").getOrCreate()
+from tillbook.sources import testtables
+print("FILES", len(testtables.load(spark, "{TEST_DATA}/sf0.001").store_days.inputFiles()))
+spark.stop()
+"""
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=300)
+    assert "FILES" in done.stdout, done.stderr[-2000:]
+    for _ in range(50):
+        left = [p for p in tmp_path.rglob("*.parquet")]
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
