@@ -34,7 +34,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat three consecutive lines; one that repeats whole goes."""
     cleaned = linededup.remove_repeated_lines(docs)
-    left = (F.col("n_removed") == 0) | (F.trim("text") != "")
+    left = (F.col("n_removed") == 0) | F.col("text").rlike(r"\S")
     columns = [F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return cleaned.where(left).select(*columns)
 

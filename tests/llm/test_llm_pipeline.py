@@ -25,7 +25,7 @@ def lines_removed(rows):
                 gone |= set(range(a, c + 1))
             seen.add(window)
         left = "\n".join(line for i, line in enumerate(lines) if i not in gone)
-        if not gone or left.strip(" "):
+        if not gone or left.strip():
             out[doc_id] = left
     return out
 

@@ -47,8 +47,8 @@ def test_round_trip(spark, least):
 
 
 def test_payloads_come_back(spark, tmp_path):
-    write(page_records(pages(spark, sample())), str(tmp_path / "w"))
-    got = {r["headers"]["X-Page-ID"]: r for r in read(spark, str(tmp_path / "w")).collect()}
+    write(page_records(pages(spark, sample())), str(tmp_path / "w 1%"))
+    got = {r["headers"]["X-Page-ID"]: r for r in read(spark, str(tmp_path / "w 1%")).collect()}
     for page_id, url, html in sample():
         row = got[str(page_id)]
         if row["record_type"] == "response":

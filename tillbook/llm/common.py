@@ -104,7 +104,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only a session on one machine may leave it unset; it then gets a temporary folder.
     """
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")

@@ -18,7 +18,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
-from urllib.parse import urlsplit
+from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
@@ -64,7 +64,17 @@ _SKIP_FIELD = struct.Struct("<H2sHII")  # size of the field; its name, size, pac
 
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a URI or a local path."""
-    return fs.FileSystem.from_uri(uri) if urlsplit(uri).scheme else (fs.LocalFileSystem(), uri)
+    parts = urlsplit(uri)
+    if parts.scheme in ("", "file"):
+        return fs.LocalFileSystem(), unquote(parts.path) if parts.scheme else uri
+    return fs.FileSystem.from_uri(uri)
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The URI of a path, so that one without a scheme is in the cluster's own file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(place).toUri().toString()
 
 
 def packed(record: bytes) -> bytes:
@@ -417,14 +427,15 @@ def page_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 def write(rows: DataFrame, path: str) -> None:
     """Rows of ``SCHEMA`` as WARC files of gzip members; a folder that is there gets more files."""
     use(rows.sparkSession)
-    rows.write.format("warc").mode("append").save(path)
+    rows.write.format("warc").mode("append").save(_qualified(rows.sparkSession, path))
 
 
 def read(spark: SparkSession, path: str, payload: bool = True, headers: dict[str, str] | None = None) -> DataFrame:
     """The records of the WARC files at ``path`` that have these headers, lazily."""
     use(spark)
     chosen = {f"header.{name}": value for name, value in (headers or {}).items()}
-    return spark.read.format("warc").options(payload=str(payload).lower(), **chosen).load(path)
+    reader = spark.read.format("warc").options(payload=str(payload).lower(), **chosen)
+    return reader.load(_qualified(spark, path))
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
