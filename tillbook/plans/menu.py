@@ -43,14 +43,20 @@ def store_menu_availability(
     """Menu lines in label order with their column, availability and shown text.
 
     ``unavailable`` holds pairs of store and menu line. ``crop_to`` cuts the shown text for
-    whoever draws it; ``text.CROPPED_LENGTH`` fits the original's picture.
+    whoever draws it; the original's picture has room for ``text.CROPPED_LENGTH`` letters
+    where a menu has more lines than a column.
 
     The lines of a store are numbered by one sort. They are the distinct kinds of item
     it sells, put together from a table that doesn't grow with sales or days.
     """
     menu = store_menu(model, store)
-    place = F.row_number().over(Window.partitionBy("store").orderBy("menu_item"))
-    menu = menu.withColumn("position", place)
+    lines = Window.partitionBy("store")
+    menu = menu.select(
+        "store",
+        "menu_item",
+        F.row_number().over(lines.orderBy("menu_item")).alias("position"),
+        F.count("*").over(lines).cast("int").alias("n_lines"),
+    )
     if not isinstance(unavailable, DataFrame):
         unavailable = menu.sparkSession.createDataFrame(_pairs(unavailable))
     flags = unavailable.select("store", "menu_item", F.lit(True).alias("unavailable")).distinct()
@@ -60,6 +66,7 @@ def store_menu_availability(
     return menu.join(flags, ["store", "menu_item"], "left").select(
         "store",
         "position",
+        "n_lines",
         F.when(position > text.LINES_PER_COLUMN, 2).otherwise(1).alias("column_no"),
         "menu_item",
         (~missing).alias("available"),

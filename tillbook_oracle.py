@@ -240,10 +240,11 @@ def _availability(shown: str) -> str:
 flags(store, menu_item) AS (VALUES {_UNAVAILABLE_ROWS}),
 lines AS (
   SELECT m.store, m.menu_item, f.store IS NULL AS available,
-         row_number() OVER (PARTITION BY m.store ORDER BY m.menu_item) AS position
+         row_number() OVER (PARTITION BY m.store ORDER BY m.menu_item) AS position,
+         count(*) OVER (PARTITION BY m.store) AS n_lines
   FROM menu m LEFT JOIN flags f ON f.store = m.store AND f.menu_item = m.menu_item
   WHERE m.menu_item <> '')
-SELECT store, CAST(position AS INTEGER) AS position,
+SELECT store, CAST(position AS INTEGER) AS position, CAST(n_lines AS INTEGER) AS n_lines,
        CASE WHEN position > 6 THEN 2 ELSE 1 END AS column_no, menu_item, available,
        CASE WHEN available THEN '' ELSE '!' END || {shown} AS display_text
 FROM lines"""
