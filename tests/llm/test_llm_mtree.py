@@ -30,6 +30,7 @@ def found(spark, rows, **options):
 @pytest.mark.parametrize("kind", ["clustered", "spread", "copies"])
 def test_against_brute_force(spark, monkeypatch, kind):
     monkeypatch.setattr(mtree, "PAGE", 200)
+    monkeypatch.setattr(mtree, "LEAF", 24)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 12))
     points = rng.normal(size=(900, 12)) if kind == "spread" else centres[rng.integers(6, size=900)] + 0.1 * rng.normal(size=(900, 12))
@@ -56,7 +57,8 @@ def test_empty_table(spark):
     assert top_scores(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_nodes_cover_their_vectors_and_bounds_save_work():
+def test_nodes_cover_their_vectors_and_bounds_save_work(monkeypatch):
+    monkeypatch.setattr(mtree, "LEAF", 40)
     rng = np.random.default_rng(1)
     centres = rng.integers(-200, 200, (20, 16))
     vectors = (centres[np.arange(2000) % 20] + rng.integers(-9, 9, (2000, 16))).astype(float)

@@ -25,7 +25,9 @@ from tillbook.llm.common import map_batches, map_slices, written
 #: Results of a query; every QUERY_STEP-th id is a query; components are multiplied by SCALE and rounded down.
 TOP, QUERY_STEP, SCALE = 5, 50, 256
 #: Vectors of a page, entries of a leaf, children of an inner node.
-PAGE, LEAF, FANOUT = 4096, 96, 8
+PAGE, LEAF, FANOUT = 4096, 512, 8
+#: Bounds that leave out less than this share of a node's entries cost more to follow than to ignore.
+_WORTH = 0.25
 #: Regions at most; their pivots are broadcast.
 MAX_PIVOTS = 1024
 #: A scaled component of this size counts as not finite, so that scores of 64 components stay exact in 64 bits.
@@ -134,15 +136,18 @@ def search(nodes: list[dict], space: Space, query_id: int, query: np.ndarray, to
         if least > limit:
             break
         node = nodes[number]
-        near = np.arange(len(node["vectors"]))
+        near = slice(None)
         if to_routing is not None:  # the stored distances alone leave entries out
-            near = near[np.abs(to_routing - node["away"]) - node["radii"] <= limit]
+            kept = np.flatnonzero(np.abs(to_routing - node["away"]) - node["radii"] <= limit)
+            near = kept if len(kept) <= (1 - _WORTH) * len(node["ids"]) else near
         scores = node["vectors"][near] @ query
         if node["leaf"]:
             ids = node["ids"][near]
-            for i in np.flatnonzero(space.from_scores(scores, length) <= limit).tolist():
+            least_score = best[0][0] if len(best) == top else floor
+            good = np.arange(len(ids)) if least_score is None else np.flatnonzero(scores >= least_score)
+            for i in good.tolist():
                 entry = (int(scores[i]), -int(ids[i]))
-                if ids[i] == query_id or (floor is not None and entry[0] < floor):
+                if ids[i] == query_id:
                     continue
                 if len(best) < top:
                     heapq.heappush(best, entry)
@@ -150,9 +155,12 @@ def search(nodes: list[dict], space: Space, query_id: int, query: np.ndarray, to
                     heapq.heapreplace(best, entry)
             continue
         distances = space.from_scores(scores, length)
-        for i, distance in zip(near.tolist(), distances.tolist(), strict=True):
-            if distance - node["radii"][i] <= limit:
-                heapq.heappush(heap, (max(0.0, distance - node["radii"][i]), int(node["children"][i]), distance))
+        bounds = np.maximum(0, distances - node["radii"][near])
+        for bound, child, distance in zip(
+            bounds.tolist(), node["children"][near].tolist(), distances.tolist(), strict=True
+        ):
+            if bound <= limit:
+                heapq.heappush(heap, (bound, child, distance))
     return [(score, -negative) for score, negative in best]
 
 
@@ -289,7 +297,7 @@ def top_scores(vectors: DataFrame, top: int = TOP, query_step: int = QUERY_STEP,
     if not n:
         return _empty(vectors)
     space = Space(size, longest)
-    count = int(np.clip(n // (PAGE // 4), 1, MAX_PIVOTS))
+    count = int(np.clip(n // (PAGE // 2), 1, MAX_PIVOTS))
     picked = data.orderBy(F.xxhash64("id"), "v").limit(count).collect()
     centres = space.matrix([r["v"] for r in picked]).astype(float)
     pivots = np.unique(np.hstack([centres, space.extra(centres)[:, None]]), axis=0)
