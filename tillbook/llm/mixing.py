@@ -39,11 +39,11 @@ def rates(
         pairs = [F.lit(x) for s, w in weights.items() for x in (s, float(w))]
         named = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")
         weight = F.coalesce(F.try_element_at(named, F.col("source")), F.lit(0.0))
-    sizes = sizes.withColumn("weight", weight)
-    total = sizes.agg(F.sum("chars").cast("double").alias("all_chars"), F.sum("weight").alias("all_weight"))
-    share = F.coalesce(F.try_divide(F.col("weight"), F.col("all_weight")), F.lit(0.0))
-    rate = F.lit(float(epochs)) * F.col("all_chars") * share / F.col("chars")
-    return sizes.join(F.broadcast(total)).select("source", rate.alias("rate"))  # one row
+    sizes = written(sizes.withColumn("weight", weight), "sizes")
+    all_chars = sizes.agg(F.sum("chars").cast("double")).scalar()
+    all_weight = sizes.agg(F.sum("weight")).scalar()
+    share = F.coalesce(F.try_divide(F.col("weight"), all_weight), F.lit(0.0))
+    return sizes.select("source", (F.lit(float(epochs)) * all_chars * share / F.col("chars")).alias("rate"))
 
 
 def cumulative(rate: Column) -> Column:
@@ -75,14 +75,16 @@ def mix(
 
     The mean is the rate of the document's source (``rates``). The number is the inverse of the
     distribution at a hash of the seed and doc_id, so it doesn't depend on partitions or
-    retries; copy counts from 0. Rows are sorted by shuffle_key, a hash of seed, doc_id and
-    copy, over all partitions. Repeated rows are repeated alike; a null source is one of its
+    retries; copy counts from 0. shuffle_key is a hash of seed, doc_id and copy; rows are dealt
+    to all partitions by it and sorted by it within each, so any order of the files is a random
+    order of all documents. Repeated rows are repeated alike; a null source is one of its
     own; documents of a source without any character, or of weight 0, don't appear, empty texts of
     other sources do. Columns named copy and shuffle_key are replaced.
 
     Sizes of all sources are counted over all rows and pre-aggregated. The table of rates is
     broadcast up to ``BROADCAST_SOURCES`` rows and else joined by a shuffle, whose hot source
-    the adaptive skew join splits. Texts move once, by the order, which no source can skew.
+    the adaptive skew join splits. Texts are read once and move once, by a key that no source
+    can skew.
     """
     table = rates(documents, weights, epochs, temperature).where("rate > 0")
     table = written(
@@ -99,5 +101,6 @@ def mix(
         .where("_n > 0")
         .select(*rest, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy"))
         .withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"order-{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "copy")))
-        .orderBy("shuffle_key")
+        .repartition("shuffle_key")
+        .sortWithinPartitions("shuffle_key")
     )
