@@ -7,8 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from tillbook.llm.common import written
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node either is a centre or has one edge, to a centre."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("centre"), F.lit(0).alias("outer"))
+    ends = ends.unionAll(edges.select("b", F.lit(0), F.lit(1)))
+    roles = ends.groupBy("node").agg(F.max("centre").alias("centre"), F.sum("outer").alias("outer"))
+    return roles.where("outer > 1 OR (outer = 1 AND centre = 1)").isEmpty()
 
 
 def _linked_to_least(edges: DataFrame, larger: bool) -> DataFrame:
@@ -23,7 +27,7 @@ def _linked_to_least(edges: DataFrame, larger: bool) -> DataFrame:
     else:
         near = edges.select(F.col("b").alias("node"), F.col("a").alias("other"))
     least = near.groupBy("node").agg(F.min("other").alias("least"))
-    least = least.select("node", F.least("node", "least").alias("least"))
+    least = written(least.select("node", F.least("node", "least").alias("least")), "least")
     moved = near.join(least, "node")
     if larger:
         moved = moved.where("other > node").select(F.col("least").alias("a"), F.col("other").alias("b"))
@@ -37,9 +41,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node of the component, for every node of an edge.
 
     ``edges`` has two bigint columns; direction and repetition don't matter, loops are ignored.
-    Large-star and small-star steps alternate until nothing moves, a number of rounds that grows
-    with the logarithm of the nodes. Every round writes its edges, so lineage stays short; a
-    node with very many edges is folded before its shuffle and split by the adaptive skew join.
+    Large-star and small-star steps alternate until only stars are left, a number of rounds that
+    grows with the logarithm of the nodes. Every step writes its edges, so lineage stays short. A node
+    with very many edges is folded before its shuffle; the result is written too, so that
+    the join is one of two tables, which the adaptive skew join splits at such a node.
     """
     first, second = (F.col(f"`{c}`") for c in edges.columns[:2])
     current = written(
@@ -48,10 +53,9 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct(),
         "edges",
     )
-    before, now = None, _state(current)
-    while now[0] and now != before:
-        current = written(_linked_to_least(_linked_to_least(current, larger=True), larger=False), "edges")
-        before, now = now, _state(current)
+    while not _are_stars(current):
+        for larger in (True, False):
+            current = written(_linked_to_least(current, larger), "edges")
     members = current.select(F.col("b").alias("node"), F.col("a").alias("component"))
     roots = current.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     return members.unionAll(roots)

@@ -154,7 +154,7 @@ def _candidate_links(classes: DataFrame, threshold: float, tolerance: float) ->
     """(a, b): links that hold candidates together. Pairs of small groups are pruned, a crowd is linked whole."""
     banded = classes.select("node", F.explode("bands").alias("band"))
     groups = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-    members = written(banded.join(groups, "band"), "members")
+    members = written(banded.join(written(groups, "groups"), "band"), "members")
     crowds = members.where((F.col("n") > CROWD) & (F.col("least") < F.col("node")))
     crowds = crowds.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     lists = members.where(F.col("n") <= CROWD).groupBy("band").agg(F.array_sort(F.collect_list("node")).alias("all"))
