@@ -11,18 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillbook.llm import decontaminate, jaccard, language, linededup, mixing
-from tillbook.llm.common import scratch_path
+from tillbook.llm.common import scratch_path, written
 
 #: A text of which hardly any n-gram stands in any language's profile is in none of the languages.
 LEAST_SCORE = 0.05
 
 
-def _keep(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The documents whose (doc_id) is among the decisions; a row without id needs one without id."""
-    chosen = decisions.select(F.col("doc_id").alias("_chosen")).distinct()
-    return docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(F.col("_chosen")), "left_semi")
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a language that the corpus names; texts without a letter go."""
     learned = language.learn(docs.where(~language.held_out(docs["doc_id"], 4, 2)))
@@ -40,9 +34,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links connect: that of the smallest doc_id."""
-    groups = jaccard.near_duplicates(docs)
-    return _keep(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("class_id"))))
+    """One row of each group that links connect: that of the smallest doc_id, without one only if no other has one.
+
+    Rows are numbered first, as ids may be null, shared or repeated; the numbered rows are written,
+    so that a row has the same number in each job.
+    """
+    row = "_row"
+    while row in (c.lower() for c in docs.columns):
+        row += "_"
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    chosen = jaccard.first_of_groups(numbered, row)
+    return numbered.join(chosen, numbered[row] == chosen["row"], "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import corpus_pipeline
 from compare import TEST_DATA
 from helpers import documents, odd_texts
 from test_llm_decontaminate import brute as contaminated
-from test_llm_jaccard import brute as groups
+from test_llm_jaccard import brute as groups, near_copies
 
 FOLDER = f"{TEST_DATA}/sf0.001"
 
@@ -70,6 +70,26 @@ def test_one_of_each_group_stays(stages):
     assert after == {i: before[i] for i, (root, _) in groups(list(before.items())).items() if i == root}
 
 
+def test_one_row_of_each_group_stays_whatever_its_ids(spark):
+    """Repeated rows, null ids and ids that several texts share."""
+    made = near_copies(11, 40, 6)
+    alone = [(500, "a shared id, two texts, this is one"), (500, made[0][1]), (None, "only here and without an id")]
+    rows = [(None if i % 4 == 1 else i // 3, t) for i, t in made] + made[:7] * 3 + [(5, made[9][1])] * 4
+    rows += [*alone, alone[-1], *odd_texts(), (40, "four words are here"), (None, "four words are here"), (None, None)]
+    group = {i: root for i, (root, _) in groups([(n, t) for n, (_, t) in enumerate(rows)]).items()}
+    least = {}
+    for n, (doc_id, _) in enumerate(rows):
+        least[group[n]] = min(least.get(group[n], (True, 0)), (doc_id is None, doc_id or 0))
+    of_text = {t: group[n] for n, (_, t) in enumerate(rows)}
+    kept = [tuple(r) for r in corpus_pipeline.near_duplicates(
+        spark, documents(spark, rows, extra="row _row first").repartition(5), FOLDER).select("doc_id", "text").collect()]
+    with_words = [(i, t) for i, t in kept if any(c.isalnum() for c in t or "")]
+    without = [r for r in rows if not any(c.isalnum() for c in r[1] or "")]
+    assert sorted(of_text[t] for _, t in with_words) == sorted({g for n, g in group.items() if rows[n] not in without})
+    assert all((i is None, i or 0) == least[of_text[t]] for i, t in with_words)
+    assert sorted(map(str, without)) == sorted(str(r) for r in kept if r not in with_words)
+
+
 def test_contaminated_documents_go(spark, stages):
     before, after = map(texts, stages["benchmark decontamination"])
     items = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]

@@ -109,8 +109,12 @@ def survivors(left: np.ndarray, right: np.ndarray, threshold: float, tolerance:
     return alive
 
 
-def _signed(documents: DataFrame, size: int) -> DataFrame:
-    """(doc_id, body, class, sig, bands) of each document: class is a digest of its set, null without words."""
+def _signed(documents: DataFrame, size: int, row: str | None = None) -> DataFrame:
+    """(doc_id, body, class, sig, bands) of each document: class is a digest of its set, null without words.
+
+    With ``row``, that column as bigint is there too, as row.
+    """
+    keys = {"doc_id": "doc_id"} | ({"row": row} if row else {})
 
     def make():
         def run(batch: pa.RecordBatch) -> dict[str, list]:
@@ -126,16 +130,21 @@ def _signed(documents: DataFrame, size: int) -> DataFrame:
                 else:
                     for name in ("class", "sig", "bands"):
                         out[name].append(None)
-            return {"doc_id": batch.column("doc_id"), **out}
+            return {key: batch.column(key) for key in keys} | out
 
         return run
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_slices(rows, "doc_id long, body binary, class binary, sig binary, bands array<long>", make)
+    rows = documents.select(*(F.col(f"`{c}`").cast("long").alias(key) for key, c in keys.items()), "text")
+    types = ", ".join(f"{key} long" for key in keys)
+    return map_slices(rows, f"{types}, body binary, class binary, sig binary, bands array<long>", make)
 
 
 def _classes(signed: DataFrame) -> DataFrame:
-    """One row for each class, with a number of its own, a document that holds its text, and its copies."""
+    """One row for each class, with a number of its own, a document that holds its text, and its copies.
+
+    If rows are numbered, first is the row of the least doc_id (null last), then text hash and number.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "body", "row") if "row" in signed.columns else None
     return (
         signed.where(F.col("class").isNotNull())
         .groupBy("class")
@@ -145,6 +154,7 @@ def _classes(signed: DataFrame) -> DataFrame:
             F.count("*").alias("copies"),
             F.first("sig").alias("sig"),
             F.first("bands").alias("bands"),
+            *([F.min(order).alias("first")] if order is not None else []),
         )
         .withColumn("node", F.monotonically_increasing_id())
     )
@@ -295,6 +305,36 @@ def _verified(documents: DataFrame, classes: DataFrame, clusters: DataFrame, thr
     return map_batches(dealt.repartition(*keys).sortWithinPartitions(*keys), run, schema)
 
 
+def _linked(
+    signed: DataFrame, documents: DataFrame, size: int, threshold: float, tolerance: float
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All classes, (node, component) and (node, links) of those that have links to others."""
+    classes = written(_classes(signed), "classes")
+    clusters = written(components(_candidate_links(classes, threshold, tolerance)), "clusters")
+    linked = written(_verified(documents, classes, clusters, threshold, tolerance), "linked")
+    links = linked.groupBy("node").agg(F.sum("links").alias("links"))
+    whole = linked.where("blocks = 1").select("node", F.col("root").alias("component"))
+    parts = components(linked.where("blocks > 1").select("root", "node"))
+    return classes, whole.unionAll(parts), links
+
+
+def first_of_groups(
+    documents: DataFrame, row: str, size: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE
+) -> DataFrame:
+    """(row): the number, from the column ``row``, of one row of each group that links connect.
+
+    It is the row of the least doc_id; rows without one come last. Among rows of one doc_id, which may be
+    repeated or hold different texts, the text's hash and then the number decide. Copies and
+    repeated rows are of one group; a row without words has no links and is a group of its own.
+    Classes and groups are folded before their shuffles.
+    """
+    signed = written(_signed(documents, size, row), "signed")
+    classes, component, _ = _linked(signed, documents, size, threshold, tolerance)
+    groups = classes.select("node", "first").join(component, "node", "left")
+    firsts = groups.groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first")).select("first.row")
+    return firsts.unionAll(signed.where(F.col("class").isNull()).select("row"))
+
+
 def near_duplicates(
     documents: DataFrame, size: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE
 ) -> DataFrame:
@@ -312,13 +352,7 @@ def near_duplicates(
     inside tasks, so a group of n near copies needs n * n / BLOCK**2 block pairs and not n * n rows.
     """
     signed = written(_signed(documents, size), "signed")
-    classes = written(_classes(signed), "classes")
-    clusters = written(components(_candidate_links(classes, threshold, tolerance)), "clusters")
-    linked = written(_verified(documents, classes, clusters, threshold, tolerance), "linked")
-    links = linked.groupBy("node").agg(F.sum("links").alias("links"))
-    whole = linked.where("blocks = 1").select("node", F.col("root").alias("component"))
-    parts = components(linked.where("blocks > 1").select("root", "node"))
-    component = whole.unionAll(parts)
+    classes, component, links = _linked(signed, documents, size, threshold, tolerance)
     named = component.join(classes.select("node", "least_id"), "node")
     names = named.groupBy("component").agg(F.min("least_id").alias("class_id"))
     of_node = component.join(names, "component").join(links, "node").select("node", "class_id", "links")
