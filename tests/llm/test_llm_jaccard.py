@@ -116,3 +116,9 @@ def test_components_of_paths_stars_and_loops(spark):
     found = {r["node"]: r["component"] for r in components(edges).collect()}
     assert found == {i: 100 for i in range(100, 161)} | {5: 5} | {i: 5 for i in range(200, 260)} | {8: 8, 9: 8}
     assert components(edges.limit(0)).count() == 0
+
+
+def test_another_size_against_brute_force(spark, monkeypatch):
+    monkeypatch.setitem(globals(), "shingles", lambda text: jaccard.shingles(text, 2))
+    rows = near_copies(5, 40, 7)
+    assert by_id(near_duplicates(documents(spark, rows), size=2), "class_id", "n_links") == brute(rows)

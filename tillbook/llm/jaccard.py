@@ -187,7 +187,7 @@ def _candidate_links(classes: DataFrame, threshold: float, tolerance: float) ->
 
 
 def _verified_block(
-    rows: list[tuple], one_block: bool, threshold: float, tolerance: float
+    rows: list[tuple], one_block: bool, size: int, threshold: float, tolerance: float
 ) -> Iterator[tuple[int, int, int]]:
     """(node, links, root) for the classes of one task: (node, side, copies, sig, text).
 
@@ -200,7 +200,7 @@ def _verified_block(
     else:
         sides = (np.array([i for i, r in enumerate(rows) if r[1] == side], np.int64) for side in (0, 1))
         left, right = (x.ravel() for x in np.meshgrid(*sides, indexing="ij"))
-    sets = [shingles(r[4]) for r in rows]
+    sets = [shingles(r[4], size) for r in rows]
     sizes = np.array([len(s) for s in sets])
     near = np.minimum(sizes[left], sizes[right]) >= threshold * np.maximum(sizes[left], sizes[right]) - 1e-9
     left, right = left[near], right[near]
@@ -252,7 +252,9 @@ def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     return total[left, right].round().astype(np.int64)
 
 
-def _verified(documents: DataFrame, classes: DataFrame, clusters: DataFrame, threshold: float, tolerance: float):
+def _verified(
+    documents: DataFrame, classes: DataFrame, clusters: DataFrame, size: int, threshold: float, tolerance: float
+) -> DataFrame:
     """(node, links, root, blocks) of the classes that have links; a class of a large cluster has several rows."""
     sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = clusters.join(sizes, "component").join(classes.select("node", "holder", "copies", "sig"), "node")
@@ -282,7 +284,7 @@ def _verified(documents: DataFrame, classes: DataFrame, clusters: DataFrame, thr
         key, rows, out = None, [], []
 
         def close():
-            out.extend((*found, key[3]) for found in _verified_block(rows, key[1] == key[2], threshold, tolerance))
+            out.extend((*found, key[3]) for found in _verified_block(rows, key[1] == key[2], size, threshold, tolerance))
 
         def batch_of(found):
             columns = zip(*found, strict=True) if found else ([] for _ in arrow)
@@ -311,7 +313,7 @@ def _linked(
     """All classes, (node, component) and (node, links) of those that have links to others."""
     classes = written(_classes(signed), "classes")
     clusters = written(components(_candidate_links(classes, threshold, tolerance)), "clusters")
-    linked = written(_verified(documents, classes, clusters, threshold, tolerance), "linked")
+    linked = written(_verified(documents, classes, clusters, size, threshold, tolerance), "linked")
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
     whole = linked.where("blocks = 1").select("node", F.col("root").alias("component"))
     parts = components(linked.where("blocks > 1").select("root", "node"))
