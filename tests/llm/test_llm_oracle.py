@@ -22,4 +22,4 @@ def test_query_equals_sql(spark, name, folder):
 def test_all_are_registered():
     assert set(QUERIES) <= set(registry.queries())
     assert set(SQL) <= set(registry.oracle_sql())
-    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")}) == list(range(1, 11))
+    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")}) == list(range(1, 14))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import tempfile
 import uuid
 import zipfile
@@ -98,6 +99,40 @@ def add_columns(
     return map_batches(frame, run, schema)
 
 
+def map_groups(
+    frame: DataFrame,
+    keys: list[str],
+    order: list[str],
+    columns: list[str],
+    ddl: str,
+    make_rows: Callable[[tuple, Iterator[tuple]], Iterator[tuple]],
+) -> DataFrame:
+    """Rows of ``ddl`` made from each group of ``keys`` in one task, its rows in ``order`` and read one by one.
+
+    The function gets the key and rows of ``order`` and ``columns``. Groups must be of bounded size if it holds them.
+    """
+    schema = StructType.fromDDL(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, SLICE_ROWS):
+                    part = batch.slice(start, SLICE_ROWS)
+                    yield from zip(*(part.column(c).to_pylist() for c in keys + order + columns), strict=True)
+
+        def made() -> Iterator[tuple]:
+            for key, group in itertools.groupby(rows(), lambda row: row[: len(keys)]):
+                yield from make_rows(key, (row[len(keys) :] for row in group))
+
+        for some in itertools.batched(made(), 16 * SLICE_ROWS):
+            arrays = [pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+
+    return map_batches(frame.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, *order, *columns), run, schema)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 

@@ -139,10 +139,96 @@ WITH usable AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+_BLANK_WORDS = "regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_MINHASH_DEDUP = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, {_BLANK_WORDS.format(text=_LOWER)} AS words FROM documents WHERE text IS NOT NULL
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(1, len(words) - 3) + 1),
+         lambda i: array_to_string(list_slice(words, i, i + 3), ' '))) AS s
+  FROM docs WHERE len(words) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * common >= 80 * (x.n + y.n - common)
+), edges AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reached AS (
+  SELECT DISTINCT a AS doc_id, a AS other FROM edges
+  UNION
+  SELECT r.doc_id, e.b FROM reached r JOIN edges e ON e.a = r.other
+), named AS (
+  SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles,
+       CAST(coalesce(c.component_id, d.doc_id) AS BIGINT) AS component_id,
+       d.doc_id = coalesce(c.component_id, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN named c USING (doc_id)
+"""
+
+# pairs of equal eight-word grams a period apart; consecutive ones make a stretch of that period
+_PERIODIC_RUNS = f"""
+WITH split AS (
+  SELECT doc_id, {_BLANK_WORDS.format(text="coalesce(text, '')")} AS w,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+             list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+             lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(0, 8)),
+                 lambda x, bit: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS h
+  FROM documents
+), ruled AS (
+  SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted,
+         CASE WHEN len(w) > 0 THEN (h // 10) % len(w) ELSE 0 END AS a, 3 + (h // 10) % 8 AS parts
+  FROM split
+), docs AS (
+  SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(0, n),
+           lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // parts) END]) ELSE w END AS w
+  FROM ruled
+), grams AS (
+  SELECT doc_id, unnest(range(0, n - 7)) AS i,
+         unnest(list_transform(range(1, n - 6), lambda k: array_to_string(list_slice(w, k, k + 7), ' '))) AS g
+  FROM docs WHERE n >= 24
+), pairs AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM grams x JOIN grams y ON x.doc_id = y.doc_id AND x.g = y.g AND x.i < y.i
+), stretches AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + 7 + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs)
+  GROUP BY doc_id, q, island
+), runs AS (
+  SELECT doc_id, start, length, min(q) AS period FROM stretches
+  WHERE length >= greatest(24, 3 * q) GROUP BY doc_id, start, length
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS nth FROM runs
+), summed AS (
+  SELECT doc_id, count(*) AS n_runs,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed
+  FROM runs GROUP BY doc_id
+), dropped AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.i) AS text
+  FROM (SELECT doc_id, unnest(range(0, n)) AS i, unnest(w) AS word FROM docs) p
+  LEFT JOIN dropped d ON d.doc_id = p.doc_id AND d.i = p.i WHERE d.i IS NULL GROUP BY p.doc_id
+)
+SELECT d.doc_id, CAST(coalesce(s.n_runs, 0) AS BIGINT) AS n_runs, CAST(r.start AS BIGINT) AS start,
+       CAST(r.length AS BIGINT) AS length, CAST(r.period AS BIGINT) AS period,
+       CAST(1000 * r.length // r.period AS BIGINT) AS exponent_milli,
+       sha256(coalesce(s.listed, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM docs d LEFT JOIN summed s USING (doc_id) LEFT JOIN kept k USING (doc_id)
+LEFT JOIN ranked r ON r.doc_id = d.doc_id AND r.nth = 1
+"""
+
 SQL: dict[str, str] = {
     "op1_line_dedup": _LINE_DEDUP,
     "op2_decontamination": _DECONTAMINATION,
     "op5_top_scores": _TOP_SCORES,
     "op6_mixing": _MIXING,
     "op9_warc": _WARC,
+    "op11_minhash_dedup": _MINHASH_DEDUP,
+    "op12_periodic_runs": _PERIODIC_RUNS,
 }

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillbook.llm import (
+    alignment,
     decontaminate,
     jaccard,
     language,
     linededup,
+    minhash,
     mixing,
     mtree,
+    periodic,
     secrets,
     tokencounts,
     toxicity,
@@ -80,6 +83,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.find_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"), plant=True)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align_tokenizers(documents, *alignment.vocabularies(spark))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,5 +113,8 @@ QUERIES: dict[str, Query] = {
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_minhash_dedup": op11_minhash_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_alignment": op13_token_alignment,
     "pipeline": pipeline,
 }
