@@ -53,9 +53,10 @@ def texts():
 
 
 def test_against_brute_force(spark):
-    frame = documents(spark, texts(), extra="n_words contaminated items")
+    frame = documents(spark, texts(), extra="n_words contaminated items _spans _items")
     result = contamination(frame, benchmark(spark, items()))
     assert set(result.columns) == {*frame.columns, *RESULT}
+    assert {(r["_spans"], r["_items"]) for r in result.collect()} == {("clash", "clash")}
     rows = by_id(result, *RESULT)
     for doc_id, text in texts():
         assert rows[doc_id] == brute(text, items()), doc_id

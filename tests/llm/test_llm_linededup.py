@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from helpers import by_id, documents, odd_texts
@@ -44,6 +46,23 @@ def test_odd_rows(spark):
     assert remove_repeated_lines(frame.limit(0)).count() == 0
 
 
+def test_columns_of_hidden_names_keep_their_values(spark):
+    frame = documents(spark, [(1, "a\nb\nc"), (2, "a\nb\nc\nd")], extra="_id _body _covered _ID_")
+    rows = remove_repeated_lines(frame).collect()
+    assert all(r[c] == "clash" for r in rows for c in ("_id", "_body", "_covered", "_ID_"))
+    assert {r["doc_id"]: r["text"] for r in rows} == {1: "a\nb\nc", 2: "d"}
+
+
+def test_texts_of_a_million_lines(spark):
+    lines = [f"line {i}" for i in range(500_000)]
+    started = time.time()
+    result = remove_repeated_lines(documents(spark, [(1, "\n".join(lines)), (2, "\n".join(lines + ["x", "", *lines, "end"]))]))
+    rows = by_id(result, "text", "n_lines", "n_removed")
+    assert rows[1][1:] == (500_000, 0)
+    assert rows[2] == ("x\n\nend", 1_000_003, 1_000_000)
+    assert time.time() - started < 60
+
+
 def test_repeated_rows_are_one_document(spark):
     text = "a\nb\nc\nd"
     result = remove_repeated_lines(documents(spark, [(1, text), (1, text), (1, "a\nb\nc\ne"), (None, "a\nb\nc")]))

@@ -1,0 +1,153 @@
+"""Near duplicates by one-permutation hashing against all pairs of sets."""
+
+import random
+import re
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+from helpers import documents, odd_texts
+from tillbook.llm import minhash
+from tillbook.llm.minhash import BINS, deduplicated, one_permutation, shingle_set
+
+
+def plain_set(text, size=4):
+    found = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(found[i : i + size]) for i in range(max(1, len(found) - size + 1))} if found else set()
+
+
+def expected(rows, size=4, percent=80):
+    """(doc_id, n, component, kept) of each row, by comparing all pairs."""
+    sets = [plain_set(text, size) for _, text in rows]
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(range(len(rows)), 2):
+        both = len(sets[i] & sets[j])
+        if both and 100 * both >= percent * len(sets[i] | sets[j]):
+            root[top(i)] = top(j)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        known = least.get(top(i))
+        least[top(i)] = doc_id if known is None else known if doc_id is None else min(known, doc_id)
+    return sorted((str((d, len(sets[i]), least[top(i)] if sets[i] else d, (least[top(i)] if sets[i] else d) == d)) for i, (d, _) in enumerate(rows)))
+
+
+def found(spark, rows, size=4, percent=80, **more):
+    frame = deduplicated(documents(spark, rows, **more), size, percent)
+    assert frame.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    return sorted(str(tuple(r)) for r in frame.collect())
+
+
+def near_copies(rng, n, words, changes):
+    """Copies of one text with some words changed each."""
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for _ in range(rng.randint(*changes)):
+            own[rng.randrange(words)] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_groups_of_near_copies_equal_all_pairs(spark):
+    rng, rows = random.Random(3), []
+    for words, changes in ((30, (0, 2)), (60, (0, 4)), (200, (2, 8)), (12, (0, 1)), (5, (0, 1))):
+        for _ in range(6):
+            rows += near_copies(rng, rng.randint(2, 9), words, changes)
+    rng.shuffle(rows)
+    rows = list(enumerate(rows, 100))
+    assert found(spark, rows) == expected(rows)
+    assert any("False" in row for row in expected(rows))
+
+
+def test_a_crowd_around_the_threshold(spark, monkeypatch):
+    """Many texts about as far from each other as the threshold, in blocks of a few."""
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "STAR", 5)
+    rng = random.Random(4)
+    rows = list(enumerate(near_copies(rng, 70, 90, (0, 4)) + near_copies(rng, 30, 40, (1, 3))))
+    assert found(spark, rows) == expected(rows)
+
+
+def test_links_that_no_star_sees(spark):
+    """Both texts of a pair differ from the centre of every bucket they share with it."""
+    rng = random.Random(5)
+    for trial in range(3):
+        base = [f"b{trial}-{k}" for k in range(100)]
+        rows = []
+        for k in range(12):
+            own = base[:]
+            for at in range(0, 100, 12):
+                own[(at + k) % 100] = f"c{trial}-{k}-{at}"
+            rows += [" ".join(own), " ".join([*own[:-1], f"end{k}"])]
+        rng.shuffle(rows)
+        numbered = list(enumerate(rows, 1000 * trial))
+        assert found(spark, numbered) == expected(numbered)
+
+
+def test_chains_and_exact_thresholds(spark):
+    words = [f"t{k}" for k in range(40)]
+    chain = [(k, " ".join(words[k : k + 33])) for k in range(8)]  # 30 shingles, 27 shared by neighbours
+    exact = [(20, "a b c d e f g"), (21, "a b c d e f g h"), (22, "p q r s"), (23, "p q r s t")]  # 4 of 5; 1 of 2
+    assert found(spark, chain + exact) == expected(chain + exact)
+    assert {str((7, 30, 0, False)), str((21, 5, 20, False)), str((23, 2, 23, True))} <= set(found(spark, chain + exact))
+
+
+def test_odd_rows(spark):
+    rows = [*odd_texts(), (10, "one line OF words only."), (11, "One\tline\x0bof\nwords  only."), (None, "row without an id, as it may be."),
+            (12, "Row without an id, as it may be. Still"), (13, "one"), (14, "ONE"), (15, "ÉTÉ"), (16, "été"), (5, "another text of doc five")]
+    assert found(spark, rows, extra="row node label n sketch class _class component bands") == expected(rows)
+    assert found(spark, [(1, None), (2, " \n")]) == [str((1, 0, 1, True)), str((2, 0, 2, True))]
+    assert found(spark, []) == []
+    alone = [(None, "a text without any id at all"), (None, "a text without any id at all")]
+    assert found(spark, alone) == [str((None, 4, None, True))] * 2
+
+
+def test_repeated_rows_and_large_groups_of_copies(spark):
+    rows = [(7, "the same row again and again and again")] * 3000 + [(k, "a copy that many rows hold as it is") for k in range(3000)]
+    rows += [(9000, "the same row again and again and again")]
+    result = found(spark, rows)
+    assert len(result) == 6001
+    assert set(result) == {str((7, 5, 7, True)), str((9000, 5, 7, False)), str((0, 6, 0, True)), *(str((k, 6, 0, False)) for k in range(1, 3000))}
+
+
+@pytest.mark.parametrize("size, percent", [(2, 60), (6, 90)])
+def test_other_sizes_and_thresholds(spark, size, percent):
+    rng = random.Random(size)
+    rows = list(enumerate(near_copies(rng, 12, 50, (0, 3)) + near_copies(rng, 10, 20, (0, 2))))
+    assert found(spark, rows, size, percent) == expected(rows, size, percent)
+
+
+def test_a_star_has_one_pair_for_each_member(spark):
+    base = " ".join(f"s{k}" for k in range(300))
+    frame = minhash._sketched(documents(spark, [(k, f"{base} end{k}") for k in range(200)]), 4)
+    classes = frame.selectExpr("row AS node", "n", "sketch", "bands")
+    buckets = minhash._buckets(classes)
+    pairs = buckets.where("node <> centre").select("centre", "node").distinct()
+    assert pairs.count() <= 200 * buckets.select("centre").distinct().count()
+
+
+def test_one_permutation_values_estimate_similarity():
+    rng = np.random.default_rng(7)
+    for size, shared in ((3, 3), (1, 1), (10, 8), (200, 160), (5000, 4000)):
+        agree = []
+        for _ in range(40):
+            union = np.unique(rng.integers(0, 2**63, 2 * size - shared, np.uint64) * np.uint64(2))
+            own = rng.permutation(union)
+            left, right = np.sort(own[:size]), np.sort(own[len(own) - size :])
+            agree.append(np.mean(one_permutation(left) == one_permutation(right)))
+        truth = shared / (2 * size - shared)
+        assert abs(np.mean(agree) - truth) < 0.07, (size, np.mean(agree), truth)
+
+
+def test_empty_bins_take_a_filled_one():
+    own = shingle_set("only three words")
+    assert len(own) == 1 and set(one_permutation(own).tolist()) == set(own.tolist())
+    assert len(one_permutation(shingle_set("a b c d e f"))) == BINS

@@ -1,4 +1,5 @@
 import math
+import time
 
 from helpers import documents, odd_texts
 from pyspark.sql import functions as F
@@ -6,13 +7,38 @@ from tillbook.llm.mixing import cumulative, mix, rates, uniform
 
 
 def test_cumulative_is_poisson(spark):
-    for rate in (0.01, 1.0, 7.5, 900.0):
-        below = spark.range(1).select(cumulative(F.lit(rate)).alias("c")).first()["c"]
+    for rate in (0.01, 1.0, 7.5, 150.0, 300.0, 900.0, 1e6):
+        row = cumulative(spark.createDataFrame([("s", rate)], "source string, rate double")).first()
         total = 0.0
-        for k, value in enumerate(below):
+        for k, value in enumerate(row["below"], row["first"]):
             total += math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1))
-            assert abs(value - total) < 1e-9
-        assert abs(below[-1] - 1) < 1e-9
+            assert abs(value - total) < 1e-8
+        assert abs(row["below"][-1] - 1) < 1e-7
+        assert row["first"] == 0 or row["below"][0] < 1e-16
+
+
+def test_a_rate_of_a_million(spark):
+    frame = documents(spark, [(0, "x", "en", "small"), (1, "y" * 4_000_000, "en", "large")])
+    started = time.time()
+    mixed = mix(frame, {"small": 1.0, "large": 3.0})
+    counts = {r["source"]: (r["count"], r["copies"]) for r in mixed.groupBy("source").agg(F.count("*").alias("count"), F.countDistinct("copy").alias("copies")).collect()}
+    assert abs(counts["small"][0] - 1_000_000) < 6_000 and counts["small"][0] == counts["small"][1]
+    assert time.time() - started < 60
+
+
+def test_rows_without_an_id_of_their_own_are_drawn_apart(spark):
+    rows = spark.range(6000).selectExpr("CASE WHEN id % 3 = 1 THEN NULL WHEN id % 3 = 2 THEN 7 ELSE 10 + id END AS doc_id", "'same' AS text", "'s' AS source")
+    mixed = mix(rows, epochs=3.0).withColumn("part", F.spark_partition_id())
+    for condition in ("doc_id IS NULL", "doc_id = 7"):
+        own = mixed.where(condition)
+        assert abs(own.count() / 2000 - 3) < 0.2
+        assert own.select("shuffle_key").distinct().count() == own.count()
+        assert own.select("part").distinct().count() > 1
+        # copies of a row count from 0, so the number of first copies is that of rows that were drawn at all
+        assert abs(own.where("copy = 0").count() / 2000 - (1 - math.exp(-3))) < 0.03
+    plain = spark.range(6000).selectExpr("10 + id AS doc_id", "'same' AS text", "'s' AS source").where("doc_id % 3 = 1")
+    keys = {r["shuffle_key"] for r in mix(plain, epochs=3.0).collect()}
+    assert keys == {r["shuffle_key"] for r in mixed.where("doc_id <> 7").select("shuffle_key").collect()}
 
 
 def test_rates_meet_the_weights(spark):
@@ -35,12 +61,14 @@ def test_counts_follow_the_rate_and_the_seed(spark):
 
 
 def test_copies_are_numbered_and_sorted(spark):
-    frame = documents(spark, [(i, f"text {i}") for i in range(200)], extra="copy _n rate")
+    frame = documents(spark, [(i, f"text {i}") for i in range(200)], extra="copy _n rate _source _cdf _part _below _first _at _shared")
     mixed = mix(frame, epochs=3.0)
     rows = mixed.withColumn("part", F.spark_partition_id()).collect()
     for part in {r["part"] for r in rows}:
         keys = [r["shuffle_key"] for r in rows if r["part"] == part]
         assert keys == sorted(keys)
+    assert mixed.columns == [*(c for c in frame.columns if c != "copy"), "copy", "shuffle_key"]
+    assert {r["_n"] for r in rows} == {r["_source"] for r in rows} == {"clash"}
     by_doc = {}
     for r in rows:
         by_doc.setdefault(r["doc_id"], set()).add(r["copy"])

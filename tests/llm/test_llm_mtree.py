@@ -12,7 +12,7 @@ SCHEMA = "vec_id long, embedding array<float>, label int"
 def brute(rows, top=5, step=50):
     usable = {}
     for vec_id, v in rows:
-        if vec_id is not None and v is not None and all(x is not None and math.isfinite(x) and abs(256 * float(np.float32(x))) < 2**28 for x in v):
+        if vec_id is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
             usable.setdefault((vec_id, tuple(math.floor(256 * float(np.float32(x))) for x in v)))
     out = []
     for q, qv in usable:
@@ -44,7 +44,7 @@ def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
         (0, [1.0, 2.0]), (50, [1.0, 2.0]), (1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, None), (3, [1.0, None]), (4, [nan, 1.0]), (5, [inf, 1.0]),
-        (None, [3.0, 3.0]), (6, [0.5]), (7, []), (8, [-1.0, -1.0]), (9, [1e30, 0.0]), (100, [0.0, 0.0]), (150, [900_000.0, -900_000.0]), (11, [900_000.0, 1.0]),
+        (None, [3.0, 3.0]), (6, [0.5]), (7, []), (8, [-1.0, -1.0]), (9, [2.0**21, 3.0]), (250, [-(2.0**21), 2.0**21]), (100, [0.0, 0.0]), (150, [900_000.0, -900_000.0]), (11, [900_000.0, 1.0]),
     ]
     assert found(spark, rows) == brute(rows)
     few = [(0, [1.0]), (7, [2.0])]
@@ -53,6 +53,18 @@ def test_odd_rows(spark):
     assert found(spark, [(1, None)]) == []
 
 
+def test_large_components_take_part(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(i), [float(np.float32(x)) for x in p]) for i, p in enumerate(rng.normal(size=(120, 3)) * np.where(rng.random((120, 1)) < 0.3, 2.0**20, 1))]
+    rows += [(1000, [2.0**21, -(2.0**21), 1.0]), (1050, [2.0**22, 0.5, 0.25])]
+    assert found(spark, rows, query_step=10) == brute(rows, step=10)
+
+
+def test_a_vector_whose_scores_cannot_fit_is_an_error(spark):
+    with pytest.raises(Exception, match="vec_id 9 don't fit 64 bits"):
+        found(spark, [(0, [1.0, 2.0]), (9, [1e30, 0.0])])
+
+
 def test_empty_table(spark):
     assert top_scores(spark.createDataFrame([], SCHEMA)).count() == 0
 

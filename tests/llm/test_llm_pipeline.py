@@ -60,6 +60,11 @@ def test_language_id_keeps_texts_with_letters(stages):
     assert after == {i: t for i, t in before.items() if t and any(c.isalpha() for c in t)}
 
 
+def test_without_labels_all_documents_stay(spark):
+    docs = documents(spark, [(i, text, None, "s") for i, text in odd_texts()])
+    assert corpus_pipeline.language_id(spark, docs, FOLDER).count() == len(odd_texts())
+
+
 def test_line_dedup(stages):
     before, after = map(texts, stages["line dedup"])
     assert after == lines_removed(before)

@@ -2,9 +2,10 @@ import hashlib
 import random
 import re
 import string
+import time
 
 from helpers import by_id, documents, odd_texts
-from tillbook.llm.secrets import KINDS, LEAST_RATIO, base_spans, learn, log_ratio, scan, score, transitions
+from tillbook.llm.secrets import KINDS, LEAST_RATIO, base_spans, candidates, learn, log_ratio, scan, score, transitions
 
 PLAIN = {
     "assign": re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A),
@@ -71,3 +72,16 @@ def test_empty_table(spark):
     ratios = learn(frame.limit(0))
     assert scan(frame.limit(0), ratios).count() == 0
     assert scan(frame, ratios).where("n_random > 0").count() == 0
+
+
+def test_strings_beside_spans_are_found_in_one_walk():
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choices("abcXYZ012", k=rng.randint(8, 30))) for _ in range(400))
+    for _ in range(20):
+        taken = [(s, s + rng.randint(1, 60), rng.randrange(3)) for s in rng.sample(range(len(text)), rng.randint(0, 80))]
+        free = candidates(text, [])
+        assert candidates(text, taken) == [(a, b) for a, b in free if not any(s < b and a < e for s, e, _ in taken)]
+    long = "Ab0" * 10 + " "
+    started = time.time()
+    assert len(candidates(long * 100_000, [(31 * i, 31 * i + 5, 0) for i in range(100_000)])) == 0
+    assert time.time() - started < 20

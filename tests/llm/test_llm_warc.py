@@ -125,3 +125,25 @@ def test_a_broken_file_is_reported(spark, tmp_path):
     (tmp_path / "w" / "x.warc").write_bytes(b"nonsense")
     with pytest.raises(Exception, match="no WARC record"):
         read(spark, str(tmp_path / "w")).collect()
+
+
+def test_a_payload_that_a_third_of_the_pages_share(spark):
+    rows = [(i, f"u{i}", "" if i % 3 == 0 else f"body {i}") for i in range(3000)]
+    before = {name: spark.conf.get(name, None) for name in NARROW}
+    for name, value in NARROW.items():
+        spark.conf.set(name, value)
+    try:
+        frame = page_records(pages(spark, rows))
+        sizes = [r["count"] for r in frame.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 600  # a thousand pages have the empty payload
+        assert sorted(map(tuple, round_trip(pages(spark, rows)).collect())) == expected(rows)
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+NARROW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "12k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import re
 import tempfile
 import uuid
 import zipfile
@@ -47,6 +48,16 @@ def _shipped(application: str) -> None:
     SparkContext.getOrCreate().addPyFile(str(archive))
 
 
+def hidden(frame: DataFrame, *names: str) -> list[str]:
+    """The names, or longer ones where the frame has such a column, for columns that the result doesn't show."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def ship_package(spark: SparkSession) -> None:
     _shipped(spark.sparkContext.applicationId)
 
@@ -141,7 +152,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tillbook-")
         context.setCheckpointDir(folder)

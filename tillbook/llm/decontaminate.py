@@ -14,7 +14,7 @@ from collections.abc import Iterable
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tillbook.llm.common import add_columns, map_slices, words, written
+from tillbook.llm.common import add_columns, hidden, map_slices, words, written
 
 #: Consecutive words of a benchmark text that make a window.
 WINDOW = 13
@@ -94,14 +94,14 @@ def _pattern_table(benchmark: DataFrame, size: int) -> DataFrame:
 def _blocks(benchmark: DataFrame, size: int, block_windows: int) -> list[DataFrame]:
     """The windows with their items, dealt by hash into blocks of about ``block_windows`` rows."""
     table = _pattern_table(benchmark, size).groupBy("window")
-    table = table.agg(F.collect_set(F.coalesce("item", F.lit(""))).alias("items"))
+    table = written(table.agg(F.collect_set(F.coalesce("item", F.lit(""))).alias("items")), "windows")
     n_blocks = -(-max(1, table.count()) // block_windows)
     dealt = F.pmod(F.xxhash64("window"), F.lit(n_blocks))
     return [table.where(dealt == block) for block in range(n_blocks)]
 
 
-def _with_hits(rows: DataFrame, block: DataFrame) -> DataFrame:
-    """The rows with the occurrences of one block's windows added: [start, end) of words, and items."""
+def _with_hits(rows: DataFrame, block: DataFrame, held: list[str]) -> DataFrame:
+    """The rows with the occurrences of one block's windows added to the columns ``held``: [start, end) of words, and items."""
     patterns = {tuple(bytes(r["window"]).split()): r["items"] for r in block.toLocalIterator()}
     sent = rows.sparkSession.sparkContext.broadcast(patterns)
 
@@ -118,17 +118,17 @@ def _with_hits(rows: DataFrame, block: DataFrame) -> DataFrame:
             return len(sequence), _merged(found), sorted(met)
 
         def run(batch: pa.RecordBatch) -> dict[str, list]:
-            columns = (batch.column(c).to_pylist() for c in ("text", "_spans", "_items"))
+            columns = (batch.column(c).to_pylist() for c in ("text", *held))
             found = [hits(*row) for row in zip(*columns, strict=True)]
             return {
                 "n_words": [n for n, _, _ in found],
-                "_spans": [s for _, s, _ in found],
-                "_items": [i for _, _, i in found],
+                held[0]: [s for _, s, _ in found],
+                held[1]: [i for _, _, i in found],
             }
 
         return run
 
-    return add_columns(rows, "n_words long, _spans array<long>, _items array<string>", make)
+    return add_columns(rows, f"n_words long, {held[0]} array<long>, {held[1]} array<string>", make)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[int]:
@@ -160,18 +160,17 @@ def contamination(
     benchmark of more than ``block_windows`` windows is searched block by block, each pass
     adding its occurrences to those before.
     """
-    rows = documents.withColumns(
-        {"_spans": F.array().cast("array<long>"), "_items": F.array().cast("array<string>")}
-    )
+    spans, met = held = hidden(documents, "_spans", "_items")
+    rows = documents.withColumns({spans: F.array().cast("array<long>"), met: F.array().cast("array<string>")})
     for number, block in enumerate(_blocks(benchmark, window, block_windows)):
-        rows = _with_hits(written(rows, "benchmark-hits") if number else rows, block)
+        rows = _with_hits(written(rows, "benchmark-hits") if number else rows, block, held)
     parts, of = contaminated
-    signed = F.transform("_spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x))
+    signed = F.transform(spans, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x))
     hit = F.aggregate(signed, F.lit(0).cast("long"), lambda total, x: total + x)
     added = {
         "n_hit": hit,
-        "n_items": F.size("_items").cast("long"),
-        "items_sha256": F.sha2(F.array_join("_items", ",").cast("binary"), 256),
+        "n_items": F.size(met).cast("long"),
+        "items_sha256": F.sha2(F.array_join(met, ",").cast("binary"), 256),
         "contaminated": (hit > 0) & (of * hit >= parts * F.col("n_words")),
     }
-    return rows.withColumns(added).drop("_spans", "_items")
+    return rows.withColumns(added).drop(*held)

@@ -259,11 +259,13 @@ def _verified(
     sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = clusters.join(sizes, "component").join(classes.select("node", "holder", "copies", "sig"), "node")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = documents.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
-    own_text = (F.col("holder.doc_id").eqNullSafe(F.col("_id"))) & (
-        F.col("holder.body") == F.unhex(F.md5(F.coalesce("_text", F.lit(""))))
-    )
-    dealt = dealt.join(texts, own_text)
+    # the texts of holders only, one of each however often its row is repeated: folded before any shuffle
+    wanted = written(dealt.select(F.col("holder.doc_id").alias("_wanted"), F.col("holder.body").alias("_body")).distinct(), "wanted")
+    body = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    texts = documents.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), body.alias("_own_body"))
+    found = texts.join(wanted, F.col("_wanted").eqNullSafe(F.col("_id")) & (F.col("_body") == F.col("_own_body")), "left_semi")
+    found = written(found.groupBy("_id", "_own_body").agg(F.first("_text").alias("_text")), "texts")
+    dealt = dealt.join(found, F.col("holder.doc_id").eqNullSafe(F.col("_id")) & (F.col("holder.body") == F.col("_own_body")))
     partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("other", partner).select(
         "component",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillbook.llm.common import written
+from tillbook.llm.common import hidden, written
 
 #: Consecutive lines hashed together.
 LINES = 3
@@ -70,6 +70,20 @@ def covered_lines(documents: DataFrame, lines: int = LINES) -> DataFrame:
     )
 
 
+def _without(text: Column, positions: Column) -> Column:
+    """The text without the lines at some positions, in time that grows with the lines alone.
+
+    The lines are bound once as the only entry of an array, so that each is taken from the split text by
+    its place, and the places that stay are a difference of sets, which is hashed.
+    """
+
+    def joined(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), positions)
+        return F.array_join(F.transform(stay, lambda at: F.get(lines, at)), "\n")
+
+    return F.get(F.transform(F.array(_lines(text)), joined), F.lit(0))
+
+
 def remove_repeated_lines(documents: DataFrame, lines: int = LINES) -> DataFrame:
     """The documents with columns n_lines, n_removed and a text without the lines that repeat a window.
 
@@ -83,20 +97,18 @@ def remove_repeated_lines(documents: DataFrame, lines: int = LINES) -> DataFrame
     The hashes are spread by window, a window that is very frequent is folded before the
     shuffle and its occurrences are joined by the adaptive skew join. Texts move once, by document.
     """
-    covered = covered_lines(documents, lines).select(
-        F.col("doc_id").alias("_id"), F.col("body").alias("_body"), F.col("covered").alias("_covered")
-    )
+    own_id, own_body, gone = hidden(documents, "_id", "_body", "_covered")
+    covered = covered_lines(documents, lines).toDF(own_id, own_body, gone)
     rest = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
     joined = documents.select(*(F.col(f"`{c}`") for c in rest)).join(
         covered,
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.md5("text") == F.col("_body")),
+        F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.md5("text") == F.col(own_body)),
         "left",
     )
-    kept = F.filter(_lines(F.col("text")), lambda line, i: ~F.array_contains("_covered", i.cast("int")))
-    text = F.when(F.col("_covered").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col(gone)))
     n_lines = F.coalesce(F.size(_lines(F.col("text"))), F.lit(0))
     return joined.select(
         *(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in rest),
         F.greatest(n_lines, F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.greatest(F.size("_covered"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.greatest(F.size(gone), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -160,13 +160,26 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return map_slices(met, "a long, b long", make)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+class _Texts:
+    """The texts of classes, each read from the row that stands for its class."""
+
+    def __init__(self, rows: DataFrame, classes: DataFrame):
+        self.rows, self.held = rows.select("row", "text"), classes.select("node", F.col("holder").alias("row"))
+
+    def beside(self, frame: DataFrame) -> DataFrame:
+        """The frame with the text of each node. Only texts asked for leave their tasks: which they are is
+        written first, so that Spark can broadcast it where it is small."""
+        wanted = written(frame.select("node").distinct().join(self.held, "node"), "wanted")
+        return frame.join(self.rows.join(wanted, "row").select("node", "text"), "node")
+
+
+def _confirmed(pairs: DataFrame, texts: _Texts, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are links. Each ``a`` meets its partners in slices of about STAR; only its own set is held."""
     slices = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("slices"))
     slices = written(slices, "stars")
     outer = pairs.join(slices, "a").select("a", F.pmod(F.xxhash64("b"), "slices").cast("int").alias("slice"), F.col("b").alias("node"))
     inner = slices.select("a", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("a").alias("node"))
-    rows = written(outer.unionAll(inner), "star_rows").join(texts, "node")
+    rows = texts.beside(outer.unionAll(inner))
     rows = rows.select("a", "slice", (F.col("node") != F.col("a")).alias("outer"), "node", "text")
 
     def compare(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -183,10 +196,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
 
 def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, label) of all classes: the least node that links reach."""
-    found = written(components(links), "labels")
-    return written(
-        classes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("label")), "labelled"
-    )
+    found = classes.select("node").join(components(links), "node", "left")
+    return written(found.select("node", F.coalesce("component", "node").alias("label")), "labels")
 
 
 def _open(members: DataFrame, labels: DataFrame, key: str) -> DataFrame:
@@ -283,7 +294,7 @@ def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     return out
 
 
-def _verified_blocks(blocks: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified_blocks(blocks: DataFrame, texts: _Texts, size: int, percent: int) -> DataFrame:
     """(a, b): a spanning forest of the links of each block pair, by whole sets."""
 
     def compare(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -296,10 +307,10 @@ def _verified_blocks(blocks: DataFrame, texts: DataFrame, size: int, percent: in
                 yield from _forest(held, left[linked], right[linked])
 
     columns = ["side", "node", "label", "n", "sketch", "text"]
-    return map_groups(blocks.join(texts, "node"), ["component", "low", "high"], [], columns, "a long, b long", compare)
+    return map_groups(texts.beside(blocks), ["component", "low", "high"], [], columns, "a long, b long", compare)
 
 
-def _class_labels(classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _class_labels(classes: DataFrame, texts: _Texts, size: int, percent: int) -> DataFrame:
     """(node, label) of all classes; classes with one label are connected by links."""
     buckets = written(_buckets(classes), "members")
     stars = buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
@@ -337,9 +348,7 @@ def deduplicated(documents: DataFrame, size: int = WORDS, percent: int = PERCENT
         F.first("sketch").alias("sketch"), F.first("bands").alias("bands"),
     )
     classes = written(folded.withColumn("node", F.monotonically_increasing_id()), "classes")
-    held = classes.select("node", F.col("holder").alias("row"))
-    texts = rows.select("row", "text").join(held, "row").select("node", "text")
-    labels = _class_labels(classes, texts, size, percent)
+    labels = _class_labels(classes, _Texts(rows, classes), size, percent)
     named = written(classes.select("node", "class", "least_id").join(labels, "node"), "named")
     names = written(named.groupBy("label").agg(F.min("least_id").alias("component_id")), "names")
     known = written(named.join(names, "label").select(F.col("class").alias("_class"), "component_id"), "known")

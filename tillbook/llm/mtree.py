@@ -30,8 +30,8 @@ PAGE, LEAF, FANOUT = 4096, 512, 8
 _WORTH = 0.25
 #: Regions at most; their pivots are broadcast.
 MAX_PIVOTS = 1024
-#: A scaled component of this size counts as not finite, so that scores of 64 components stay exact in 64 bits.
-LIMIT = 2.0**28
+#: Squared lengths from here on leave no room for scores in 64 bits; a table with such a vector is refused.
+LIMIT = 2.0**62
 #: Room for rounding in distances, relative to their size.
 _SLACK = 1e-9
 
@@ -39,19 +39,31 @@ _NODE = "region int, chunk int, node int, leaf boolean, ids binary, vectors bina
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(id, v): vectors of integers; a row with a null id, vector or component, or one that isn't finite, goes."""
+    """(id, v): vectors of integers; a row with a null id, vector or component, or one that isn't finite, goes.
+
+    Any other vector stays; one so long that scores may not fit 64 bits is an error.
+    """
     scaled = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
     parts = F.transform("embedding", lambda x: F.lit(float(scale)) * x.cast("double"))
-    usable = F.forall(parts, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < LIMIT))
-    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(usable)
-    return rows.select(F.col("vec_id").cast("long").alias("id"), scaled.cast("array<int>").alias("v"))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(finite)
+    squared = F.aggregate(parts, F.lit(0.0), lambda total, x: total + x * x)
+    refused = F.raise_error(F.format_string("scores of vec_id %s don't fit 64 bits", F.col("vec_id").cast("string"))).cast("array<long>")
+    fitting = F.when(squared < LIMIT, scaled.cast("array<long>")).otherwise(refused)
+    return rows.select(F.col("vec_id").cast("long").alias("id"), fitting.alias("v"))
 
 
 class Space:
-    """Distances between padded integer vectors of one length after the extra component."""
+    """Distances between padded integer vectors of one length after the extra component.
+
+    Scores are exact: in doubles while they stay below 2**52, else in 64-bit integers. Components are kept in
+    32 bits if all fit.
+    """
 
     def __init__(self, size: int, longest: int):
         self.size, self.longest = size, longest
+        narrow = longest < 2**60  # then every component is less than 2**30
+        self.stored, self.kind = (np.int32, "array<int>") if narrow else (np.int64, "array<long>")
         self.exact = np.float64 if longest < 2**52 else np.int64
 
     def matrix(self, vectors: list[list[int]]) -> np.ndarray:
@@ -193,7 +205,7 @@ def _in_regions(rows: DataFrame, space: Space, pivots: np.ndarray) -> DataFrame:
 
         return run
 
-    return map_slices(rows, "id long, v array<int>, region int, distance double", make)
+    return map_slices(rows, f"id long, v {space.kind}, region int, distance double", make)
 
 
 def _pages(placed: DataFrame, chunks: Column, space: Space) -> DataFrame:
@@ -210,7 +222,7 @@ def _pages(placed: DataFrame, chunks: Column, space: Space) -> DataFrame:
             for number, node in enumerate(build(ids, own.matrix([r[1] for r in rows]), own)):
                 packed = [
                     np.ascontiguousarray(node[c], kind).tobytes()
-                    for c, kind in (("ids", np.int64), ("vectors", np.int32), ("radii", float), ("away", float), ("children", np.int64))
+                    for c, kind in (("ids", np.int64), ("vectors", own.stored), ("radii", float), ("away", float), ("children", np.int64))
                 ]
                 yield (*key, number, node["leaf"], *packed)
 
@@ -230,7 +242,7 @@ def _answers(pages: DataFrame, asked: DataFrame, space: Space, top: int) -> Data
     """(query_id, id, score): the best of each page that a query (region, chunk, query_id, q, floor) is sent to."""
     nodes = pages.select(
         "region", "chunk", F.lit(0).alias("kind"), F.col("node").cast("long").alias("number"), F.struct(*pages.columns[3:]).alias("page"),
-        F.lit(None).cast("array<int>").alias("q"), F.lit(None).cast("long").alias("floor"),
+        F.lit(None).cast(space.kind).alias("q"), F.lit(None).cast("long").alias("floor"),
     )
     sent_to = asked.select(
         "region", "chunk", F.lit(1).alias("kind"), F.col("query_id").alias("number"), F.lit(None).cast(nodes.schema["page"].dataType).alias("page"),
@@ -247,7 +259,7 @@ def _answers(pages: DataFrame, asked: DataFrame, space: Space, top: int) -> Data
 
         def node_of(page: dict) -> dict:
             ids = np.frombuffer(page["ids"], np.int64)
-            vectors = np.frombuffer(page["vectors"], np.int32).astype(own.exact).reshape(len(ids), own.size)
+            vectors = np.frombuffer(page["vectors"], own.stored).astype(own.exact).reshape(len(ids), own.size)
             radii, away = (np.frombuffer(page[c], float) for c in ("radii", "away"))
             children = np.frombuffer(page["children"], np.int64)
             return {"leaf": page["leaf"], "ids": ids, "vectors": vectors, "radii": radii, "away": away, "children": children}
@@ -281,8 +293,8 @@ def top_scores(vectors: DataFrame, top: int = TOP, query_step: int = QUERY_STEP,
 
     Components become floor(``scale`` * x). Queries are the rows whose vec_id is divisible by
     ``query_step``. Equal scores go to the smaller vec_id; a query with fewer candidates has them all.
-    Rows without id, null vectors and those with a null or non-finite component (or a scaled
-    one of 2**28 or more) take no part; shorter vectors are padded with zeros; a repeated row is one vector,
+    Rows without id, null vectors and those with a null or non-finite component take no part; all others do,
+    and where a score may not fit 64 bits (a scaled vector of length 2**31 or more) the query fails; shorter vectors are padded with zeros; a repeated row is one vector,
     of different vectors with one id each is a candidate under it, and is never an answer to a query of its
     own id. An empty table gives no rows. Other columns are not looked at.
 
@@ -297,6 +309,7 @@ def top_scores(vectors: DataFrame, top: int = TOP, query_step: int = QUERY_STEP,
     if not n:
         return _empty(vectors)
     space = Space(size, longest)
+    data = data.withColumn("v", F.col("v").cast(space.kind))
     count = int(np.clip(n // (PAGE // 2), 1, MAX_PIVOTS))
     picked = data.orderBy(F.xxhash64("id"), "v").limit(count).collect()
     centres = space.matrix([r["v"] for r in picked]).astype(float)
@@ -345,4 +358,4 @@ def _routes(queries: DataFrame, space: Space, pivots: np.ndarray, radii: dict[in
 
         return run
 
-    return map_slices(queries, "region int, query_id long, q array<int>, floor long", make)
+    return map_slices(queries, f"region int, query_id long, q {space.kind}, floor long", make)

@@ -62,11 +62,15 @@ def candidates(text: str, taken: Iterable[Span]) -> list[tuple[int, int]]:
     """Strings that the models judge: they don't overlap a span and mix small letters, capitals or digits."""
     if b"x" * _STRING_SIZE not in text.encode("utf-8", "replace").translate(_STRING_MARKS):
         return []
-    taken = list(taken)
-    out = []
+    # both lists rise, so one walk finds whether a span that begins before a string's end reaches into it
+    begun, reach = sorted((s, e) for s, e, _ in taken), 0
+    out, at = [], 0
     for m in _STRING.finditer(text):
         start, end = m.span()
-        if _kinds_of(m[0]) > 1 and not any(s < end and start < e for s, e, _ in taken):
+        while at < len(begun) and begun[at][0] < end:
+            reach = max(reach, begun[at][1])
+            at += 1
+        if reach <= start and _kinds_of(m[0]) > 1:
             out.append((start, end))
     return out
 

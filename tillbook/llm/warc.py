@@ -37,7 +37,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from tillbook.llm.common import scratch_path, ship_package
+from tillbook.llm.common import scratch_path, ship_package, written
 
 SCHEMA = (
     "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, "
@@ -392,7 +392,8 @@ def page_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     response's id and payload are responses too. Other columns are not looked at.
 
     A payload that very many pages share is folded before its shuffle; pages move once, unless the table of
-    shared payloads is small enough for Spark to broadcast, and the adaptive join splits hot ones.
+    shared payloads is small enough for Spark to broadcast. That table is written first, so that the join is one
+    of two tables, which the adaptive skew join splits at a payload that many pages share.
     """
     body = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(
@@ -409,7 +410,7 @@ def page_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         .where("n > 1 AND keeper IS NOT NULL")
         .drop("n")
     )
-    joined = rows.join(shared, ["digest", "size"], "left")
+    joined = rows.join(written(shared, "shared"), ["digest", "size"], "left")
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     identifier = F.format_string("<urn:page:%s>", F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("none:"), F.md5(F.concat_ws(" ", "digest", "url")))))
     return joined.select(
