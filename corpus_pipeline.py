@@ -18,8 +18,13 @@ LEAST_SCORE = 0.05
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a language that the corpus names; texts without a letter go."""
+    """Documents whose text is in a language that the corpus names; texts without a letter go.
+
+    Where it names none, as without labels, there is nothing to reject by and all documents stay.
+    """
     learned = language.learn(docs.where(~language.held_out(docs["doc_id"], 4, 2)))
+    if not learned.languages:
+        return docs
     return language.identify(docs, learned).where(
         (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
     ).select(*docs.columns)
