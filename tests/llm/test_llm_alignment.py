@@ -12,7 +12,7 @@ import tokenizers
 from compare import TEST_DATA
 from helpers import documents, odd_texts
 from tillbook.llm import alignment
-from tillbook.llm.alignment import BYTE_VOCABULARY, PIECE_VOCABULARY, Side, align_tokenizers, vocabularies
+from tillbook.llm.alignment import BYTE_VOCABULARY, PIECE_VOCABULARY, Side, align_tokenizers, segments_of, vocabularies
 
 
 @pytest.fixture(scope="module")
@@ -50,9 +50,10 @@ def expected(rows, plain):
             held.append(None)
             continue
         ends = [np.cumsum([len(of(i)) for i in ids]).tolist() for of, ids in ((bytes_a, a), (bytes_b, b))]
+        places = [{end: k for k, end in enumerate(own, 1)} for own in ends]
         groups, i, j = [], 0, 0
         for end in sorted(set(ends[0]) & set(ends[1])):
-            k, m = ends[0].index(end) + 1, ends[1].index(end) + 1
+            k, m = places[0][end], places[1][end]
             groups.append((a[i:k], b[j:m]))
             i, j = k, m
         links = [(x, y) for left, right in groups for x in left for y in right]
@@ -104,13 +105,17 @@ def test_small_memories_and_equal_hashes_change_nothing(files, plain, monkeypatc
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["alpha", "Beta's", "gammaδ", "12", "—", "zz" * 40]) for _ in range(rng.randint(1, 60))) for _ in range(40)]
     sides = Side.byte_level(files[0]), Side.pieces(files[1])
-    whole = [str(x) for x in alignment.Windows(*sides).align(texts)]
+
+    def plainly(found):
+        return [(*x[:4], sorted(zip(x[4].tolist(), x[5].tolist(), strict=True))) for x in found]
+
+    whole = plainly(alignment.Windows(*sides).align(texts))
     monkeypatch.setattr(alignment, "KEPT_WINDOWS", 3)
     monkeypatch.setattr(alignment, "KEPT_TOKENS", 1)
     windows = alignment.Windows(*sides)
-    assert [str(windows.align([text])[0]) for text in texts] == whole
+    assert plainly([windows.align([text])[0] for text in texts]) == whole
     monkeypatch.setattr(alignment, "_MIX", np.uint64(0))
-    assert [str(x) for x in alignment.Windows(*sides).align(texts)] == whole
+    assert plainly(alignment.Windows(*sides).align(texts)) == whole
 
 
 def test_encoding_by_ranks_equals_the_library(files, plain):
@@ -118,7 +123,18 @@ def test_encoding_by_ranks_equals_the_library(files, plain):
     letters = "abcdeiou tnsr  EA's't9.,-\n\tßéñüø" + chr(0x200B) + "»"
     for _ in range(3000):
         text = "".join(rng.choice(letters) for _ in range(rng.randint(1, 60)))
-        assert side.ids(text).tolist() == plain[0](text)
+        assert side.encode([text], [segments_of(text)])[0].tolist() == plain[0](text)
+
+
+def test_segments_are_encoded_as_in_the_text(files, plain):
+    a, b, rng = Side.byte_level(files[0]), Side.pieces(files[1]), random.Random(4)
+    signs = [" ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u3000", "a", "Be", "ther", "'s", "12", ".", "é", "日", "\U0001f600", "▁", "\x00"]
+    for _ in range(4000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(1, 14)))
+        segments = segments_of(text)
+        assert "".join(" " + s for s in segments) == " " + text
+        assert a.encode([text], [segments])[0].tolist() == plain[0](text), repr(text)
+        assert b.encode([text], [segments])[0].tolist() == plain[1](text), repr(text)
 
 
 def test_a_file_with_merges_in_another_order_is_left_to_the_library(files):

@@ -27,15 +27,22 @@ from tillbook.llm.tokencounts import PATTERN, ranks
 BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Alignments of windows that a task keeps; beyond, it forgets all and starts anew.
-KEPT_WINDOWS = 200_000
+KEPT_WINDOWS = 300_000
 #: Windows with more tokens than this on one side aren't kept.
 KEPT_TOKENS = 64
+#: Segments whose ids a tokenizer keeps; beyond, it forgets all and starts anew.
+KEPT_SEGMENTS = 300_000
 #: Texts are handled together up to this many characters.
-CHARACTERS = 200_000
+CHARACTERS = 1_000_000
 #: Fixed value: the mark of a blank in pieces.
 MARK = "▁"
 #: Fixed value: how a file says that texts are split by PATTERN.
 _SPLITTER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+_BLANK_AFTER = regex.compile(f"[^{MARK}]{MARK}")
+_SPACE_AFTER_BLANK = regex.compile(r" \s")
+_CUT = regex.compile(r"(?<=[^ ])(?= \S)", regex.V1)
+#: Characters that a normalising tokenizer would change.
+PROBE = "a  b \t\uff21 \ufb01 e\u0301 \u00a0\u2126 "
 _LONG_RUN = regex.compile(r"\s{1000}")
 _MIX, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 #: Characters that all versions of Unicode class alike, so that the pattern splits them as the tokenizer does.
@@ -62,14 +69,50 @@ def _by_ranks(file: dict, table: dict[bytes, int]) -> tiktoken.Encoding | None:
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
 
+class _Segments(dict):
+    """Ids, as 32-bit integers in bytes, of the segments of texts, each encoded once while it is kept."""
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
+        self.encode = encode
+
+    def learn(self, segments: set[str]) -> None:
+        if len(self) > KEPT_SEGMENTS:
+            self.clear()
+        missing = list(segments.difference(self))
+        self.update(zip(missing, (array("i", ids).tobytes() for ids in self.encode(missing)), strict=True))
+
+    def ids(self, segments: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, segments)), np.int32)
+
+
+def segments_of(text: str) -> list[str]:
+    """Parts of a text that both tokenizers encode for themselves, without the blank before each.
+
+    They end before a single blank that stands between other characters: no piece of B holds a blank after
+    another character, and the split of A ends a piece there whatever stands around.
+    """
+    parts = text.split(" ")
+    return parts if not _SPACE_AFTER_BLANK.search(" " + text + " ") else [part[1:] for part in _CUT.split(" " + text)]
+
+
 class Side:
     """A tokenizer with the bytes of its tokens, their lengths, and which begin with a blank."""
 
-    def __init__(self, bytes_of: list[bytes], encode: Callable[[str], np.ndarray]):
-        self.bytes_of, self.ids = bytes_of, encode
+    def __init__(self, bytes_of: list[bytes], kept: _Segments | None, by_segments: Callable[[str], bool], whole: Callable[[str], list[int]]):
+        self.bytes_of, self.kept, self.by_segments, self.whole = bytes_of, kept, by_segments, whole
         self.length = np.array([len(b) for b in bytes_of], np.int64)
         self.blank = np.array([b.startswith(b" ") for b in bytes_of])
 
+    def encode(self, texts: list[str], segments: list[list[str]]) -> list[np.ndarray]:
+        """The ids of each text, whose segments are given; those that texts have in common are encoded once."""
+        apart = [self.kept is not None and self.by_segments(text) for text in texts]
+        if any(apart):
+            self.kept.learn({s for own, chosen in zip(segments, apart, strict=True) if chosen for s in own})
+        return [
+            self.kept.ids(own) if chosen else np.array(self.whole(text), np.int32)
+            for text, own, chosen in zip(texts, segments, apart, strict=True)
+        ]
+
     @classmethod
     def byte_level(cls, content: bytes) -> Side:
         """Given a blank before the text.
@@ -84,24 +127,27 @@ class Side:
         entries = [model.id_to_token(i) for i in range(model.get_vocab_size())]
         decoded = [e.encode() if e in special else bytes(map(symbol.__getitem__, e)) for e in entries]
         fast = _by_ranks(json.loads(content), {b: i for i, b in enumerate(decoded) if entries[i] not in special})
+        kept = _Segments(lambda segments: [fast.encode_ordinary(" " + s) for s in segments]) if fast else None
 
-        def encode(text: str) -> np.ndarray:
-            if fast and _COMMON.fullmatch(text) and not _LONG_RUN.search(text):
-                return fast.encode_to_numpy(" " + text).astype(np.int32)
-            return np.array(model.encode(" " + text, add_special_tokens=False).ids, np.int32)
+        def by_segments(text: str) -> bool:
+            return bool(_COMMON.fullmatch(text)) and not _LONG_RUN.search(text)
 
-        return cls(decoded, encode)
+        return cls(decoded, kept, by_segments, lambda text: model.encode(" " + text, add_special_tokens=False).ids)
 
     @classmethod
     def pieces(cls, content: bytes) -> Side:
-        """Given the text, as the tokenizer adds the blank itself."""
+        """Given the text, as the tokenizer adds the blank itself; by segments, if no piece reaches across them."""
         model = sentencepiece.SentencePieceProcessor(model_proto=content)
 
         def decoded(i: int) -> bytes:
             piece = model.id_to_piece(i)
             return bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace(MARK, " ").encode()
 
-        return cls([decoded(i) for i in range(model.get_piece_size())], lambda text: np.array(model.encode(text), np.int32))
+        pieces = map(model.id_to_piece, range(model.get_piece_size()))
+        unchanged = b"".join(map(decoded, model.encode(PROBE))) == b" " + PROBE.encode()
+        apart = unchanged and not any(map(_BLANK_AFTER.search, pieces))
+        kept = _Segments(lambda segments: model.encode(segments, num_threads=1)) if apart else None
+        return cls([decoded(i) for i in range(model.get_piece_size())], kept, lambda text: MARK not in text, model.encode)
 
 
 def align(a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[bytes]) -> list[tuple[list[int], list[int]]]:
@@ -133,18 +179,24 @@ class Windows:
         self.texts: list[str] = []
         self.spelled: list[bytes | None] = []
         self.groups, self.starts, self.links = array("q"), array("q", [0]), array("q")
+        self.pairs: dict[tuple[int, int], int] = {}
 
     def _new(self, key: tuple[bytes, bytes]) -> int:
-        ids = [memoryview(x).cast("i").tolist() for x in key]
-        spelled = [b"".join(map(side.bytes_of.__getitem__, x)) for side, x in zip((self.a, self.b), ids, strict=True)]
-        groups = align(*ids, self.a.bytes_of, self.b.bytes_of) if spelled[0] == spelled[1] else []
-        number = len(self.texts)
-        self.spelled.append(spelled[0] if spelled[0] == spelled[1] else None)
-        self.texts.append(";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups))
+        a, b = (memoryview(x).cast("i").tolist() for x in key)
+        spelled = b"".join(map(self.a.bytes_of.__getitem__, a))
+        if spelled != b"".join(map(self.b.bytes_of.__getitem__, b)):
+            spelled, groups = None, []
+        elif len(a) == 1 or len(b) == 1:
+            groups = [(a, b)]
+        else:
+            groups = align(a, b, self.a.bytes_of, self.b.bytes_of)
+        number, pairs = len(self.texts), self.pairs
+        self.spelled.append(spelled)
+        self.texts.append(";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups]))
         self.groups.append(len(groups))
-        self.links.extend((x << 32) | y for a, b in groups for x in a for y in b)
+        self.links.extend([pairs.setdefault((x, y), len(pairs)) for own, others in groups for x in own for y in others])
         self.starts.append(len(self.links))
-        if max(map(len, ids)) <= KEPT_TOKENS:
+        if len(a) <= KEPT_TOKENS and len(b) <= KEPT_TOKENS:
             self.known[key] = number
         return number
 
@@ -160,7 +212,9 @@ class Windows:
         ends = [np.cumsum(side.length[ids]) for side, ids in ((self.a, a), (self.b, b))]
         # the ends before a token that begins with a blank; no token is empty, so ends differ
         before = [end[:-1][side.blank[ids[1:]]] for end, side, ids in zip(ends, (self.a, self.b), (a, b), strict=True)]
-        anchors = np.append(np.intersect1d(*before, assume_unique=True), ends[0][-1])
+        marked = np.zeros(int(ends[0][-1]) + 1, bool)
+        marked[before[0]] = True
+        anchors = np.append(before[1][marked[before[1]]], ends[0][-1])
         stops = [np.searchsorted(end, anchors, side="right") for end in ends]
         starts = [np.append(0, stop[:-1]) for stop in stops]
         sizes = [stop - start for stop, start in zip(stops, starts, strict=True)]
@@ -192,13 +246,14 @@ class Windows:
             self.forget()
         out: list[tuple] = [NO_TOKENS] * len(texts)
         rows = []
-        for at, text in enumerate(texts):
-            if text:
-                spelled = b" " + text.encode("utf-8", "replace")
-                a, b = self.a.ids(text), self.b.ids(text)
-                if self.a.length[a].sum() == self.b.length[b].sum() == len(spelled):
-                    if self.a.blank[a[0]] and self.b.blank[b[0]]:
-                        rows.append((at, spelled, a, b))
+        places = [at for at, text in enumerate(texts) if text]
+        full = [texts[at] for at in places]
+        segments = list(map(segments_of, full))
+        for at, text, a, b in zip(places, full, self.a.encode(full, segments), self.b.encode(full, segments), strict=True):
+            spelled = b" " + text.encode("utf-8", "replace")
+            if self.a.length[a].sum() == self.b.length[b].sum() == len(spelled):
+                if self.a.blank[a[0]] and self.b.blank[b[0]]:
+                    rows.append((at, spelled, a, b))
         if not rows:
             return out
         numbers, ends = self._numbers(*(np.concatenate(x) for x in list(zip(*rows, strict=True))[2:]))
@@ -207,12 +262,12 @@ class Windows:
         starts = np.frombuffer(self.starts, np.int64)
         size = starts[numbers + 1] - starts[numbers]
         at = np.arange(size.sum()) + np.repeat(starts[numbers] - np.cumsum(size) + size, size)
-        link, owner_of = np.frombuffer(self.links, np.int64)[at], np.repeat(owner, size)
-        order = np.lexsort((link, owner_of))
-        link, owner_of = link[order], owner_of[order]
-        new = np.flatnonzero((np.diff(link, prepend=-1) != 0) | (np.diff(owner_of, prepend=-1) != 0))
-        link, owner_of, times = link[new], owner_of[new], np.diff(new, append=len(link))
-        edges = np.searchsorted(owner_of, np.arange(len(rows) + 1))
+        # links have numbers while the memory lasts, so a document's link is one integer
+        key = np.repeat(owner, size) * len(self.pairs) + np.frombuffer(self.links, np.int64)[at]
+        key, times = np.unique(key, return_counts=True)
+        known = np.array(list(self.pairs), np.int64)
+        link = known[key % len(known)] @ np.array([1 << 32, 1])
+        edges = np.searchsorted(key, np.arange(len(rows) + 1) * len(known))
         groups = np.bincount(owner, np.frombuffer(self.groups, np.int64)[numbers], len(rows)).astype(np.int64).tolist()
         held, begin = numbers.tolist(), 0
         for k, ((row, spelled, a, b), stop) in enumerate(zip(rows, stops.tolist(), strict=True)):
