@@ -1,0 +1,229 @@
+"""Folds before the join, running totals, day bits, calendars, zoned days, reduced refreshes and bucketed facts."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from compare import TEST_DATA
+from shop import DAILY, ITEMS, TRANSACTIONS, daily_frame, items_frame, shop, transactions_frame
+from test_plans import NO_BROADCAST, exchanges, plan, settings
+from tillbook import RetailModel
+from tillbook.operators import summaries
+from tillbook.operators.reduction import reduced
+from tillbook.operators.selection import day_begins, on_day, within
+from tillbook.plans import kpi, store, week
+from tillbook.sources import facts, kept, testtables, warehouse
+
+FOLDER = f"{TEST_DATA}/sf0.001"
+
+
+def rows_of(frame):
+    return sorted(map(str, frame.collect()))
+
+
+# ---- items folded before they are joined
+
+
+def test_items_are_folded_below_the_join(spark, tmp_path):
+    made = shop(spark, daily=None)
+    made.transactions.write.parquet(f"{tmp_path}/t")
+    made.items.write.parquet(f"{tmp_path}/i")
+    with settings(spark, **NO_BROADCAST):
+        text = plan(summaries.daily_store(spark.read.parquet(f"{tmp_path}/t"), spark.read.parquet(f"{tmp_path}/i")))
+    assert exchanges(text) == [["store", "day"], ["transaction_id"], ["transaction_id"]]
+    join, shuffle = text.index("SortMergeJoin"), text.index("Exchange hashpartitioning(transaction_id")
+    folds = [at for at in range(len(text)) if text.startswith("partial_sum(price", at)]
+    assert join < shuffle < folds[0]
+
+
+def test_daily_table_doesnt_need_the_joined_facts(spark):
+    kept.forget()
+    model = testtables.load(spark, FOLDER)
+    kpi.kpi_snapshot(model).collect()
+    store.range_kpis(model, "2024-01-02", "2024-01-09").collect()
+    assert not any(key[3] == "sold" for key in kept._kept)
+
+
+def test_both_ways_to_the_daily_table_agree(spark):
+    twice = TRANSACTIONS + [(2, "2022-07-05 09:15", "Chesterfield", 1), (9, "2022-07-06 10:00", "Uppingham", 3)]
+    nameless = ITEMS + [(9, None, None, None)]
+    made = shop(spark, twice, nameless, daily=None)
+    columns = ["store", "day", "revenue", "avg_spend", "customers", "coffees"]
+    direct = summaries.daily_store(made.transactions, made.items).select(*columns)
+    assert rows_of(direct) == rows_of(summaries.daily_store_of(made.sold).select(*columns))
+    assert {(r["store"], str(r["day"])): r["coffees"] for r in direct.collect()}["Uppingham", "2022-07-06"] == 1
+
+
+# ---- day bits and running totals
+
+
+def long_shop(spark):
+    days = [dt.date(2022, 11, 28) + dt.timedelta(days=k) for k in range(0, 100) if k % 7 != 3]
+    daily = [("Uppingham", str(d), f"{10 + d.day}.25", f"{1 + d.day / 10:.2f}", d.day, 2 * d.day) for d in days if not (d.month == 1)]
+    daily += [("London Soho", "2022-12-31", "5.00", "5.00", 1, 1)]
+    visits = [(k, f"{row[1]} 10:00", row[0], 1) for k, row in enumerate(daily)]
+    return shop(spark, visits, [(0, "Latte", None, "Regular")], daily)
+
+
+RANGES = [
+    ("2022-11-01", "2022-11-29"), ("2022-11-28", "2023-03-31"), ("2022-12-05", "2022-12-05"), ("2022-12-31", "2023-01-01"),
+    ("2023-01-01", "2023-01-31"), ("2023-01-15", "2023-02-10"), ("2023-02-01", "2023-02-28"), ("2024-01-01", "2024-12-31"),
+    ("2022-12-01", "2023-02-28"), ("2021-01-01", "2021-01-02"),
+]
+
+
+@pytest.mark.parametrize("start, end", [*RANGES, (None, "2022-12-07"), ("2023-02-03", None), (None, None)])
+def test_ranges_from_running_totals_and_bits(spark, start, end):
+    model = long_shop(spark)
+    daily, days = within(model.daily_store, start, end), within(model.store_days, start, end)
+    for name in ("Uppingham", "London Soho", "Nowhere"):
+        own = F.col("store") == name
+        found = store.range_totals(model, name, start, end).first()
+        expected = daily.where(own).agg(*(F.sum(m) for m in ("revenue", "avg_spend", "customers", "coffees")), F.count("avg_spend")).first()
+        got = [found["range"][m] for m in ("revenue", "avg_spend", "customers", "coffees", "n_avg_spend")]
+        assert got == [value or 0 for value in expected]
+        whole = model.daily_store.where(own).agg(F.sum("revenue"), F.count("*")).first()
+        assert [found["alltime"]["revenue"], found["alltime"]["n_revenue"]] == [whole[0] or 0, whole[1]]
+        assert store.store_days_in_range(model, name, start, end).first()["n_days"] == days.where(own).count()
+    every = {r["store"]: r["n_days"] for r in store.store_days_in_range(model, None, start, end).collect()}
+    assert every == {name: days.where(F.col("store") == name).count() for name in ("Uppingham", "London Soho")}
+
+
+@pytest.mark.parametrize("start, end", RANGES)
+def test_one_store_equals_its_row_of_all(spark, start, end):
+    model = long_shop(spark)
+    for report in (
+        lambda name: store.range_kpis(model, start, end, name),
+        lambda name: store.range_vs_alltime(model, start, end, name),
+        lambda name: store.range_availability(model, start, end, name),
+        lambda name: store.range_revenue(model, name, start, end),
+    ):
+        assert rows_of(report("Uppingham")) == rows_of(report(None).where("store = 'Uppingham'"))
+
+
+def test_total_days_are_those_of_any_store(spark):
+    model = long_shop(spark)
+    assert store.total_days(model).first()["n_days"] == model.store_days.select("day").distinct().count()
+    assert store.total_days(shop(spark, [], [], [])).first()["n_days"] == 0
+
+
+def test_a_range_reads_two_months_whatever_its_length(spark, tmp_path):
+    kept.save(shop(spark, [(k, f"{2015 + k // 12}-{k % 12 + 1:02}-10 10:00", "Uppingham", 1) for k in range(60)],
+                   [(k, "Latte", None, "Large") for k in range(60)], daily=None), str(tmp_path))
+    model = RetailModel(lambda: 1 / 0, lambda: 1 / 0, given=kept.saved(spark, str(tmp_path)))
+    frame = store.range_kpis(model, "2015-03-05", "2019-10-20", "Uppingham")
+    assert frame.first()["total_customers"] == 56
+    text = plan(frame)
+    for month in ("2015-03-01", "2019-10-01"):
+        assert f">= {month}" in text and f"<= {month}" in text
+    assert "distinct" not in plan(store.store_days_in_range(model, "Uppingham", "2015-03-05", "2019-10-20"))
+    assert len(exchanges(plan(store.total_days(model)))) == 1
+
+
+# ---- calendars
+
+
+def test_weeks_of_a_hole_are_there_on_request(spark):
+    days = ["2022-07-04", "2022-07-06", "2022-08-08"]
+    model = shop(spark, daily=[("Uppingham", day, "10.00", "5.00", 2, 2) for day in days])
+    assert week.week_grid(model).count() == 14
+    grid = week.week_grid(model, absent_weeks=True)
+    assert grid.count() == 42
+    assert grid.where("NOT has_data").count() == 39
+    assert grid.where("day BETWEEN '2022-07-11' AND '2022-08-07' AND NOT has_data").count() == 28
+    assert week.week_grid(model, "Uppingham", 29, 2022, absent_weeks=True).count() == 7
+    assert week.week_grid(model, "Uppingham", 29, 2022).count() == 0
+    assert week.week_grid(shop(spark, daily=[]), absent_weeks=True).count() == 0
+
+
+def test_two_rows_of_a_day_are_added_up(spark):
+    rows = [("Uppingham", "2022-07-04", "10.00", "5.00", 2, 2), ("Uppingham", "2022-07-04", "20.00", "8.00", 1, 1)]
+    monday = week.week_grid(shop(spark, daily=rows)).where("has_data").first()
+    assert (monday["revenue"], monday["avg_spend"], monday["customers"]) == (30.0, 6.5, 3)
+    change = week.weekday_vs_week_average(shop(spark, daily=rows)).where("revenue IS NOT NULL").first()
+    assert change["delta"] == 15.0
+
+
+def test_a_week_needs_few_aggregates(spark):
+    text = plan(week.week_grid(testtables.load(spark, FOLDER)))
+    assert text.count("sum(") + text.count("count(") < 20
+
+
+def test_cards_of_a_week(spark):
+    cards = {(r["weekday_name"], r["figure"]): (r["day"], r["value"], r["delta"]) for r in week.week_cards(shop(spark), "Chesterfield").collect()}
+    assert len(cards) == 35
+    assert cards["Monday", "revenue"] == ("2022-07-04", "$100.00", "-10.00")
+    assert cards["Monday", "difference"] == ("2022-07-04", "-9.09%", None)
+    assert cards["Tuesday", "customers"] == ("2022-07-05", "20", None)
+    assert cards["Sunday", "revenue"] == ("-", "N/A", "-")
+    assert cards["Sunday", "coffees"] == ("-", "N/A", None)
+
+
+# ---- days of a zone
+
+
+@pytest.mark.parametrize("day, hours", [("2022-03-27", 23), ("2022-10-30", 25), ("2022-07-05", 24)])
+def test_days_of_a_zone_are_pushed_down(spark, tmp_path, day, hours):
+    first = dt.datetime.fromisoformat(day) - dt.timedelta(hours=30)
+    table = spark.range(200).select(
+        F.col("id").alias("transaction_id"),
+        F.expr(f"timestamp_ltz '{first}Z' + make_interval(0, 0, 0, 0, 0, 30 * id)").alias("timestamp"),
+        F.lit("Uppingham").alias("store"), F.lit(1).alias("time_of_day"),
+    )
+    table.write.parquet(str(tmp_path / "t"))
+    rows = on_day(warehouse.transactions(spark.read.parquet(str(tmp_path / "t")), zone="Europe/London"), day)
+    pushed = plan(rows).split("PushedFilters: ")[1].splitlines()[0]
+    assert rows.count() == 2 * hours
+    assert {str(r["ts"])[:10] for r in rows.collect()} == {day}
+    begin, end = day_begins(dt.date.fromisoformat(day), "Europe/London")[0], day_begins(dt.date.fromisoformat(day) + dt.timedelta(1), "Europe/London")[1]
+    assert (end - begin).total_seconds() == hours * 3600
+    for sign, instant in (("GreaterThanOrEqual", begin), ("LessThan", end)):
+        assert f"{sign}(timestamp,{instant:%Y-%m-%d}T{instant:%H:%M}" in pushed.replace(" ", "T")
+
+
+def test_midnights_that_are_skipped_or_repeated():
+    skipped = day_begins(dt.date(2022, 9, 11), "America/Santiago")
+    assert skipped[0] <= dt.datetime(2022, 9, 11, 4, tzinfo=dt.timezone.utc) <= skipped[1]
+    plain = day_begins(dt.date(2022, 6, 1), "Europe/London")
+    assert plain[0] == plain[1] == dt.datetime(2022, 5, 31, 23, tzinfo=dt.timezone.utc)
+
+
+# ---- reduced items, bucketed facts
+
+
+def test_items_are_reduced_to_the_ids(spark):
+    items = spark.range(200_000).select(F.col("id").alias("transaction_id"), (F.col("id") % 7).alias("x"))
+    ids = spark.range(5_000).select((F.col("id") * 37 + 11).alias("transaction_id"))
+    found = reduced(items, ids, "transaction_id")
+    assert found.join(ids, "transaction_id", "left_semi").count() == 5_000
+    assert 5_000 <= found.count() < 5_000 + 180_000 * 0.15
+    assert found.columns == items.columns
+    assert "BroadcastHashJoin" in plan(found)
+    assert reduced(items, ids.limit(0), "transaction_id").count() == 0
+    words = items.select(F.concat(F.lit("id-"), "transaction_id").alias("transaction_id"))
+    some = words.where("transaction_id LIKE '%77'").unionAll(words.limit(1).select(F.lit(None).cast("string")))
+    assert reduced(words, some, "transaction_id").join(some, "transaction_id", "left_semi").count() == 2_000
+
+
+def test_many_ids_restrict_the_range_only(spark, monkeypatch):
+    monkeypatch.setattr("tillbook.operators.reduction.MAX_BITS", 1)
+    items = spark.range(1_000).withColumnRenamed("id", "transaction_id")
+    assert reduced(items, spark.range(100, 200).withColumnRenamed("id", "transaction_id"), "transaction_id").count() == 100
+
+
+def test_facts_in_buckets_are_joined_where_they_are(spark, tmp_path):
+    base = shop(spark, daily=None)
+    facts.save_facts(base, str(tmp_path / "facts"), 4)
+    model = RetailModel(**facts.facts(spark, str(tmp_path / "facts")))
+    with settings(spark, **NO_BROADCAST):
+        assert exchanges(plan(model.sold)) == []
+        assert exchanges(plan(model.daily_store)) == [["store", "day"]]
+        assert rows_of(model.daily_store) == rows_of(base.daily_store)
+    assert rows_of(model.sold.select("transaction_id", "item_name", "ts")) == rows_of(base.sold.select("transaction_id", "item_name", "ts"))
+    kept.save(model, str(tmp_path / "s"))
+    kept.refresh(model, str(tmp_path / "s"), "2022-07-01", "2022-07-31")
+    given = kept.saved(spark, str(tmp_path / "s"))
+    columns = ["store", "day", "revenue", "customers", "coffees"]
+    assert rows_of(given["daily_store"].select(*columns)) == rows_of(base.daily_store.select(*columns))
+    assert set(given) == set(summaries.SCHEMAS)

@@ -58,7 +58,7 @@ class RetailModel:
 
     @property
     def daily_store(self) -> DataFrame:
-        return self._summary("daily_store", lambda: summaries.daily_store(self.sold))
+        return self._summary("daily_store", self._daily_store)
 
     @property
     def store_days(self) -> DataFrame:
@@ -66,9 +66,17 @@ class RetailModel:
             "store_days", lambda: summaries.store_days(self.transactions)
         )
 
+    @property
+    def store_months(self) -> DataFrame:
+        return self._summary("store_months", lambda: summaries.store_months(self.store_days))
+
+    @property
+    def store_balances(self) -> DataFrame:
+        return self._summary("store_balances", lambda: summaries.store_balances(self.daily_store))
+
     @property
     def item_hours(self) -> DataFrame:
-        return self._summary("item_hours", lambda: summaries.item_hours(self.sold))
+        return self._summary("item_hours", lambda: summaries.item_hours(self._joined()))
 
     @property
     def item_kinds(self) -> DataFrame:
@@ -80,6 +88,17 @@ class RetailModel:
             table = self._facts[name] = table()
         return table
 
+    def _daily_store(self) -> DataFrame:
+        joined = self._tables.get("sold")
+        if joined is None:
+            return summaries.daily_store(self.transactions, self.items)
+        return summaries.daily_store_of(joined)
+
+    def _joined(self) -> DataFrame:
+        """The joined facts: their table if there is one, else the join as a part of the plan."""
+        joined = self._tables.get("sold")
+        return summaries.sold(self.transactions, self.items) if joined is None else joined
+
     def _summary(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._tables:
             self._tables[name] = self._keep(name, build, self._sources)

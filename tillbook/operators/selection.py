@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping, Sequence
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -60,7 +61,8 @@ def within(
     On a table without ``day`` the condition is a half-open range on the raw ``ts``,
     which the parquet reader can test against its min/max statistics. A table laid
     out by ``month`` is pruned to those folders first, and one that carries the text
-    of its ISO times as ``ts_text`` is tested on that as well, which can be pushed down.
+    of its ISO times as ``ts_text`` or their instants as ``ts_instant`` is tested on that as well,
+    which can be pushed down.
     """
     if start is not None and end is not None:
         check_range(start, end)
@@ -70,6 +72,13 @@ def within(
             rows = rows.where(F.col("ts_text") >= str(as_date(start)))
         if end is not None:
             rows = rows.where(F.col("ts_text") < str(as_date(end) + dt.timedelta(days=1)))
+    if "ts_instant" in columns:
+        zone = rows.schema["ts_instant"].metadata["zone"]
+        if start is not None:
+            rows = rows.where(F.col("ts_instant") >= F.lit(min(day_begins(as_date(start), zone))))
+        if end is not None:
+            following = as_date(end) + dt.timedelta(days=1)
+            rows = rows.where(F.col("ts_instant") < F.lit(max(day_begins(following, zone))))
     if start is not None:
         first = as_date(start)
         if "month" in columns:
@@ -93,6 +102,17 @@ def on_day(rows: DataFrame, day: dt.date | str | None) -> DataFrame:
     return rows if day is None else within(rows, day, day)
 
 
+def day_begins(day: dt.date, zone: str) -> tuple[dt.datetime, dt.datetime]:
+    """The instants at which a day begins in a zone: two if clocks show its midnight twice, else the same one twice.
+
+    A midnight that clocks skip stands for the instant at which they skip it. The rules of the zone
+    give the days on which clocks change 23 or 25 hours.
+    """
+    midnight = dt.datetime.combine(day, dt.time(), ZoneInfo(zone))
+    both = [midnight.replace(fold=fold).astimezone(dt.timezone.utc) for fold in (0, 1)]
+    return min(both), max(both)
+
+
 def _midnight(day: dt.date) -> Column:
     return F.lit(str(dt.datetime.combine(day, dt.time()))).cast("timestamp_ntz")
 

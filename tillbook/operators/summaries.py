@@ -1,18 +1,20 @@
 """The fact join and the summary tables the reports read.
 
-The facts are joined once, into ``sold``; everything else is folded from that, or
-from what was folded before:
+Each is folded from the facts as early as its rows allow, or from what was folded before:
 
-``sold``         every item sold with the time and store of its transaction
-``daily_store``  one row per store and day
+``sold``         every item sold with the time and store of its transaction; only
+                 reports of single timestamps need it
+``daily_store``  one row per store and day, from items added up per transaction
 ``store_days``   one row per store and day with any transaction, sold items or not
+``store_months`` the days of those as the bits of a number, one row per store and month
+``store_balances`` running totals of ``daily_store`` up to the end of each month
 ``item_hours``   cups per store, day, hour, band, item, flavour and size
 ``item_kinds``   cups per store, band, item, flavour and size; doesn't grow with days
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _KIND = "item_name string, item_flavour string, item_size string"
 # Columns of the summaries as stored. Those with days are laid out by their month.
@@ -26,6 +28,11 @@ SCHEMAS = {
         " coffees bigint, day date, month date"
     ),
     "store_days": "store string, n_transactions bigint, day date, month date",
+    "store_months": "store string, days int, month date",
+    "store_balances": (
+        "store string, revenue decimal(38,2), avg_spend decimal(38,6), customers bigint, coffees bigint,"
+        " n_revenue bigint, n_avg_spend bigint, n_customers bigint, n_coffees bigint, month date"
+    ),
     "item_hours": (
         f"store string, the_hour int, time_of_day int, {_KIND}, cups bigint, day date, month date"
     ),
@@ -36,6 +43,8 @@ ORDER = {
     "sold": ("day", "store"),
     "daily_store": ("store", "day"),
     "store_days": ("store", "day"),
+    "store_months": ("store", "month"),
+    "store_balances": ("store", "month"),
     "item_hours": ("store", "item_name", "day"),
     "item_kinds": ("store", "item_name"),
 }
@@ -77,16 +86,42 @@ def sold(transactions: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def daily_store(sold: DataFrame) -> DataFrame:
-    """Revenue, average spend, customers and cups per store and day.
+def baskets(items: DataFrame) -> DataFrame:
+    """Revenue and cups of each transaction.
 
-    Items are added up per transaction before they are shuffled, so a transaction
-    with very many items is one row per task, and then per store and day.
+    Items are added up before they are shuffled, so a transaction with very many
+    items is one row per task, and no other column of an item leaves its task.
     """
-    baskets = sold.groupBy("store", "day", "transaction_id").agg(
+    return items.groupBy("transaction_id").agg(
         F.sum("price").alias("revenue"), F.count("item_name").alias("coffees")
     )
-    totals = baskets.groupBy("store", "day").agg(
+
+
+def daily_store(transactions: DataFrame, items: DataFrame) -> DataFrame:
+    """Revenue, average spend, customers and cups per store and day.
+
+    Items are folded per transaction first and then joined with the transactions, whose
+    join leaves them by transaction: the next fold needs no shuffle. A transaction
+    that the table holds twice for a store and day is one customer who paid twice.
+    """
+    visits = transactions.select("transaction_id", "store", F.to_date("ts").alias("day"))
+    return _daily(baskets(items).join(visits, "transaction_id"))
+
+
+def daily_store_of(sold: DataFrame) -> DataFrame:
+    """The same from the joined facts, where they are a table already."""
+    rows = sold.select(
+        "store", "day", "transaction_id", F.col("price").alias("revenue"), F.when(F.col("item_name").isNotNull(), 1).alias("coffees")
+    )
+    return _daily(rows)
+
+
+def _daily(parts: DataFrame) -> DataFrame:
+    """Days of stores from parts of transactions: (store, day, transaction_id, revenue, coffees)."""
+    visits = parts.groupBy("store", "day", "transaction_id").agg(
+        F.sum("revenue").alias("revenue"), F.coalesce(F.sum("coffees"), F.lit(0)).alias("coffees")
+    )
+    totals = visits.groupBy("store", "day").agg(
         F.sum("revenue").cast("decimal(28,2)").alias("revenue"),
         F.count("*").alias("customers"),
         F.sum("coffees").alias("coffees"),
@@ -110,6 +145,37 @@ def store_days(transactions: DataFrame) -> DataFrame:
     )
 
 
+def month_bits(day: Column) -> Column:
+    """A number with the bit of each day of a month that occurs; of two such numbers, bit_or has the days of both."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1), F.dayofmonth(day) - 1))
+
+
+def store_months(store_days: DataFrame) -> DataFrame:
+    """The days of each store and month as bits."""
+    return store_days.groupBy("store", F.trunc("day", "month").alias("month")).agg(
+        month_bits(F.col("day")).alias("days")
+    ).select("store", "days", "month")
+
+
+def store_balances(daily_store: DataFrame) -> DataFrame:
+    """Totals of each store from its first day to the end of each month with data.
+
+    Beside each sum stands the number of days that have the measure, as plain means over days are asked
+    for. The window holds the months of one store.
+    """
+    measures = ("revenue", "avg_spend", "customers", "coffees")
+    months = daily_store.groupBy("store", F.trunc("day", "month").alias("month")).agg(
+        *(F.sum(name).alias(name) for name in measures), *(F.count(name).alias(f"n_{name}") for name in measures)
+    )
+    so_far = Window.partitionBy("store").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    kinds = {"revenue": "decimal(38,2)", "avg_spend": "decimal(38,6)"}
+    totals = {
+        name: F.coalesce(F.sum(name).over(so_far), F.lit(0)).cast(kinds.get(name, "bigint"))
+        for name in (*measures, *(f"n_{name}" for name in measures))
+    }
+    return months.select("store", *(total.alias(name) for name, total in totals.items()), "month")
+
+
 def item_hours(sold: DataFrame) -> DataFrame:
     """Cups per store, day, hour, band and kind of item.
 

@@ -28,6 +28,11 @@ def previous_day(model: RetailModel, day: Day) -> DataFrame:
     return model.daily_store.sparkSession.range(1).select(day_before(date_lit(day)).alias("day"))
 
 
+def previous_days(model: RetailModel) -> DataFrame:
+    """Every day with data and the day before it."""
+    return model.daily_store.select("day", day_before(F.col("day")).alias("previous_day")).distinct()
+
+
 def store_breakdown(
     model: RetailModel,
     store: str,

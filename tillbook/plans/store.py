@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillbook.functions import text
-from tillbook.functions.dates import date_lit, inclusive_days, iso_week, iso_year
+from tillbook.functions.dates import as_date, date_lit, inclusive_days, iso_week, iso_year
 from tillbook.functions.measures import (
     availability_rating,
     direction,
@@ -18,8 +18,8 @@ from tillbook.functions.measures import (
     whole_number,
 )
 from tillbook.model import RetailModel
-from tillbook.operators.kpis import kpi_block, means, only, per_store
-from tillbook.operators.selection import check_range, in_range, of_store
+from tillbook.operators.kpis import KPI_COLUMNS, MEAN_COLUMNS, MEASURES, kpi_block, means, only, per_store
+from tillbook.operators.selection import check_range, in_range, of_store, within
 
 Day = dt.date | str
 
@@ -41,7 +41,8 @@ def store_daily_revenue(model: RetailModel, store: str | None = None) -> DataFra
 
 def total_days(model: RetailModel) -> DataFrame:
     """Days on which any store has a transaction."""
-    return model.store_days.agg(F.countDistinct("day").alias("n_days"))
+    months = model.store_months.groupBy("month").agg(F.bit_or("days").alias("days"))
+    return months.agg(or_zero(F.sum(F.bit_count("days"))).alias("n_days"))
 
 
 def store_days_in_range(
@@ -52,10 +53,36 @@ def store_days_in_range(
 ) -> DataFrame:
     """Days with a transaction per store; a store without any in the range has 0.
 
-    The summary has each day of a store once, so its rows are counted.
+    Days are bits of a number per month, so those of the range are counted without a distinct.
     """
-    days = F.count(only(_ranged(start, end), F.col("day")))
-    return per_store(model.store_days, store, days.alias("n_days"))
+    return _days_with_data(model, store, start, end, "n_days")
+
+
+def _days_with_data(
+    model: RetailModel, store: str | None, start: Day | None, end: Day | None, name: str
+) -> DataFrame:
+    rows = of_store(model.store_months, store)
+    if store is not None:
+        # a store asked for has a row anyway, so months outside may be left out
+        rows = rows if start is None else rows.where(F.col("month") >= F.lit(as_date(start).replace(day=1)))
+        rows = rows if end is None else rows.where(F.col("month") <= F.lit(as_date(end).replace(day=1)))
+    return per_store(rows, store, or_zero(F.sum(_days_within(start, end))).alias(name))
+
+
+def _days_within(start: Day | None, end: Day | None) -> Column:
+    """How many of the days of a month, given as bits, lie in a range of which either end may be open."""
+    if start is not None and end is not None:
+        check_range(start, end)
+    month, days = F.col("month"), F.col("days")
+    if start is not None:
+        first = as_date(start)
+        low = F.when(month == F.lit(first.replace(day=1)), -1 << (first.day - 1)).when(month > F.lit(first), -1)
+        days = days.bitwiseAND(low.otherwise(0))
+    if end is not None:
+        last = as_date(end)
+        high = F.when(month == F.lit(last.replace(day=1)), (1 << last.day) - 1).when(month < F.lit(last), -1)
+        days = days.bitwiseAND(high.otherwise(0))
+    return F.bit_count(days)
 
 
 def _ranged(start: Day | None, end: Day | None) -> Column:
@@ -124,6 +151,12 @@ def range_revenue(
     end: Day | None = None,
 ) -> DataFrame:
     """Revenue and mean daily average spend in a range of days, 0 for a store without any."""
+    if store is not None:
+        return range_totals(model, store, start, end).select(
+            "store",
+            F.col("range.revenue").cast("double").alias("range_revenue"),
+            or_zero(_mean("range", "avg_spend")).alias("range_avg_spend"),
+        )
     inside = _ranged(start, end)
     revenue = F.sum(only(inside, F.col("revenue"))).cast("double")
     return per_store(
@@ -134,6 +167,80 @@ def range_revenue(
     )
 
 
+#: What running totals hold: the sum of each measure, and on how many days it is known.
+BALANCE = {
+    "revenue": "decimal(38,2)",
+    "avg_spend": "decimal(38,6)",
+    **dict.fromkeys(("customers", "coffees", *(f"n_{name}" for name in MEASURES)), "bigint"),
+}
+
+
+def range_totals(
+    model: RetailModel, store: str | None = None, start: Day | None = None, end: Day | None = None
+) -> DataFrame:
+    """(store, range, alltime): totals of a range of days and of all days, as structs of BALANCE.
+
+    The range is the difference of two running totals: that of the last month before the one in which it
+    ends, plus the days of that month up to the end, less the same for its start. However long the range,
+    daily rows of two months are read. A store without data in the range has zeros; a store asked for
+    always gives a row.
+    """
+    if start is not None and end is not None:
+        check_range(start, end)
+    balances = of_store(model.store_balances, store)
+
+    def before(day: dt.date | None) -> Column:
+        """The running total before the month of a day; without a day the last one."""
+        known = F.col("month") if day is None else F.when(F.col("month") < F.lit(day.replace(day=1)), F.col("month"))
+        return F.max_by(F.struct(*BALANCE), known)
+
+    first, last = (None if day is None else as_date(day) for day in (start, end))
+    none_yet = F.lit(None).cast(f"struct<{','.join(f'{name}:{kind}' for name, kind in BALANCE.items())}>")
+    ends = per_store(
+        balances,
+        store,
+        before(last).alias("upto"),
+        (before(first) if first is not None else none_yet).alias("base"),
+        before(None).alias("total"),
+    )
+    parts = ends.select(
+        "store",
+        *(_or_none("upto", name).alias(name) - _or_none("base", name) for name in BALANCE),
+        *(_or_none("total", name) for name in BALANCE),
+    ).toDF("store", *BALANCE, *(f"all_{name}" for name in BALANCE))
+    days = of_store(model.daily_store, store)
+    for day, sign, to in ((last, 1, last), (first, -1, None if first is None else first - dt.timedelta(days=1))):
+        if day is not None and to >= day.replace(day=1):
+            edge = within(days, day.replace(day=1), to).select(
+                "store",
+                *((F.col(name) * sign).alias(name) for name in MEASURES),
+                *(F.when(F.col(name).isNotNull(), sign).alias(f"n_{name}") for name in MEASURES),
+                *(F.lit(0).alias(f"all_{name}") for name in BALANCE),
+            )
+            parts = parts.unionByName(edge)
+    sums = [F.struct(*(or_zero(F.sum(f"{prefix}{name}")).alias(name) for name in BALANCE)) for prefix in ("", "all_")]
+    return per_store(parts, store, sums[0].alias("range"), sums[1].alias("alltime"))
+
+
+def _or_none(balance: str, name: str) -> Column:
+    return or_zero(F.col(f"{balance}.{name}"))
+
+
+def _mean(totals: str, measure: str) -> Column:
+    return F.try_divide(F.col(f"{totals}.{measure}").cast("double"), F.col(f"{totals}.n_{measure}"))
+
+
+def _block(totals: str) -> list[Column]:
+    """The four figures of :func:`kpi_block` from totals."""
+    values = (
+        F.col(f"{totals}.revenue").cast("double"),
+        or_zero(_mean(totals, "avg_spend")),
+        F.col(f"{totals}.customers"),
+        F.col(f"{totals}.coffees"),
+    )
+    return [value.alias(name) for value, name in zip(values, KPI_COLUMNS)]
+
+
 def store_alltime_averages(model: RetailModel, store: str | None = None) -> DataFrame:
     return per_store(model.daily_store, store, *means()[1:])
 
@@ -146,12 +253,10 @@ def range_availability(
     Stores without data in the range stay, with 0 days.
     """
     first, last = check_range(start, end)
-    day = F.col("day")
     days = inclusive_days(date_lit(first), date_lit(last))
-    available = F.count(only(in_range(day, first, last), day))
     share = percent_of(F.col("days_available"), F.col("days_inclusive"))
     return (
-        per_store(model.store_days, store, available.alias("days_available"))
+        _days_with_data(model, store, first, last, "days_available")
         .select("store", days.alias("days_inclusive"), "days_available")
         .withColumn("availability_pct", share)
         .withColumn("rating", availability_rating(F.col("availability_pct")))
@@ -163,6 +268,15 @@ def range_kpis(
 ) -> DataFrame:
     """The four figures in a range beside the all-time totals, in one pass."""
     first, last = check_range(start, end)
+    if store is not None:
+        totals = range_totals(model, store, first, last)
+        return totals.select(
+            "store",
+            *_block("range"),
+            F.col("alltime.revenue").cast("double").alias("alltime_revenue"),
+            F.col("alltime.customers").alias("alltime_customers"),
+            F.col("alltime.coffees").alias("alltime_coffees"),
+        )
     revenue, _, customers, coffees = kpi_block()
     return per_store(
         model.daily_store,
@@ -184,13 +298,18 @@ def range_vs_alltime(
     """
     first, last = check_range(start, end)
     days = inclusive_days(date_lit(first), date_lit(last))
-    alltime = means()
-    totals = per_store(
-        model.daily_store,
-        store,
-        F.struct(*kpi_block(in_range(F.col("day"), first, last))).alias("range"),
-        F.struct(*alltime).alias("alltime"),
-    )
+    if store is None:
+        totals = per_store(
+            model.daily_store,
+            store,
+            F.struct(*kpi_block(in_range(F.col("day"), first, last))).alias("range"),
+            F.struct(*means()).alias("alltime"),
+        )
+    else:
+        averages = [_mean("alltime", measure).alias(name) for measure, name in zip(MEASURES, MEAN_COLUMNS)]
+        totals = range_totals(model, store, first, last).select(
+            "store", F.struct(*_block("range")).alias("range"), F.struct(*averages).alias("alltime")
+        )
 
     def row(measure: str, in_the_range: Column, all_time: Column) -> Column:
         return F.struct(

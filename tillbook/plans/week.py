@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tillbook.functions import dates
-from tillbook.functions.measures import exact_mean, impact_level, percent_of
+from tillbook.functions import dates, text
+from tillbook.functions.measures import impact_level, percent_of
 from tillbook.model import RetailModel
-from tillbook.operators.calendar import WEEK, of_week, week_days
+from tillbook.operators.calendar import WEEK, day_flags, of_week, week_days
 from tillbook.operators.kpis import means
 
 
@@ -16,10 +16,18 @@ def week_grid(
     store: str | None = None,
     iso_week: int | None = None,
     iso_year: int | None = None,
+    absent_weeks: bool = False,
 ) -> DataFrame:
-    """Seven rows per store and week; days without data keep NULL figures."""
+    """Seven rows per store and week; days without data keep NULL figures.
+
+    With ``absent_weeks``, weeks without any data between those with data are there too.
+    """
     days = week_days(
-        model.daily_store, store=store, iso_week=iso_week, iso_year=iso_year
+        model.daily_store,
+        store=store,
+        iso_week=iso_week,
+        iso_year=iso_year,
+        absent_weeks=absent_weeks,
     )
     return days.select(
         *WEEK,
@@ -53,12 +61,7 @@ def week_availability(
 ) -> DataFrame:
     """Which of the seven days have data, their number and share."""
     rows = of_week(model.daily_store, store, iso_week, iso_year)
-    weekday = dates.iso_weekday(F.col("day"))
-    flags = rows.groupBy(*WEEK).agg(
-        F.array(*[F.bool_or(weekday == number) for number in range(1, 8)]).alias(
-            "week_array"
-        )
-    )
+    flags = rows.groupBy(*WEEK).agg(day_flags(F.col("day")).alias("week_array"))
     available = F.size(F.filter("week_array", lambda has_data: has_data))
     return flags.select(
         *WEEK,
@@ -104,7 +107,7 @@ def weekday_vs_week_average(
     """Revenue of each day against the week's mean, in amount, percent and level."""
     days = week_days(
         model.daily_store,
-        exact_mean(F.col("revenue")).alias("mean"),
+        F.try_divide(F.sum("revenue").cast("double"), F.sum("revenues")).alias("mean"),
         store=store,
         iso_week=iso_week,
         iso_year=iso_year,
@@ -118,3 +121,47 @@ def weekday_vs_week_average(
         .withColumn("impact_level", impact_level(F.col("diff_pct")))
         .drop("mean")
     )
+
+
+def week_cards(
+    model: RetailModel,
+    store: str | None = None,
+    iso_week: int | None = None,
+    iso_year: int | None = None,
+) -> DataFrame:
+    """Each day of a week as texts, one row per figure; a day without data has ``N/A`` and no day.
+
+    Revenue carries its difference from the mean of the week, whose percent is a figure of its own.
+    """
+    figures = week_days(
+        model.daily_store,
+        F.try_divide(F.sum("revenue").cast("double"), F.sum("revenues")).alias("mean"),
+        store=store,
+        iso_week=iso_week,
+        iso_year=iso_year,
+    ).withColumn("delta", F.col("fact.revenue") - F.col("mean"))
+    absent = F.col("fact").isNull()
+    shown = {
+        "revenue": text.money(F.col("fact.revenue")),
+        "difference": text.percent(percent_of(F.col("delta"), F.col("mean"))),
+        "avg_spend": text.money(F.col("fact.avg_spend")),
+        "customers": F.col("fact.customers").cast("string"),
+        "coffees": F.col("fact.coffees").cast("string"),
+    }
+    cards = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("figure"),
+                F.when(absent, "N/A").otherwise(value).alias("value"),
+                (F.when(absent, "-").otherwise(text.fixed_point(F.col("delta"))) if name == "revenue" else F.lit(None).cast("string")).alias("delta"),
+            )
+            for name, value in shown.items()
+        ]
+    )
+    return figures.select(
+        *WEEK,
+        "iso_weekday",
+        dates.weekday_name(F.col("iso_weekday")).alias("weekday_name"),
+        F.when(absent, "-").otherwise(F.col("day").cast("string")).alias("day"),
+        F.inline(cards),
+    )

@@ -22,8 +22,9 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillbook.model import RetailModel
+from tillbook.operators.reduction import reduced
 from tillbook.operators.selection import check_range, within
-from tillbook.operators.summaries import ORDER, SCHEMAS, item_kinds
+from tillbook.operators.summaries import ORDER, SCHEMAS, item_kinds, store_balances, store_months
 
 Facts = Callable[[], list[DataFrame]]
 _kept: dict[tuple, list[tuple[list[DataFrame], str, str]]] = {}
@@ -93,6 +94,19 @@ def _schema_of(name: str, table: DataFrame) -> str:
     return re.sub(r"transaction_id \w+", f"transaction_id {kinds.get('transaction_id')}", SCHEMAS[name])
 
 
+#: Summaries without days of their own: what they are folded from, as a whole.
+FOLDED = {
+    "store_months": ("store_days", store_months),
+    "store_balances": ("daily_store", store_balances),
+    "item_kinds": ("item_hours", item_kinds),
+}
+
+
+def _unplaced(table: DataFrame) -> DataFrame:
+    """A summary without the month that only tells where its days are stored."""
+    return table.select(*(c for c in table.columns if c != "month" or "day" not in table.columns))
+
+
 # ---- summaries beyond an application
 
 
@@ -156,16 +170,16 @@ def save(model: RetailModel, folder: str) -> None:
     manifest: dict = {"schemas": {}, "parts": {}}
     for name in SCHEMAS:
         table, path = getattr(model, name), f"{folder}/{root}/{name}"
-        write_summary(name, table.select(*(c for c in table.columns if c != "month")), path)
+        write_summary(name, _unplaced(table), path)
         manifest["schemas"][name] = _schema_of(name, table)
         manifest["parts"][name] = dict.fromkeys(_months(spark, path), root)
     _publish(spark, folder, manifest)
 
 
 def saved(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Saved summaries, as ``given`` for a :class:`~tillbook.model.RetailModel`."""
+    """Saved summaries, as ``given`` for a :class:`~tillbook.model.RetailModel`; those that the folder has."""
     manifest = _current(spark, folder)
-    return {name: _read_parts(spark, folder, name, manifest) for name in SCHEMAS}
+    return {name: _read_parts(spark, folder, name, manifest) for name in manifest["schemas"]}
 
 
 def refresh(
@@ -173,8 +187,9 @@ def refresh(
 ) -> None:
     """Derive the months from ``start`` to ``end`` again and replace only those.
 
-    Transactions are read for these months only; items carry no time, so all of
-    them are read and joined with those transactions. Summaries that were given to the
+    Transactions are read for these months only. Items carry no time, so those that may belong to
+    these transactions are told by a filter of their ids as they are read, and only they are
+    shuffled; with fact tables from :mod:`~tillbook.sources.facts` none is. Summaries that were given to the
     model are not derived but taken from it. A month without rows leaves the folder's
     tables. Other months stay as files, and readers see the version before until
     all is written.
@@ -184,21 +199,23 @@ def refresh(
     following = (last.replace(day=1) + dt.timedelta(days=31)).replace(day=1)
     months = first.replace(day=1), following - dt.timedelta(days=1)
     given = {n: within(t, *months) if "day" in t.columns else t for n, t in model.given.items()}
-    part = RetailModel(within(model.transactions, *months), model.items, keep=_in_place(spark), given=given)
+    visits = within(model.transactions, *months)
+    part = RetailModel(visits, lambda: reduced(model.items, visits, "transaction_id"), keep=_in_place(spark), given=given)
     manifest = _current(spark, folder)
     root = f"parts-{uuid4().hex}"
 
     def replace(name: str, table: DataFrame, changed: Callable[[str], bool]) -> None:
         path = f"{folder}/{root}/{name}"
-        write_summary(name, table.select(*(c for c in table.columns if c != "month")), path)
+        write_summary(name, _unplaced(table), path)
         left = {month: old for month, old in manifest["parts"][name].items() if not changed(month)}
         manifest["parts"][name] = left | dict.fromkeys(_months(spark, path), root)
 
     for name in SCHEMAS:
-        if name != "item_kinds":
+        if name not in FOLDED:
             replace(name, getattr(part, name), lambda m: str(months[0]) <= m <= str(months[1]))
-    folded = model.given.get("item_kinds") or item_kinds(_read_parts(spark, folder, "item_hours", manifest))
-    replace("item_kinds", folded, lambda month: True)
+    for name, (source, fold) in FOLDED.items():
+        folded = model.given.get(name) or fold(_read_parts(spark, folder, source, manifest))
+        replace(name, folded, lambda month: True)
     _publish(spark, folder, manifest)
 
 
@@ -210,6 +227,39 @@ def _in_place(spark: SparkSession):
     return lambda name, build, facts: _written(spark, folder, name, build())[0]
 
 
+def replace_days(
+    spark: SparkSession, folder: str, name: str, changed: DataFrame, writer: str, version: int
+) -> bool:
+    """Let the rows of ``changed`` replace those of their stores and days in a summary of the folder.
+
+    Only months with changed days are written anew. The manifest keeps the last version of each writer: a version
+    that is there already, as after a restart, is left alone and False returned. The folder is begun if it is new.
+    """
+    begun = bool(_manifests(spark, folder))
+    manifest = _current(spark, folder) if begun else {"schemas": {}, "parts": {}}
+    writers = manifest.setdefault("writers", {})
+    if writers.get(writer, -1) >= version:
+        return False
+    manifest["schemas"].setdefault(name, SCHEMAS[name])
+    parts = manifest["parts"].setdefault(name, {})
+    root = f"parts-{uuid4().hex}"
+    fresh = f"{folder}/{root}/changed"
+    write_summary(name, changed, fresh)
+    months = _months(spark, fresh)
+    if months:
+        rows = spark.read.schema(SCHEMAS[name]).parquet(fresh)
+        before = {**manifest, "parts": {name: {month: parts[month] for month in months if month in parts}}}
+        stay = _read_parts(spark, folder, name, before).join(rows.select("store", "day"), ["store", "day"], "left_anti")
+        write_summary(name, _unplaced(stay.unionByName(rows)), f"{folder}/{root}/{name}")
+        parts |= dict.fromkeys(months, root)
+    files, location = _located(spark, fresh)
+    files.delete(location, True)
+    writers[writer] = version
+    if months or not begun:  # a batch without changes needs no version
+        _publish(spark, folder, manifest)
+    return True
+
+
 def vacuum(spark: SparkSession, folder: str) -> None:
     """Remove versions that the current one has replaced, once no reader needs them."""
     manifest, numbers = _current(spark, folder), _manifests(spark, folder)
@@ -225,14 +275,22 @@ def vacuum(spark: SparkSession, folder: str) -> None:
 # ---- summaries of an application
 
 
-def _written(spark: SparkSession, folder: str, name: str, table: DataFrame) -> tuple[DataFrame, str, str]:
-    """A summary in the application's own folder, which goes when the application ends."""
-    own = f"{folder}/tillbook/{spark.sparkContext.applicationId}"
+def application_folder(spark: SparkSession, folder: str | None = None) -> str:
+    """The application's own folder in the shared one."""
+    place = folder or shared_folder(spark)
+    if place is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = f"{place}/tillbook/{spark.sparkContext.applicationId}"
     files, location = _located(spark, own)
     if not files.exists(location):
         files.mkdirs(location)
         files.deleteOnExit(location)
-    path, schema = f"{own}/{name}-{uuid4().hex}", _schema_of(name, table)
+    return own
+
+
+def _written(spark: SparkSession, folder: str, name: str, table: DataFrame) -> tuple[DataFrame, str, str]:
+    """A summary in the application's own folder, which goes when the application ends."""
+    path, schema = f"{application_folder(spark, folder)}/{name}-{uuid4().hex}", _schema_of(name, table)
     write_summary(name, table, path)
     return spark.read.schema(schema).parquet(path), path, schema
 

@@ -27,8 +27,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with the region of their user's nation as the store.
+def transactions(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Events, of the folder if none are given, with the region of their user's nation as the store.
 
     The events stream through one join after the other. Whether the other side is
     broadcast is left to Spark, which decides by the size of the files.
@@ -46,7 +46,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     hour = F.hour("ts")
     return (
-        _read(spark, sf_dir, "events")
+        (_read(spark, sf_dir, "events") if events is None else events)
         .select(F.col("event_id").alias("transaction_id"), "ts", "user_id")
         .join(user_nation, "user_id")
         .join(nation_store, "n_nationkey")
@@ -63,6 +63,12 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def transactions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream of the files of the events."""
+    schema = _read(spark, sf_dir, "events").schema
+    return transactions(spark, sf_dir, spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet"))
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines with the two words of the part name as flavour and item."""
     word = {n: F.split_part("p_name", F.lit(" "), F.lit(n)) for n in (1, 2)}

@@ -37,14 +37,18 @@ def transactions(table: DataFrame, zone: str | None = None, iso_text: bool = Fal
     """One row per transaction; the time may be a timestamp or its text.
 
     A timestamp with a zone becomes the wall-clock time of ``zone``, or of the session if none is
-    named. Days asked for are pushed down to the scan for a timestamp, and with
-    ``iso_text`` for text of the form ``YYYY-MM-DD hh:mm:ss``, whose order is that of time.
+    named. Days asked for are pushed down to the scan for a timestamp, with ``zone`` as the instants at
+    which its days begin, and with ``iso_text`` for text of the form ``YYYY-MM-DD hh:mm:ss``, whose order is that of time.
     Other text is parsed row by row, so a day scans the whole table.
     """
     column, kind = F.col("timestamp"), table.schema["timestamp"].dataType
     time = column.cast("timestamp_ntz")
     if isinstance(kind, TimestampType) and zone is not None:
         time = F.convert_timezone(F.current_timezone(), F.lit(zone), time)
+    instant = []
+    if isinstance(kind, TimestampType) and zone is not None:
+        # the instant itself, so that a day can be tested on the column that the scan reads
+        instant = [column.alias("ts_instant", metadata={"zone": zone})]
     text = [column.alias("ts_text")] if iso_text and isinstance(kind, StringType) else []
     return table.select(
         "transaction_id",
@@ -52,6 +56,7 @@ def transactions(table: DataFrame, zone: str | None = None, iso_text: bool = Fal
         "store",
         F.col("time_of_day").cast("int").alias("time_of_day"),
         *text,
+        *instant,
     )
 
 

@@ -125,6 +125,9 @@ filled AS (
   FROM grid g LEFT JOIN daily d ON d.store = g.store AND d.day = g.day)
 """
 
+_WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
+_FLAGS = ", ".join(f"bool_or(has_data AND iso_weekday = {i + 1}) AS has_{name}" for i, name in enumerate(_WEEKDAYS))
+
 _WEEK_MEANS = ", ".join(
     f"{_mean(column)} AS {name}"
     for column, name in (
@@ -275,6 +278,10 @@ SELECT store, day, the_hour, time_of_day, item_name, item_flavour, item_size,
        count(item_name) AS cups
 FROM sold GROUP BY ALL""",
     "first_data_date": f"{_BASE} SELECT day AS first_day FROM daily ORDER BY day LIMIT 1",
+    "basic_date_current": f"SELECT DATE '{AS_OF}' AS as_of",
+    "basic_date_yesterday": f"SELECT CAST(DATE '{AS_OF}' - 1 AS DATE) AS yesterday",
+    "basic_date_first": f"{_BASE} SELECT min(day) AS first_day FROM daily",
+    "previous_day": f"{_BASE} SELECT DISTINCT day, CAST(day - 1 AS DATE) AS previous_day FROM daily",
     "date_bounds": f"""{_BASE}
 SELECT DATE '{AS_OF}' AS as_of, DATE '{AS_OF}' - 1 AS yesterday,
        (SELECT min(day) FROM daily) AS first_day""",
@@ -380,13 +387,54 @@ FROM weeks""",
     "week_availability": f"""{_GRID}
 SELECT store, iso_year, iso_week, CAST(count(*) FILTER (has_data) AS INTEGER) AS days_available,
        CAST(count(*) FILTER (has_data) AS DOUBLE) / 7 * 100 AS availability_pct,
-       CAST(list(has_data ORDER BY iso_weekday) AS VARCHAR) AS week_array
+       {_FLAGS}
 FROM filled GROUP BY store, iso_year, iso_week""",
     "week_day_lines": f"""{_GRID}
 SELECT store, iso_year, iso_week, iso_weekday,
        weekday_name || ' - ' || CASE WHEN has_data THEN 'Available [' || CAST(day AS VARCHAR) || ']'
                                      ELSE 'No Data' END AS line
 FROM filled""",
+    "week_cards": f"""{_GRID},
+week_means AS (
+  SELECT store, iso_year, iso_week, {_mean('revenue')} AS mean_revenue
+  FROM weeks GROUP BY store, iso_year, iso_week),
+diffs AS (
+  SELECT *, revenue - mean_revenue AS diff FROM filled JOIN week_means USING (store, iso_year, iso_week)),
+texts AS (
+  SELECT *, unnest([
+    {{'figure': 'revenue', 'value': printf('$%.2f', revenue), 'delta': printf('%.2f', diff)}},
+    {{'figure': 'difference', 'value': printf('%.2f%%', diff / mean_revenue * 100), 'delta': NULL}},
+    {{'figure': 'avg_spend', 'value': printf('$%.2f', avg_spend), 'delta': NULL}},
+    {{'figure': 'customers', 'value': CAST(customers AS VARCHAR), 'delta': NULL}},
+    {{'figure': 'coffees', 'value': CAST(coffees AS VARCHAR), 'delta': NULL}}]) AS t
+  FROM diffs)
+SELECT store, iso_year, iso_week, iso_weekday, weekday_name,
+       CASE WHEN has_data THEN CAST(day AS VARCHAR) ELSE '-' END AS day, t.figure AS figure,
+       CASE WHEN has_data THEN t.value ELSE 'N/A' END AS value,
+       CASE WHEN t.figure = 'revenue' THEN CASE WHEN has_data THEN t.delta ELSE '-' END END AS delta
+FROM texts""",
+    "week_grid_absent_weeks": f"""{_BASE},
+bounds AS (
+  SELECT store, CAST(date_trunc('week', min(day)) AS DATE) AS first, CAST(date_trunc('week', max(day)) AS DATE) AS last
+  FROM daily GROUP BY store),
+grid AS (
+  SELECT store, CAST(unnest(generate_series(first, last + 6, INTERVAL 1 DAY)) AS DATE) AS day FROM bounds)
+SELECT g.store, CAST(isoyear(g.day) AS INTEGER) AS iso_year, CAST(week(g.day) AS INTEGER) AS iso_week,
+       CAST(isodow(g.day) AS INTEGER) AS iso_weekday, dayname(g.day) AS weekday_name, g.day,
+       CAST(d.revenue AS DOUBLE) AS revenue, CAST(d.avg_spend AS DOUBLE) AS avg_spend, d.customers, d.coffees,
+       d.day IS NOT NULL AS has_data
+FROM grid g LEFT JOIN daily d ON d.store = g.store AND d.day = g.day""",
+    "week_grid_absent_weeks_of_item": f"""{_BASE},
+rare AS (
+  SELECT store, day, count(*) AS coffees FROM sold
+  WHERE item_name = '{ITEM_1}' AND day(day) IN (4, 30) GROUP BY store, day),
+bounds AS (
+  SELECT store, CAST(date_trunc('week', min(day)) AS DATE) AS first, CAST(date_trunc('week', max(day)) AS DATE) AS last
+  FROM rare GROUP BY store),
+grid AS (
+  SELECT store, CAST(unnest(generate_series(first, last + 6, INTERVAL 1 DAY)) AS DATE) AS day FROM bounds)
+SELECT g.store, g.day, r.coffees, r.day IS NOT NULL AS has_data
+FROM grid g LEFT JOIN rare r ON r.store = g.store AND r.day = g.day""",
     "week_average": f"""{_BASE}
 SELECT store, iso_year, iso_week, {_WEEK_MEANS} FROM weeks GROUP BY store, iso_year, iso_week""",
     "weekday_vs_week_average": f"""{_GRID},
@@ -551,6 +599,7 @@ SQL |= {
         "week_grid",
         "week_commencing",
         "week_availability",
+        "week_cards",
         "week_average",
         "weekday_vs_week_average",
     )
@@ -590,3 +639,4 @@ SQL |= {
     )
     for key, (name, columns) in BREAKDOWN.items()
 }
+SQL["daily_store_streamed"] = SQL["daily_store"]
