@@ -8,10 +8,12 @@ The alignment of a window depends on its ids alone, so it is worked out once and
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
+import itertools
 import json
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,20 +71,55 @@ def _by_ranks(file: dict, table: dict[bytes, int]) -> tiktoken.Encoding | None:
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
 
-class _Segments(dict):
-    """Ids, as 32-bit integers in bytes, of the segments of texts, each encoded once while it is kept."""
+class _Segments:
+    """Ids that sides give to the segments of texts, each encoded once while it is kept."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
-        self.encode = encode
+    def __init__(self, *sides: Side):
+        self.sides = sides
+        self.forget()
 
-    def learn(self, segments: set[str]) -> None:
-        if len(self) > KEPT_SEGMENTS:
-            self.clear()
-        missing = list(segments.difference(self))
-        self.update(zip(missing, (array("i", ids).tobytes() for ids in self.encode(missing)), strict=True))
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.held = [(array("i"), array("q", [0]), bytearray()) for _ in self.sides]
 
-    def ids(self, segments: list[str]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, segments)), np.int32)
+    def _learn(self, segments: set[str]) -> None:
+        if len(self.known) > KEPT_SEGMENTS:
+            self.forget()
+        missing = list(segments.difference(self.known))
+        self.known.update(zip(missing, range(len(self.known), len(self.known) + len(missing)), strict=True))
+        for side, (held, ends, spelled) in zip(self.sides, self.held, strict=True):
+            found = side.apart(missing)
+            held.extend(itertools.chain.from_iterable(found))
+            ends.extend([ends[-1] + end for end in itertools.accumulate(map(len, found))])
+            spelled.extend(map(side.spells, found, missing))
+
+    def ids(self, segments: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each side the ids of all segments, how many each has, and whether they spell it and the blank before it."""
+        self._learn(set(segments))
+        numbers = np.fromiter(map(self.known.__getitem__, segments), np.int64, len(segments))
+        for held, ends, spelled in self.held:
+            ends = np.frombuffer(ends, np.int64)
+            size = ends[numbers + 1] - ends[numbers]
+            at = np.arange(size.sum()) + np.repeat(ends[numbers] - np.cumsum(size) + size, size)
+            yield np.frombuffer(held, np.int32)[at], size, np.frombuffer(spelled, bool)[numbers]
+
+    def encoded(self, texts: list[str], segments: list[list[str]]) -> list[list[tuple[np.ndarray, bool]]]:
+        """For each side the ids of each text, whose segments are given, and whether they spell it after a blank.
+
+        Texts that all sides may take apart are encoded by segments, others whole.
+        """
+        apart = [all(side.apart is not None and side.by_segments(text) for side in self.sides) for text in texts]
+        chosen = list(itertools.compress(segments, apart))
+        by_parts = [iter(()) for _ in self.sides]
+        if chosen:
+            stops = np.cumsum(list(map(len, chosen)))
+            for k, (ids, size, spelled) in enumerate(self.ids(list(itertools.chain.from_iterable(chosen)))):
+                parts = np.split(ids, np.cumsum(size)[stops[:-1] - 1])
+                by_parts[k] = zip(parts, np.logical_and.reduceat(spelled, np.append(0, stops[:-1])).tolist(), strict=True)
+        return [
+            [next(own) if chosen else side.at_once(text) for text, chosen in zip(texts, apart, strict=True)]
+            for side, own in zip(self.sides, by_parts, strict=True)
+        ]
 
 
 def segments_of(text: str) -> list[str]:
@@ -98,20 +135,24 @@ def segments_of(text: str) -> list[str]:
 class Side:
     """A tokenizer with the bytes of its tokens, their lengths, and which begin with a blank."""
 
-    def __init__(self, bytes_of: list[bytes], kept: _Segments | None, by_segments: Callable[[str], bool], whole: Callable[[str], list[int]]):
-        self.bytes_of, self.kept, self.by_segments, self.whole = bytes_of, kept, by_segments, whole
+    def __init__(
+        self, bytes_of: list[bytes], apart: Callable[[list[str]], list[list[int]]] | None, by_segments: Callable[[str], bool], whole: Callable[[str], list[int]]
+    ):
+        self.bytes_of, self.apart, self.by_segments, self.whole = bytes_of, apart, by_segments, whole
         self.length = np.array([len(b) for b in bytes_of], np.int64)
         self.blank = np.array([b.startswith(b" ") for b in bytes_of])
 
+    def spells(self, ids: list[int], text: str) -> bool:
+        """Whether the ids are those bytes of a blank and the text."""
+        return b"".join(map(self.bytes_of.__getitem__, ids)) == b" " + text.encode("utf-8", "replace")
+
+    def at_once(self, text: str) -> tuple[np.ndarray, bool]:
+        ids = self.whole(text)
+        return np.array(ids, np.int32), self.spells(ids, text)
+
     def encode(self, texts: list[str], segments: list[list[str]]) -> list[np.ndarray]:
-        """The ids of each text, whose segments are given; those that texts have in common are encoded once."""
-        apart = [self.kept is not None and self.by_segments(text) for text in texts]
-        if any(apart):
-            self.kept.learn({s for own, chosen in zip(segments, apart, strict=True) if chosen for s in own})
-        return [
-            self.kept.ids(own) if chosen else np.array(self.whole(text), np.int32)
-            for text, own, chosen in zip(texts, segments, apart, strict=True)
-        ]
+        """The ids of each text, whose segments are given."""
+        return [ids for ids, _ in _Segments(self).encoded(texts, segments)[0]]
 
     @classmethod
     def byte_level(cls, content: bytes) -> Side:
@@ -127,12 +168,12 @@ class Side:
         entries = [model.id_to_token(i) for i in range(model.get_vocab_size())]
         decoded = [e.encode() if e in special else bytes(map(symbol.__getitem__, e)) for e in entries]
         fast = _by_ranks(json.loads(content), {b: i for i, b in enumerate(decoded) if entries[i] not in special})
-        kept = _Segments(lambda segments: [fast.encode_ordinary(" " + s) for s in segments]) if fast else None
+        apart = (lambda segments: [fast.encode_ordinary(" " + s) for s in segments]) if fast else None
 
         def by_segments(text: str) -> bool:
             return bool(_COMMON.fullmatch(text)) and not _LONG_RUN.search(text)
 
-        return cls(decoded, kept, by_segments, lambda text: model.encode(" " + text, add_special_tokens=False).ids)
+        return cls(decoded, apart, by_segments, lambda text: model.encode(" " + text, add_special_tokens=False).ids)
 
     @classmethod
     def pieces(cls, content: bytes) -> Side:
@@ -146,25 +187,9 @@ class Side:
         pieces = map(model.id_to_piece, range(model.get_piece_size()))
         unchanged = b"".join(map(decoded, model.encode(PROBE))) == b" " + PROBE.encode()
         apart = unchanged and not any(map(_BLANK_AFTER.search, pieces))
-        kept = _Segments(lambda segments: model.encode(segments, num_threads=1)) if apart else None
-        return cls([decoded(i) for i in range(model.get_piece_size())], kept, lambda text: MARK not in text, model.encode)
-
-
-def align(a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[bytes]) -> list[tuple[list[int], list[int]]]:
-    """The groups of two lists of tokens that cover the same bytes: cut wherever tokens of both end."""
-    out, i, j, end_a, end_b = [], 0, 0, 0, 0
-    from_a, from_b = 0, 0
-    while i < len(a) or j < len(b):
-        if j == len(b) or (i < len(a) and end_a <= end_b):
-            end_a += len(bytes_a[a[i]])
-            i += 1
-        else:
-            end_b += len(bytes_b[b[j]])
-            j += 1
-        if end_a == end_b:
-            out.append((a[from_a:i], b[from_b:j]))
-            from_a, from_b = i, j
-    return out
+        bytes_of = [decoded(i) for i in range(model.get_piece_size())]
+        by_parts = (lambda segments: model.encode(segments, num_threads=1)) if apart else None
+        return cls(bytes_of, by_parts, lambda text: MARK not in text, model.encode)
 
 
 class Windows:
@@ -172,37 +197,62 @@ class Windows:
 
     def __init__(self, a: Side, b: Side):
         self.a, self.b = a, b
+        self.segments = _Segments(a, b)
+        #: An id as it is written within a group, and as the last of its side.
+        self.names = [f"{i}{mark}" for side, last in ((a, "|"), (b, ";")) for i in range(len(side.bytes_of)) for mark in (",", last)]
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[tuple[bytes, bytes], int] = {}
         self.texts: list[str] = []
-        self.spelled: list[bytes | None] = []
         self.groups, self.starts, self.links = array("q"), array("q", [0]), array("q")
-        self.pairs: dict[tuple[int, int], int] = {}
-
-    def _new(self, key: tuple[bytes, bytes]) -> int:
-        a, b = (memoryview(x).cast("i").tolist() for x in key)
-        spelled = b"".join(map(self.a.bytes_of.__getitem__, a))
-        if spelled != b"".join(map(self.b.bytes_of.__getitem__, b)):
-            spelled, groups = None, []
-        elif len(a) == 1 or len(b) == 1:
-            groups = [(a, b)]
-        else:
-            groups = align(a, b, self.a.bytes_of, self.b.bytes_of)
-        number, pairs = len(self.texts), self.pairs
-        self.spelled.append(spelled)
-        self.texts.append(";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups]))
-        self.groups.append(len(groups))
-        self.links.extend([pairs.setdefault((x, y), len(pairs)) for own, others in groups for x in own for y in others])
-        self.starts.append(len(self.links))
-        if len(a) <= KEPT_TOKENS and len(b) <= KEPT_TOKENS:
-            self.known[key] = number
-        return number
-
-    def _number(self, key: tuple[bytes, bytes]) -> int:
-        found = self.known.get(key)
-        return self._new(key) if found is None else found
+
+    def _learn(self, keys: list[tuple[bytes, bytes]]) -> None:
+        """Align windows and number them in this order; their tokens are handled as one stretch of bytes.
+
+        A group ends wherever tokens of both end, so also at the end of each window.
+        """
+        a, b = (np.frombuffer(b"".join(own), np.int32).astype(np.int64) for own in zip(*keys, strict=True))
+        sizes = [np.array(list(map(len, own))) // 4 for own in zip(*keys, strict=True)]
+        ends = [np.cumsum(side.length[ids]) for side, ids in ((self.a, a), (self.b, b))]
+        marked = np.zeros((2, int(ends[0][-1]) + 1), bool)
+        for own, end in zip(marked, ends, strict=True):
+            own[end] = True
+        shared = marked[0] & marked[1]
+        last = [shared[end] for end in ends]
+        group = [np.cumsum(own) - own for own in last]
+        count = [np.bincount(own) for own in group]
+        start = [np.cumsum(own) - own for own in count]
+        pairs = count[0] * count[1]
+        of = np.repeat(np.arange(len(pairs)), pairs)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+        across = count[1][of]
+        left, right = a[start[0][of] + place // across], b[start[1][of] + place % across]
+        self.links.frombytes((left * len(self.b.bytes_of) + right).tobytes())
+        # the tokens of a group of A, then of B, each as the number of its name
+        named = np.empty(len(a) + len(b), np.int64)
+        named[np.arange(len(a)) + start[1][group[0]]] = a * 2 + last[0]
+        named[np.arange(len(b)) + (start[0] + count[0])[group[1]]] = (b + len(self.a.bytes_of)) * 2 + last[1]
+        stops = np.cumsum(sizes[0])
+        until = np.cumsum(last[0])[stops - 1]
+        self.groups.frombytes(np.diff(until, prepend=0).astype(np.int64).tobytes())
+        self.starts.frombytes((self.starts[-1] + np.cumsum(pairs)[until - 1]).astype(np.int64).tobytes())
+        written_as, begin = list(map(self.names.__getitem__, named.tolist())), 0
+        for stop in (stops + np.cumsum(sizes[1])).tolist():
+            self.texts.append("".join(written_as[begin:stop]))
+            begin = stop
+
+    def _look_up(self, keys: list[tuple[bytes, bytes]]) -> np.ndarray:
+        """The numbers of windows; those not known are aligned together."""
+        found = list(map(self.known.get, keys))
+        missing = dict.fromkeys(key for key, number in zip(keys, found, strict=True) if number is None)
+        if not missing:
+            return np.array(found)
+        new = dict(zip(missing, range(len(self.texts), len(self.texts) + len(missing)), strict=True))
+        self._learn(list(new))
+        longest = 4 * KEPT_TOKENS
+        self.known.update((key, number) for key, number in new.items() if len(key[0]) <= longest and len(key[1]) <= longest)
+        return np.array([new[key] if number is None else number for key, number in zip(keys, found, strict=True)])
 
     def _numbers(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The windows between anchors of a stretch of bytes, and where they end.
@@ -234,13 +284,23 @@ class Windows:
             first = which = np.arange(len(anchors))
         raw_a, raw_b = a.tobytes(), b.tobytes()
         edges = ((4 * x[first]).tolist() for x in (starts[0], stops[0], starts[1], stops[1]))
-        found = [self._number((raw_a[i:j], raw_b[k:m])) for i, j, k, m in zip(*edges, strict=True)]
-        return np.array(found)[which], anchors
+        keys = [(raw_a[i:j], raw_b[k:m]) for i, j, k, m in zip(*edges, strict=True)]
+        return self._look_up(keys)[which], anchors
 
     def align(self, texts: list[str | None]) -> list[tuple]:
+        """``_aligned`` without collections: nothing here refers to itself, and each would walk through all that is kept."""
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._aligned(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _aligned(self, texts: list[str | None]) -> list[tuple]:
         """Tokens of both, groups, their digest, the different links and how often each occurs, of each text.
 
-        Tokens of all texts are one stretch of bytes. As each text begins with a blank, it begins a window.
+        Tokens of all texts that both spell again are one stretch of bytes. As each begins with a blank, it begins a window.
         """
         if len(self.texts) > KEPT_WINDOWS:
             self.forget()
@@ -249,33 +309,31 @@ class Windows:
         places = [at for at, text in enumerate(texts) if text]
         full = [texts[at] for at in places]
         segments = list(map(segments_of, full))
-        for at, text, a, b in zip(places, full, self.a.encode(full, segments), self.b.encode(full, segments), strict=True):
-            spelled = b" " + text.encode("utf-8", "replace")
-            if self.a.length[a].sum() == self.b.length[b].sum() == len(spelled):
-                if self.a.blank[a[0]] and self.b.blank[b[0]]:
-                    rows.append((at, spelled, a, b))
+        for at, (a, spelled_a), (b, spelled_b) in zip(places, *self.segments.encoded(full, segments), strict=True):
+            if spelled_a and spelled_b:
+                rows.append((at, a, b))
         if not rows:
             return out
-        numbers, ends = self._numbers(*(np.concatenate(x) for x in list(zip(*rows, strict=True))[2:]))
-        stops = np.searchsorted(ends, np.cumsum([len(row[1]) for row in rows]), side="right")
+        numbers, ends = self._numbers(*(np.concatenate(x) for x in list(zip(*rows, strict=True))[1:]))
+        spans = [self.a.length[row[1]].sum() for row in rows]
+        stops = np.searchsorted(ends, np.cumsum(spans), side="right")
         owner = np.repeat(np.arange(len(rows)), np.diff(stops, prepend=0))
         starts = np.frombuffer(self.starts, np.int64)
         size = starts[numbers + 1] - starts[numbers]
         at = np.arange(size.sum()) + np.repeat(starts[numbers] - np.cumsum(size) + size, size)
-        # links have numbers while the memory lasts, so a document's link is one integer
-        key = np.repeat(owner, size) * len(self.pairs) + np.frombuffer(self.links, np.int64)[at]
+        # a document's link is one integer
+        links_of_one = len(self.a.bytes_of) * len(self.b.bytes_of)
+        key = np.repeat(owner, size) * links_of_one + np.frombuffer(self.links, np.int64)[at]
         key, times = np.unique(key, return_counts=True)
-        known = np.array(list(self.pairs), np.int64)
-        link = known[key % len(known)] @ np.array([1 << 32, 1])
-        edges = np.searchsorted(key, np.arange(len(rows) + 1) * len(known))
+        edges = np.searchsorted(key, np.arange(len(rows) + 1) * links_of_one)
+        left, right = np.divmod(key % links_of_one, len(self.b.bytes_of))
+        link = left << 32 | right
         groups = np.bincount(owner, np.frombuffer(self.groups, np.int64)[numbers], len(rows)).astype(np.int64).tolist()
-        held, begin = numbers.tolist(), 0
-        for k, ((row, spelled, a, b), stop) in enumerate(zip(rows, stops.tolist(), strict=True)):
-            parts = list(map(self.spelled.__getitem__, held[begin:stop]))
-            if None not in parts and b"".join(parts) == spelled:
-                text = ";".join(map(self.texts.__getitem__, held[begin:stop]))
-                part = slice(edges[k], edges[k + 1])
-                out[row] = (len(a), len(b), groups[k], hashlib.sha256(text.encode()).hexdigest(), link[part], times[part])
+        held, begin = list(map(self.texts.__getitem__, numbers.tolist())), 0
+        for k, ((row, a, b), stop) in enumerate(zip(rows, stops.tolist(), strict=True)):
+            digest = hashlib.sha256("".join(held[begin:stop])[:-1].encode()).hexdigest()
+            part = slice(edges[k], edges[k + 1])
+            out[row] = (len(a), len(b), groups[k], digest, link[part], times[part])
             begin = stop
         return out
 
