@@ -118,6 +118,25 @@ def test_components_of_paths_stars_and_loops(spark):
     assert components(edges.limit(0)).count() == 0
 
 
+def test_components_of_sparse_random_graphs(spark):
+    rng = np.random.default_rng(11)
+    pairs = rng.integers(0, 400, (300, 2)).tolist() + [(1000 + i, 1001 + i) for i in range(300)] + [(1300, 399), (3, 3)]
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            low, high = sorted((top(a), top(b)))
+            parent[high] = low
+    found = components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert {r["node"]: r["component"] for r in found} == {node: top(node) for node in parent}
+    assert len(found) == len(parent)
+
+
 def test_another_size_against_brute_force(spark, monkeypatch):
     monkeypatch.setitem(globals(), "shingles", lambda text: jaccard.shingles(text, 2))
     rows = near_copies(5, 40, 7)

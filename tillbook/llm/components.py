@@ -7,55 +7,54 @@ from pyspark.sql import DataFrame, functions as F
 from tillbook.llm.common import written
 
 
-def _are_stars(edges: DataFrame) -> bool:
-    """Whether every node either is a centre or has one edge, to a centre."""
-    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("centre"), F.lit(0).alias("outer"))
-    ends = ends.unionAll(edges.select("b", F.lit(0), F.lit(1)))
-    roles = ends.groupBy("node").agg(F.max("centre").alias("centre"), F.sum("outer").alias("outer"))
-    return roles.where("outer > 1 OR (outer = 1 AND centre = 1)").isEmpty()
+def _local_minima(edges: DataFrame) -> DataFrame:
+    """(node, root): from each node to its least neighbour, and on from there, until a node has no smaller neighbour.
 
-
-def _linked_to_least(edges: DataFrame, larger: bool) -> DataFrame:
-    """One star step: neighbours of each node are linked to the least of them and the node.
-
-    Edges (a, b) have a < b. ``larger`` takes all neighbours and moves the larger ones; else
-    the smaller neighbours and the node itself move.
+    Pointers are doubled until none moves, so a descent of d steps takes about log2(d) joins.
     """
-    if larger:
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.select(F.col("a").alias("node"), F.col("b").alias("other"))
-    else:
-        near = edges.select(F.col("b").alias("node"), F.col("a").alias("other"))
-    least = near.groupBy("node").agg(F.min("other").alias("least"))
-    least = written(least.select("node", F.least("node", "least").alias("least")), "least")
-    moved = near.join(least, "node")
-    if larger:
-        moved = moved.where("other > node").select(F.col("least").alias("a"), F.col("other").alias("b"))
-    else:
-        own = least.select(F.col("least").alias("a"), F.col("node").alias("b"))
-        moved = moved.select(F.col("least").alias("a"), F.col("other").alias("b")).unionAll(own)
-    return moved.where("a < b").distinct()
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
+    both = both.unionAll(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    least = both.groupBy("node").agg(F.min("other").alias("other"))
+    found = written(least.select("node", F.least("node", "other").alias("root")), "roots")
+    while True:
+        onward = found.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        jumped = found.join(onward, "root")
+        found = written(jumped.select("node", F.col("next").alias("root"), (F.col("next") < F.col("root")).alias("moved")), "roots")
+        if found.where("moved").isEmpty():
+            return found.select("node", "root")
+
+
+def _between_roots(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """The edges that lead from one root to another."""
+    for end in "ab":
+        edges = edges.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end)
+    ends = edges.where("root_a <> root_b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b"))
+    return ends.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node of the component, for every node of an edge.
 
     ``edges`` has two bigint columns; direction and repetition don't matter, loops are ignored.
-    Large-star and small-star steps alternate until only stars are left, a number of rounds that
-    grows with the logarithm of the nodes. Every step writes its edges, so lineage stays short. A node
-    with very many edges is folded before its shuffle; the result is written too, so that
-    the join is one of two tables, which the adaptive skew join splits at such a node.
+    Each round contracts the graph to its local minima. Each of them has taken in a neighbour at least,
+    so a round leaves at most half of the nodes, and the least node of a component is
+    always among them. Every step is written, so lineage stays short. The neighbours of a node are
+    folded before their shuffle; joins are of two written tables, which the adaptive skew
+    join splits at a node with very many edges.
     """
     first, second = (F.col(f"`{c}`") for c in edges.columns[:2])
-    current = written(
-        edges.select(F.least(first, second).alias("a"), F.greatest(first, second).alias("b"))
-        .where("a < b")
-        .distinct(),
-        "edges",
-    )
-    while not _are_stars(current):
-        for larger in (True, False):
-            current = written(_linked_to_least(current, larger), "edges")
-    members = current.select(F.col("b").alias("node"), F.col("a").alias("component"))
-    roots = current.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-    return members.unionAll(roots)
+    ends = edges.select(F.least(first, second).alias("a"), F.greatest(first, second).alias("b"))
+    current = written(ends.where("a < b").distinct(), "edges")
+    found = None
+    while not current.isEmpty():
+        roots = _local_minima(current)
+        current = written(_between_roots(current, roots), "edges")
+        if found is None:
+            found = roots
+        else:
+            onward = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            found = found.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+            found = written(found, "found")
+    if found is None:
+        found = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return found.select("node", F.col("root").alias("component"))

@@ -200,6 +200,20 @@ def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
     return written(found.select("node", F.coalesce("component", "node").alias("label")), "labels")
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): the different labels that pairs of nodes connect."""
+    for end in "ab":
+        pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end)
+    return pairs.where("label_a <> label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after more links: a graph of labels, which is smaller than that of nodes."""
+    found = components(_apart(links, labels)).select(F.col("node").alias("label"), "component")
+    found = labels.join(found, "label", "left")
+    return written(found.select("node", F.coalesce("component", "label").alias("label")), "labels")
+
+
 def _open(members: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """The members, with their labels, of the groups that hold several labels."""
     labelled = written(members.join(labels, "node"), "members")
@@ -321,11 +335,12 @@ def _class_labels(classes: DataFrame, texts: _Texts, size: int, percent: int) ->
     pairs = written(_may_be_links(_in_blocks(rest, "bucket", classes), percent).distinct(), "pairs")
     if pairs.isEmpty():
         return labels
-    links = links.unionAll(written(_confirmed(pairs, texts, size, percent), "links"))
-    labels = _labels(classes, links)
+    labels = _merged(labels, written(_confirmed(pairs, texts, size, percent), "links"))
+    if _apart(pairs, labels).isEmpty():
+        return labels
     groups = _open(written(components(pairs), "groups"), labels, "component").where("members > 2")
     late = written(_verified_blocks(_in_blocks(groups, "component", classes), texts, size, percent), "links")
-    return labels if late.isEmpty() else _labels(classes, links.unionAll(late))
+    return labels if late.isEmpty() else _merged(labels, late)
 
 
 def deduplicated(documents: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
