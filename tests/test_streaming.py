@@ -1,8 +1,13 @@
 """The daily table written by a stream equals that of a batch, over late rows and restarts."""
 
+import glob
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as registry
+from compare import TEST_DATA, spark_rows, sql_rows, tables
 from shop import items_frame, transactions_frame
 from tillbook.operators import summaries
 from tillbook.sources import kept
@@ -119,3 +124,42 @@ def test_versions_can_be_vacuumed(till):
     kept.vacuum(till.spark, f"{till.folder}/days")
     assert rows_of(till.streamed()) == rows_of(till.batch())
     assert till.streamed().where(F.col("month").isNull()).count() == 0
+
+
+class Undated(Shop):
+    """Transactions of the year 1900 have no time."""
+
+    def frame(self, rows):
+        return transactions_frame(self.spark, rows).withColumn("ts", F.expr("if(year(ts) = 1900, null, ts)"))
+
+    def arrive(self, rows):
+        self.all += rows
+        self.frame(rows).coalesce(1).write.mode("append").parquet(f"{self.folder}/arrivals")
+
+    def batch(self):
+        return summaries.daily_store(self.frame(self.all), self.items)
+
+
+def test_transactions_that_come_twice_or_without_a_time(spark, tmp_path):
+    till, never = Undated(spark, tmp_path), "1900-01-01 00:00"
+    rows = slice_of(range(0, 60), ["06-29", "06-30"]) + [(k, never, "Uppingham", 1) for k in (61, 62, 62)]
+    till.arrive([*rows, *rows[:20], (5, "1969-07-20 20:17", "Uppingham", 1)])
+    till.run()
+    assert rows_of(till.streamed()) == rows_of(till.batch())
+    till.arrive([*rows[10:30], (63, never, "Uppingham", 1), (62, never, "Uppingham", 1)])
+    till.run()
+    assert rows_of(till.streamed()) == rows_of(till.batch())
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_streamed_query_over_a_file_or_a_folder_equals_its_sql(spark, tmp_path, folder):
+    for path in glob.glob(f"{TEST_DATA}/sf0.001/*.parquet"):
+        os.symlink(path, tmp_path / os.path.basename(path))
+    if folder:
+        os.unlink(tmp_path / "events.parquet")
+        events = spark.read.parquet(f"{TEST_DATA}/sf0.001/events.parquet")
+        events.unionAll(events.limit(50)).repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    columns, expected = sql_rows(tables(str(tmp_path)), registry.oracle_sql()["daily_store_streamed"])
+    found = registry.daily_store_streamed(spark, str(tmp_path))
+    assert sorted(found.columns) == columns
+    assert spark_rows(found) == expected and expected

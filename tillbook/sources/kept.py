@@ -54,6 +54,11 @@ def _located(spark: SparkSession, path: str):
     return location.getFileSystem(spark._jsc.hadoopConfiguration()), location
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    files, location = _located(spark, path)
+    return files.getFileStatus(location).isDirectory()
+
+
 def _states_of(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     """Location, size and time of change of every file behind an input, however deep."""
     files, location = _located(spark, path)
@@ -249,7 +254,9 @@ def replace_days(
     if months:
         rows = spark.read.schema(SCHEMAS[name]).parquet(fresh)
         before = {**manifest, "parts": {name: {month: parts[month] for month in months if month in parts}}}
-        stay = _read_parts(spark, folder, name, before).join(rows.select("store", "day"), ["store", "day"], "left_anti")
+        old, new = _read_parts(spark, folder, name, before), rows.select(F.col("store").alias("_store"), F.col("day").alias("_day"))
+        replaced = F.col("store").eqNullSafe(F.col("_store")) & F.col("day").eqNullSafe(F.col("_day"))
+        stay = old.join(new, replaced, "left_anti")
         write_summary(name, _unplaced(stay.unionByName(rows)), f"{folder}/{root}/{name}")
         parts |= dict.fromkeys(months, root)
     files, location = _located(spark, fresh)

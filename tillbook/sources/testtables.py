@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillbook.model import RetailModel
-from tillbook.sources.kept import keep_for_application
+from tillbook.sources.kept import is_folder, keep_for_application
 
 INPUTS = ("events", "customer", "nation", "region", "lineitem", "part")
 
@@ -64,9 +64,13 @@ def transactions(spark: SparkSession, sf_dir: str, events: DataFrame | None = No
 
 
 def transactions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as a stream of the files of the events."""
+    """The same as a stream of the files of the events.
+
+    A stream takes a plain path for a folder, so a table that is a single file is named by a pattern.
+    """
     schema = _read(spark, sf_dir, "events").schema
-    return transactions(spark, sf_dir, spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet"))
+    name = "events.parquet" if is_folder(spark, f"{sf_dir}/events.parquet") else "[e]vents.parquet"
+    return transactions(spark, sf_dir, spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}"))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:

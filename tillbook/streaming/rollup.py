@@ -3,7 +3,7 @@
 Each micro-batch joins its transactions with their baskets and adds them to the state, one row per store
 and day. Days whose totals changed replace their old rows in the folder: their months are written
 anew and the folder's manifest switches to them, naming the batch, so a batch that is run again after a
-failure changes nothing. State is dropped when the watermark has passed a day.
+failure changes nothing. State, the ids of transactions included, is dropped when the watermark has passed a day.
 """
 
 from __future__ import annotations
@@ -21,16 +21,22 @@ def daily_totals(transactions: DataFrame, baskets: DataFrame, lateness: str = LA
     """The columns of ``daily_store`` from a stream of transactions, as totals of whole days so far.
 
     ``baskets`` is a table with one row per transaction (``summaries.baskets``). Transactions without
-    a basket have sold nothing and don't count, as in the batch table. A transaction must
-    arrive once; one that arrives twice is two customers.
+    a basket have sold nothing and don't count, as in the batch table. A transaction that arrives twice
+    for a store and day is one customer who paid twice; those that have come are
+    remembered until the watermark has passed their day. Transactions without a time are of no day; their
+    totals are never late.
     """
-    visits = transactions.select("transaction_id", "store", _instant(F.col("ts")).alias("at")).withWatermark("at", lateness)
+    visits = transactions.select("transaction_id", "store", _dated(F.col("ts")).alias("dated"))
+    visits = visits.withWatermark("dated", f"{lateness} 1 day")  # of whole days, so that no transaction in time is late
+    paid = visits.join(baskets, "transaction_id").select("store", "dated", "revenue", "coffees", F.lit(0).alias("customers"))
+    first = visits.join(baskets.select("transaction_id"), "transaction_id").dropDuplicates(["transaction_id", "store", "dated"])
+    none = [F.lit(None).cast(paid.schema[name].dataType).alias(name) for name in ("revenue", "coffees")]
     totals = (
-        visits.join(baskets, "transaction_id")
-        .groupBy("store", F.window("at", "1 day").alias("span"))
+        paid.unionAll(first.select("store", "dated", *none, F.lit(1).alias("customers")))
+        .groupBy("store", "dated")
         .agg(
             F.sum("revenue").cast("decimal(28,2)").alias("revenue"),
-            F.count("*").alias("customers"),
+            F.sum("customers").alias("customers"),
             F.sum("coffees").alias("coffees"),
         )
     )
@@ -40,17 +46,18 @@ def daily_totals(transactions: DataFrame, baskets: DataFrame, lateness: str = LA
         (F.col("revenue") / F.col("customers")).cast("decimal(22,6)").alias("avg_spend"),
         "customers",
         "coffees",
-        F.date_from_unix_date((F.unix_seconds("span.start") / _DAY).cast("int")).alias("day"),
+        F.date_from_unix_date((F.unix_seconds("dated") / _DAY - _EPOCH).cast("int")).alias("day"),
     )
 
 
 _DAY = 86_400
+#: Days from year 1 to 1970, where a stream's watermark begins: no day may lie before it.
+_EPOCH = 719_163
 
 
-def _instant(ts: Column) -> Column:
-    """The wall-clock time as if it were UTC: a watermark needs an instant, and its days must be those of the
-    clock in a session of any zone."""
-    return F.timestamp_seconds(F.unix_date(F.to_date(ts)) * F.lit(_DAY).cast("bigint") + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts))
+def _dated(ts: Column) -> Column:
+    """The day of the wall-clock time as an instant, as a watermark needs one; the same in a session of any zone."""
+    return F.timestamp_seconds((F.unix_date(F.to_date(ts)) + F.lit(_EPOCH)).cast("bigint") * _DAY)
 
 
 def roll_up(
