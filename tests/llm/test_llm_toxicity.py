@@ -74,3 +74,29 @@ def test_an_id_brings_one_text_to_the_driver(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "train", lambda texts, toxic, languages: seen.append((texts, toxic, languages)))
     learn(documents(spark, rows), spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int"))
     assert seen == [(["text 0", "another", "third"], [1, 0, 0], ["en", "en", None])]
+
+
+def test_all_labelled_documents_are_learnt_from_in_tasks(spark, monkeypatch):
+    rows = [(i, f"{t} seldom" if i % 60 == 1 else t, lang, y) for i, t, lang, y in corpus(1500, 5)]
+    frame = documents(spark, [(i, t, lang, "s") for i, t, lang, _ in rows]).repartition(3)
+    labels = spark.createDataFrame([(i, toxic) for i, _, _, toxic in rows if i % 3], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "train", None)
+    model = learn(frame, labels, per_class=50)
+    assert toxicity.hashes(b"seldom", model.buckets)[0] in model.row_of  # in 25 documents, of which a sample holds few
+    found = by_id(score(frame, model), "predicted", "score")
+    assert np.mean([found[i][0] == toxic for i, _, _, toxic in rows if i % 3 == 0]) > 0.95
+    assert learn(frame, labels.where("toxic = 0"), per_class=50) is None
+
+
+def test_counted_thresholds_split_the_classes():
+    counts = np.zeros((toxicity.BINS + 1, 2))
+    counts[[10, 400], 0], counts[[900, 9000], 1] = 5, 2
+    assert 400 < toxicity._counted_threshold(counts) * toxicity.BINS < 900
+    docs = [np.repeat([1, 0], [k, 2])[:, None].repeat(3, axis=1) for k in (1, 40, 99)]
+    model = toxicity._begun([7], [[3], [4]], [5, 6], 2, np.random.default_rng(1))
+    whole = toxicity._judged(model, docs)
+    toxicity.PIECE, kept = 16, toxicity.PIECE
+    try:
+        assert all(np.allclose(a, b) for a, b in zip(whole, toxicity._judged(model, docs), strict=True))
+    finally:
+        toxicity.PIECE = kept
