@@ -141,3 +141,21 @@ def test_another_size_against_brute_force(spark, monkeypatch):
     monkeypatch.setitem(globals(), "shingles", lambda text: jaccard.shingles(text, 2))
     rows = near_copies(5, 40, 7)
     assert by_id(near_duplicates(documents(spark, rows), size=2), "class_id", "n_links") == brute(rows)
+
+
+def test_only_texts_and_bands_that_meet_others_are_shuffled(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60))) for i in range(400)]
+    rows += [(400 + i, f"{rows[i][1]} z") for i in range(3)]
+    left = []
+
+    def counted(frame, ids, key):
+        found = jaccard_reduced(frame, ids, key)
+        left.append((frame.count(), found.count()))
+        return found
+
+    jaccard_reduced = jaccard.reduced
+    monkeypatch.setattr(jaccard, "reduced", counted)
+    result = by_id(near_duplicates(documents(spark, rows)), "class_id", "n_links")
+    assert result == brute(rows)
+    assert [n for n, _ in left] == [403 * BANDS, 403] and all(m * 20 < n for n, m in left)

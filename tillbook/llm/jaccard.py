@@ -24,6 +24,7 @@ from pyspark.sql.types import StructType
 
 from tillbook.llm.common import map_batches, map_slices, words, written
 from tillbook.llm.components import components
+from tillbook.operators.reduction import reduced
 
 #: Words of an n-gram, and similarity of a link.
 WORDS, THRESHOLD = 5, 0.8
@@ -164,7 +165,8 @@ def _candidate_links(classes: DataFrame, threshold: float, tolerance: float) ->
     """(a, b): links that hold candidates together. Pairs of small groups are pruned, a crowd is linked whole."""
     banded = classes.select("node", F.explode("bands").alias("band"))
     groups = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-    members = written(banded.join(written(groups, "groups"), "band"), "members")
+    groups = written(groups, "groups")
+    members = written(reduced(banded, groups, "band").join(groups, "band"), "members")
     crowds = members.where((F.col("n") > CROWD) & (F.col("least") < F.col("node")))
     crowds = crowds.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     lists = members.where(F.col("n") <= CROWD).groupBy("band").agg(F.array_sort(F.collect_list("node")).alias("all"))
@@ -263,7 +265,9 @@ def _verified(
     wanted = written(dealt.select(F.col("holder.doc_id").alias("_wanted"), F.col("holder.body").alias("_body")).distinct(), "wanted")
     body = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
     texts = documents.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), body.alias("_own_body"))
-    found = texts.join(wanted, F.col("_wanted").eqNullSafe(F.col("_id")) & (F.col("_body") == F.col("_own_body")), "left_semi")
+    found = reduced(texts, wanted.withColumnRenamed("_body", "_own_body"), "_own_body")
+    # an inner join, as wanted rows are distinct and a semi join would be moved below the filter
+    found = found.join(wanted, F.col("_wanted").eqNullSafe(F.col("_id")) & (F.col("_body") == F.col("_own_body")))
     found = written(found.groupBy("_id", "_own_body").agg(F.first("_text").alias("_text")), "texts")
     dealt = dealt.join(found, F.col("holder.doc_id").eqNullSafe(F.col("_id")) & (F.col("holder.body") == F.col("_own_body")))
     partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
