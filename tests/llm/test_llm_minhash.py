@@ -151,3 +151,18 @@ def test_empty_bins_take_a_filled_one():
     own = shingle_set("only three words")
     assert len(own) == 1 and set(one_permutation(own).tolist()) == set(own.tolist())
     assert len(one_permutation(shingle_set("a b c d e f"))) == BINS
+
+
+def test_only_texts_and_bands_that_meet_others_are_shuffled(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60))) for i in range(400)]
+    rows += [(400 + i, f"{rows[i][1]} z") for i in range(3)]
+    left, plain = [], minhash.reduced
+
+    def counted(frame, ids, key):
+        left.append((frame.count(), plain(frame, ids, key).count()))
+        return plain(frame, ids, key)
+
+    monkeypatch.setattr(minhash, "reduced", counted)
+    assert found(spark, rows) == expected(rows)
+    assert {n for n, _ in left} == {403 * minhash.BANDS, 403} and all(m * 20 < n for n, m in left)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tillbook.llm.common import map_groups, map_slices, written
 from tillbook.llm.components import components
+from tillbook.operators.reduction import reduced
 
 #: Words of a shingle; a link has at least this many hundredths of the union in common.
 WORDS, PERCENT = 4, 80
@@ -138,7 +139,8 @@ def _buckets(classes: DataFrame) -> DataFrame:
     same = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("node").bitwiseAND(2**40 - 1)).alias("total"))
     groups = banded.groupBy("band").agg(same.alias("same"), F.min("node").alias("centre")).where("same.n > 1")
     chosen = groups.groupBy("same", "centre").agg(F.min("band").alias("band")).select("band", "centre")
-    members = banded.join(written(chosen, "buckets"), "band")
+    chosen = written(chosen, "buckets")
+    members = reduced(banded, chosen, "band").join(chosen, "band")
     return members.select(F.col("band").alias("bucket"), "centre", "node")
 
 
@@ -168,9 +170,9 @@ class _Texts:
 
     def beside(self, frame: DataFrame) -> DataFrame:
         """The frame with the text of each node. Only texts asked for leave their tasks: which they are is
-        written first, so that Spark can broadcast it where it is small."""
+        written first, and a filter of their rows is broadcast."""
         wanted = written(frame.select("node").distinct().join(self.held, "node"), "wanted")
-        return frame.join(self.rows.join(wanted, "row").select("node", "text"), "node")
+        return frame.join(reduced(self.rows, wanted, "row").join(wanted, "row").select("node", "text"), "node")
 
 
 def _confirmed(pairs: DataFrame, texts: _Texts, size: int, percent: int) -> DataFrame:
