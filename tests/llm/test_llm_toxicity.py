@@ -1,4 +1,6 @@
+import pickle
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -100,3 +102,39 @@ def test_counted_thresholds_split_the_classes():
         assert all(np.allclose(a, b) for a, b in zip(whole, toxicity._judged(model, docs), strict=True))
     finally:
         toxicity.PIECE = kept
+
+
+def test_tasks_return_what_they_trained_some_rows_at_a_time(spark, monkeypatch):
+    rows = corpus(300, 5)
+    frame = documents(spark, [(i, t, lang, "s") for i, t, lang, _ in rows])
+    labels = spark.createDataFrame([(i, toxic) for i, *_, toxic in rows], "doc_id long, toxic int")
+    plain, sizes = toxicity.map_batches, []
+
+    def watched(frame, run, schema):
+        if "parts" not in schema.names:
+            return plain(frame, run, schema)
+        found = list(run(iter(frame.toArrow().to_batches())))
+        sizes.extend(batch.num_rows for batch in found)
+        return spark.createDataFrame([tuple(r.values()) for batch in found for r in batch.to_pylist()], schema)
+
+    monkeypatch.setattr(toxicity, "map_batches", watched)
+    monkeypatch.setattr(toxicity, "RETURNED", 100, raising=False)
+    assert learn(frame, labels, per_class=50) is not None
+    assert sum(sizes) > 3 * 100 and max(sizes) <= 100
+
+
+def test_a_worker_holds_little_for_each_bucket_and_word():
+    tracemalloc.start()
+    try:
+        model = toxicity._begun(list(range(0, 200_000, 2)), [[3] * 100_000, [4] * 100_000], [5, 6], 1, np.random.default_rng(1), 2**18)
+        sent = pickle.dumps(model.row_of)
+        start = tracemalloc.get_traced_memory()[0]
+        places = pickle.loads(sent)
+        assert tracemalloc.get_traced_memory()[0] - start < 10 * 100_000
+        assert (places.get(0, 0), places.get(199_998, 0), places.get(1, 0), places.get(200_000, 0)) == (1, 100_000, 0, 0)
+        cache: dict = {}
+        start = tracemalloc.get_traced_memory()[0]
+        predict(model, [" ".join(f"word{i}" for i in range(50_000))], cache)
+        assert len(cache) == 50_000 and tracemalloc.get_traced_memory()[0] - start < 170 * 50_000
+    finally:
+        tracemalloc.stop()
