@@ -166,3 +166,23 @@ def test_only_texts_and_bands_that_meet_others_are_shuffled(spark, monkeypatch):
     monkeypatch.setattr(minhash, "reduced", counted)
     assert found(spark, rows) == expected(rows)
     assert {n for n, _ in left} == {403 * minhash.BANDS, 403} and all(m * 20 < n for n, m in left)
+
+
+@pytest.mark.parametrize("linked, shingles, most", [(0, None, 11), (500, None, 7), (0, 350, 21)])
+def test_copies_of_members_for_blocks_grow_less_than_groups(spark, monkeypatch, linked, shingles, most):
+    """All pairs of different labels meet, and members are copied about sqrt(members / BLOCK) times at most, not members / BLOCK times."""
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    rows = [(1, k, 0 if k < linked else k, 700) for k in range(700)] + [(2, 1000 + k, 1000 + k, 5) for k in range(5)]
+    members = spark.createDataFrame(rows, "bucket long, node long, label long, members long")
+    classes = members.selectExpr("node", "cast(10 AS long) AS n", "cast('s' AS binary) AS sketch").distinct()
+    more = {"shingles": shingles} if shingles else {}
+    found = minhash._in_blocks(members, "bucket", classes, **more).select("bucket", "low", "high", "side", "node", "label").collect()
+    assert sum(r["bucket"] == 1 for r in found) <= most * 700
+    met, tasks = set(), {}
+    for r in found:
+        tasks.setdefault((r["bucket"], r["low"], r["high"]), []).append(r)
+    for (_, low, high), held in tasks.items():
+        pairs = [(x, y) for x, y in combinations(held, 2) if low == high or x["side"] != y["side"]]
+        met |= {(min(x["node"], y["node"]), max(x["node"], y["node"])) for x, y in pairs if x["label"] != y["label"]}
+    nodes = [(k, 0 if k < linked else k) for k in range(700)]
+    assert met == {(a, b) for (a, x), (b, y) in combinations(nodes, 2) if x != y} | set(combinations(range(1000, 1005), 2))

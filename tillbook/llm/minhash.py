@@ -32,8 +32,10 @@ BANDS, ROWS = 48, 5
 BINS = BANDS * ROWS
 #: Candidates are ruled out this many standard deviations below the agreement that a link expects.
 DEVIATIONS = 7
-#: Members of a star handled at once, classes of a bucket or group compared with one another in one task.
+#: Members of a star handled at once; up to so many classes of a bucket or group are one block, compared in one task.
 STAR, BLOCK = 256, 256
+#: Shingles that the sets of a block hold, about; pairs that a task keeps before it folds them.
+HELD, PAIRS = 2**20, 2**18
 
 _LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -224,19 +226,42 @@ def _open(members: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     return labelled.join(several, key)
 
 
-def _in_blocks(members: DataFrame, key: str, classes: DataFrame) -> DataFrame:
-    """Each member once for every block of its group that its own block meets: (key, low, high, side, node, label, n, sketch)."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = members.select(key, "node", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+def _in_blocks(members: DataFrame, key: str, classes: DataFrame, shingles: int | None = None) -> DataFrame:
+    """Each member once for every block of its group that its own block meets: (key, low, high, side, node, label, n, sketch).
+
+    A group of m members has about sqrt(m / BLOCK) blocks, so copies and what a task holds grow with the root of m
+    only. With ``shingles`` it has more, up to m / BLOCK, until a block's sets hold about so many. Members of
+    the commonest label have blocks of their own if they fill one; those don't meet each other, as one label has no pairs to find.
+    """
+    known = members.join(classes.select("node", "n", "sketch"), "node")
+    common = known.where(F.col("members") > BLOCK).groupBy(key, "label").agg(F.count("*").alias("k"), F.sum("n").alias("total"))
+    common = common.groupBy(key).agg(F.max(F.struct("k", "label")).alias("most"), F.sum("total").alias("total"))
+    common = written(common.select(key, "most.*", "total").withColumnRenamed("label", "main"), "common")
+    most = F.ceil(F.col("members") / BLOCK)
+    blocks = F.ceil(F.sqrt(F.col("members") / BLOCK))
+    if shingles:
+        blocks = F.least(most, F.greatest(blocks, F.ceil(F.col("total") / shingles)))
+    size = F.col("members") / blocks
+    whole = F.when(F.col("k") >= size, F.ceil(F.col("k") / size)).otherwise(0).cast("int")
+    sizes = common.join(members.select(key, "members").distinct(), key)
+    sizes = written(sizes.select(key, "main", "k", whole.alias("whole"), size.alias("size")), "sizes")
+    rest = F.ceil((F.col("members") - F.when(F.col("whole") > 0, F.col("k")).otherwise(0)) / F.col("size")).cast("int")
+    dealt = known.join(sizes, key, "left").withColumns({"whole": F.coalesce("whole", F.lit(0)), "rest": F.coalesce(rest, F.lit(1))})
+    main = (F.col("whole") > 0) & (F.col("label") == F.col("main"))
+    place = F.xxhash64("node")
+    own = F.when(main, F.pmod(place, F.greatest("whole", F.lit(1)))).otherwise(F.col("whole") + F.pmod(place, "rest")).cast("int")
+    others = F.sequence(F.when(main, F.col("whole")).otherwise(0), F.col("whole") + F.col("rest") - 1)
+    dealt = dealt.select(key, "node", "label", "n", "sketch", own.alias("block"), others.alias("others"))
+    return dealt.select("*", F.explode("others").alias("other")).select(
         key,
         F.least("block", "other").alias("low"),
         F.greatest("block", "other").alias("high"),
         (F.col("block") > F.col("other")).alias("side"),
         "node",
         "label",
+        "n",
+        "sketch",
     )
-    return dealt.join(classes.select("node", "n", "sketch"), "node")
 
 
 def _unsettled(key: tuple, rows: list[tuple], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -250,8 +275,9 @@ def _unsettled(key: tuple, rows: list[tuple], percent: int) -> Iterator[tuple[np
     side = np.array([r[0] for r in rows])
     one_block = key[1] == key[2]
     first, second = (np.arange(len(rows)),) * 2 if one_block else (np.flatnonzero(~side), np.flatnonzero(side))
-    for start in range(0, len(first), 16):
-        some = first[start : start + 16]
+    step = max(1, 16 * BLOCK // max(1, len(second)))
+    for start in range(0, len(first), step):
+        some = first[start : start + step]
         may = label[some, None] != label[None, second]
         may &= 100 * np.minimum(n[some, None], n[None, second]) >= percent * np.maximum(n[some, None], n[None, second])
         if one_block:
@@ -263,35 +289,55 @@ def _unsettled(key: tuple, rows: list[tuple], percent: int) -> Iterator[tuple[np
         yield i[stay], j[stay], agree[stay]
 
 
-def _forest(rows: list[tuple], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pairs of nodes that connect what the pairs of positions, taken in their order, connect; labels are connected already."""
-    root = {label: label for label in {r[2] for r in rows}}
+class _Forest:
+    """What pairs of positions connect, the labels of rows being connected already."""
 
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
+    def __init__(self, rows: list[tuple]):
+        self.labels = [r[2] for r in rows]
+        self.root = {label: label for label in self.labels}
+        self.rest = len(self.root) - 1
+
+    def _top(self, x: int) -> int:
+        while self.root[x] != x:
+            self.root[x] = self.root[self.root[x]]
+            x = self.root[x]
         return x
 
-    rest = len(root) - 1
-    for i, j in zip(left.tolist(), right.tolist(), strict=True):
-        if not rest:
-            break
-        a, b = top(rows[i][2]), top(rows[j][2])
-        if a != b:
-            root[b] = a
-            rest -= 1
-            yield rows[i][1], rows[j][1]
+    def add(self, left: np.ndarray, right: np.ndarray) -> list[int]:
+        """Which of the pairs, taken in their order, connect anew."""
+        out = []
+        for k, (i, j) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
+            if not self.rest:
+                break
+            a, b = self._top(self.labels[i]), self._top(self.labels[j])
+            if a != b:
+                self.root[b] = a
+                self.rest -= 1
+                out.append(k)
+        return out
 
 
 def _may_be_links(blocks: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a spanning forest, best agreement first, of the possible links of each block pair."""
+    """(a, b): a spanning forest, best agreement first, of the possible links of each block pair.
+
+    A task folds the pairs it has met to their forest whenever they are more than PAIRS.
+    """
 
     def compare(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
         held = list(rows)
-        left, right, agree = (np.concatenate(c) for c in zip(*_unsettled(key, held, percent), strict=True))
-        best = np.argsort(-agree, kind="stable")
-        yield from _forest(held, left[best], right[best])
+        pairs, met = np.empty((3, 0), np.int64), []
+
+        def folded() -> np.ndarray:
+            every = np.concatenate([pairs, *met], axis=1)
+            every = every[:, np.argsort(-every[2], kind="stable")]
+            return every[:, _Forest(held).add(every[0], every[1])]
+
+        for part in _unsettled(key, held, percent):
+            met.append(np.stack(part))
+            if sum(m.shape[1] for m in met) > PAIRS:
+                pairs, met = folded(), []
+        for i, j in folded()[:2].T.tolist():
+            yield held[i][1], held[j][1]
 
     columns = ["side", "node", "label", "n", "sketch"]
     return map_groups(blocks, ["bucket", "low", "high"], [], columns, "a long, b long", compare)
@@ -315,12 +361,13 @@ def _verified_blocks(blocks: DataFrame, texts: _Texts, size: int, percent: int)
 
     def compare(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
         held = list(rows)
-        sets = [shingle_set(r[5], size) for r in held]
+        sets, forest = [shingle_set(r[5], size) for r in held], _Forest(held)
         for left, right, _ in _unsettled(key, held, percent):
             if len(left):
                 sizes = np.array([len(s) for s in sets], np.int64)
                 linked = _are_linked(_shared(sets, left, right), sizes[left], sizes[right], percent)
-                yield from _forest(held, left[linked], right[linked])
+                left, right = left[linked], right[linked]
+                yield from ((held[left[k]][1], held[right[k]][1]) for k in forest.add(left, right))
 
     columns = ["side", "node", "label", "n", "sketch", "text"]
     return map_groups(texts.beside(blocks), ["component", "low", "high"], [], columns, "a long, b long", compare)
@@ -341,7 +388,7 @@ def _class_labels(classes: DataFrame, texts: _Texts, size: int, percent: int) ->
     if _apart(pairs, labels).isEmpty():
         return labels
     groups = _open(written(components(pairs), "groups"), labels, "component").where("members > 2")
-    late = written(_verified_blocks(_in_blocks(groups, "component", classes), texts, size, percent), "links")
+    late = written(_verified_blocks(_in_blocks(groups, "component", classes, HELD), texts, size, percent), "links")
     return labels if late.isEmpty() else _merged(labels, late)
 
 
